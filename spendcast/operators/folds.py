@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ def fold_split(df: DataFrame, fold: int) -> DataFrame:
     return df.withColumn("is_val", F.col("fold") == fold)
 
 
-def blend_folds(predictions: DataFrame) -> DataFrame:
+def blend_folds(predictions: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
     """Mean over folds of each customer's predictions."""
-    return predictions.groupBy("customer_id").agg(F.avg("probability").alias("probability"))
+    return predictions.groupBy(*keys).agg(F.avg("probability").alias("probability"))
 
 
 def mean_fold_auc(fold_scores: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendcast.operators.snapshots import SNAPSHOT
 
@@ -11,13 +12,21 @@ KEY_COLUMNS = ("customer_id", SNAPSHOT, "label")
 
 
 def train_matrix_join(labels: DataFrame, features: DataFrame) -> DataFrame:
-    """Every label row, with NULL features where the customer has no history before the month."""
-    return labels.join(features, ["customer_id", SNAPSHOT], "left")
+    """Every label row, with NULL features where the customer has no history before the month.
+
+    Features become doubles: a count that is missing may be filled with a median between two counts.
+    """
+    return labels.join(_doubles(features), ["customer_id", SNAPSHOT], "left")
+
+
+def _doubles(features: DataFrame) -> DataFrame:
+    numbers = [f.name for f in features.schema if isinstance(f.dataType, T.NumericType) and f.name != "customer_id"]
+    return features.withColumns({c: F.col(c).cast("double") for c in numbers})
 
 
 def test_matrix_join(labels: DataFrame, features: DataFrame) -> DataFrame:
     """The same for one snapshot, whose features carry no month."""
-    return labels.join(features.drop(SNAPSHOT), ["customer_id"], "left")
+    return labels.join(_doubles(features.drop(SNAPSHOT)), ["customer_id"], "left")
 
 
 def rename_previous_total(labels: DataFrame) -> DataFrame:
