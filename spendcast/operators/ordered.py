@@ -64,7 +64,7 @@ def running_sums(ordered: DataFrame, sums: Mapping[str, Mapping[str, str]]) -> D
     outputs = {}
     for key, named in sums.items():
         so_far = (
-            Window.partitionBy(CHUNK, key).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            Window.partitionBy(key, CHUNK).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         for name, value in named.items():
             outputs[name] = F.when(
