@@ -184,8 +184,24 @@ SELECT customer_id, year_month, label, {', '.join(filled)} FROM matrix, medians"
 
 
 SMALL_COLUMNS = names_of(VALUES, STATS)
-SMALL = f"""{TX}, {snapshot_rows([PREVIOUS, MONTH], "tx")},
-{statistics("snap_rows", VALUES, STATS, "customer_id, year_month", "feats")}"""
+
+
+def small(name: str) -> str:
+    return f"""{TX}, {snapshot_rows([PREVIOUS, MONTH], "tx")},
+{statistics("snap_rows", VALUES, STATS, "customer_id, year_month", name)}"""
+
+
+SMALL = small("feats")
+
+
+def preprocessed() -> str:
+    """The small matrix with a country: encoded over both months, then filled like any feature."""
+    coded = f"""{small("plain")},
+homes AS (SELECT customer_id, year_month, max(country) AS country FROM snap_rows GROUP BY 1, 2),
+codes AS (SELECT country, dense_rank() OVER (ORDER BY country) - 1 AS code FROM (SELECT DISTINCT country FROM homes)),
+feats AS (SELECT plain.*, code AS country FROM plain JOIN homes USING (customer_id, year_month)
+  JOIN codes ON homes.country = codes.country)"""
+    return imputed(coded, PREVIOUS, MONTH, [*SMALL_COLUMNS, "country"])
 
 
 def base_only(months, stats) -> str:
@@ -310,6 +326,10 @@ def oracle_sql() -> dict[str, str]:
               FROM matrix WHERE year_month = '{PREVIOUS}')
             UNPIVOT one ON {', '.join(SMALL_COLUMNS)} INTO NAME feature VALUE median""",
         "median_impute": imputed(SMALL, PREVIOUS, MONTH, SMALL_COLUMNS),
+        "detect_categoricals": f"""WITH {TX} {' UNION ALL '.join(
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_values FROM tx"
+            for c in ("country", "order_date_year_month", "order_date_year", "order_date_hour"))}""",
+        "preprocess": preprocessed(),
         "snapshot_matrix": f"""WITH {matrix(features([PREVIOUS, MONTH]), [PREVIOUS, MONTH], ALL_FEATURES)}
             SELECT customer_id, year_month, label, {', '.join(shown(c) for c in ALL_FEATURES)} FROM matrix""",
         "feature_engineering": imputed(features([PREVIOUS, MONTH]), PREVIOUS, MONTH, ALL_FEATURES),

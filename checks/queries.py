@@ -44,7 +44,7 @@ from spendcast.operators.matrix import (
 )
 from spendcast.operators.metrics import classification_report, roc_auc, threshold_scores
 from spendcast.operators.mode import feat_mode
-from spendcast.operators.preprocess import label_encode, median_fit, median_impute
+from spendcast.operators.preprocess import detect_categoricals, label_encode, median_fit, median_impute, preprocess
 from spendcast.operators.running_totals import order_log, running_totals
 from spendcast.operators.snapshots import snapshot_months, snapshot_range_join, tag_snapshot, union_snapshots
 from spendcast.plans.baseline import baseline_no_ml
@@ -84,6 +84,11 @@ def tx(spark: SparkSession, folder: str) -> DataFrame:
     return star_transactions(configure(spark), folder)
 
 
+def log_through(spark: SparkSession, folder: str, month: str) -> DataFrame:
+    """The ordered log a target month can see: later rows would only be ordered to be dropped."""
+    return order_log(filter_through_month(tx(spark, folder), month))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Second and third moments agree between engines up to noise; everything else is exact."""
     places = {c: places_of(c) for c in df.columns if places_of(c) is not None}
@@ -301,14 +306,35 @@ def imputed_small(spark, folder) -> Matrices:
 
 def feature_engineering_query(month: str) -> Query:
     def run(spark, folder):
-        m = feature_engineering(order_log(tx(spark, folder)), month)
+        m = feature_engineering(log_through(spark, folder, month), month)
         return rounded(m.train.unionByName(m.test))
 
     return run
 
 
 def snapshot_matrix_query(spark, folder):
-    return rounded(snapshot_matrix(order_log(tx(spark, folder)), MONTH))
+    return rounded(snapshot_matrix(log_through(spark, folder, MONTH), MONTH))
+
+
+def detect_categoricals_query(spark, folder):
+    """The string columns of the log with its time keys, and how many values each has."""
+    log = derive_time_keys(tx(spark, folder))
+    columns = detect_categoricals(log, log.columns)
+    long = log.unpivot([], columns, "column_name", "value")
+    return long.distinct().groupBy("column_name").agg(F.count("value").alias("n_values"))
+
+
+def preprocess_query(spark, folder):
+    """Encoding and filling together, on a matrix with one string feature."""
+    log = tx(spark, folder)
+    rows = snapshot_range_join(log, [PREVIOUS, MONTH])
+    homes = rows.groupBy("customer_id", "year_month").agg(F.max("country").alias("country"))
+    features = base_statistics(rows).join(homes, ["customer_id", "year_month"])
+    matrix = train_matrix_join(generate_labels(log, [PREVIOUS, MONTH]).drop("total"), features)
+    stored = materialize(matrix, "matrix", partition_by="year_month")
+    parts = [stored.where(F.col("year_month") == m) for m in (PREVIOUS, MONTH)]
+    train, test = preprocess(*parts, select_features(matrix))
+    return rounded(train.unionByName(test))
 
 
 # ---- models
@@ -372,12 +398,12 @@ def best_trial_query(spark, folder):
 
 
 def validate_query(spark, folder):
-    ordered = order_log(tx(spark, folder))
+    ordered = log_through(spark, folder, MONTH)
     return validate(ordered, MONTH, "xgb", folds=2, max_rounds=2, overrides=QUICK).report
 
 
 def predict_query(spark, folder):
-    ordered = order_log(tx(spark, folder))
+    ordered = log_through(spark, folder, MONTH)
     template = customer_universe(ordered, MONTH)
     path = scratch_path(spark, "submission")
     predict(ordered, MONTH, "xgb", template, path, folds=2, max_rounds=2, overrides=QUICK)
@@ -443,6 +469,8 @@ def queries() -> dict[str, Query]:
         "label_encode": label_encode_query,
         "median_fit": median_fit_query,
         "median_impute": median_impute_query,
+        "detect_categoricals": detect_categoricals_query,
+        "preprocess": preprocess_query,
         "snapshot_matrix": snapshot_matrix_query,
         "feature_engineering": feature_engineering_query(MONTH),
         "feature_engineering_whole_log": feature_engineering_query(LAST),

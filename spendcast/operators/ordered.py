@@ -60,7 +60,9 @@ def running_sums(ordered: DataFrame, sums: Mapping[str, Mapping[str, str]]) -> D
         .withColumn(SEQ, F.lit(-1).cast("bigint"))
     )
 
-    rows = ordered.unionByName(carried, allowMissingColumns=True).repartition(CHUNK)
+    # chunk i goes to partition i, modulo their number: hashing would pile some chunks on one task
+    partitions = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ordered.unionByName(carried, allowMissingColumns=True).repartitionById(partitions, CHUNK)
     outputs = {}
     for key, named in sums.items():
         so_far = (

@@ -52,14 +52,16 @@ def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
     homes = customers.join(nations, customers.c_nationkey == nations.n_nationkey).select(
         "c_custkey", F.col("n_name").alias("country")
     )
-    placed = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("order_date"))
+    # the narrow orders meet their customers first, so the lines are shuffled once, by order
+    placed = orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("o_custkey").alias("customer_id"), "country", F.col("o_orderdate").alias("order_date")
+    )
     return (
         line_columns.join(placed, F.col("order_id") == F.col("o_orderkey"))
-        .join(homes, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             "order_id",
             "product_id",
-            F.col("o_custkey").alias("customer_id"),
+            "customer_id",
             "country",
             "order_date",
             "quantity",
