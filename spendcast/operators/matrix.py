@@ -20,8 +20,8 @@ def train_matrix_join(labels: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def _doubles(features: DataFrame) -> DataFrame:
-    numbers = [f.name for f in features.schema if isinstance(f.dataType, T.NumericType) and f.name != "customer_id"]
-    return features.withColumns({c: F.col(c).cast("double") for c in numbers})
+    counts = [f.name for f in features.schema if isinstance(f.dataType, T.LongType) and f.name != "customer_id"]
+    return features.withColumns({c: F.col(c).cast("double") for c in counts})
 
 
 def test_matrix_join(labels: DataFrame, features: DataFrame) -> DataFrame:

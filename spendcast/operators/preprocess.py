@@ -69,14 +69,16 @@ def median_fit(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
 
 
 def _ranked_medians(df: DataFrame, brackets: Mapping[str, tuple[float, float]]) -> dict[str, float]:
-    def clamped(feature: str) -> Column:
-        c, (low, high) = F.col(feature), brackets[feature]
-        inside = F.when(c < F.lit(low), F.lit(-math.inf)).when(c > F.lit(high), F.lit(math.inf)).otherwise(c)
-        return inside.cast("double").alias(feature)
+    def clamped(feature: str) -> str:
+        low, high = brackets[feature]
+        return (
+            f"CASE WHEN `{feature}` < double('{low!r}') THEN double('-Infinity') "
+            f"WHEN `{feature}` > double('{high!r}') THEN double('Infinity') ELSE double(`{feature}`) END AS `{feature}`"
+        )
 
     # equal values meet in one row with their count, before and after the shuffle
     counted = (
-        df.select(*[clamped(f) for f in brackets])
+        df.selectExpr(*[clamped(f) for f in brackets])
         .unpivot([], list(brackets), "feature", "value")
         .where(F.col("value").isNotNull())
         .groupBy("feature", "value")

@@ -14,13 +14,12 @@ def read_transactions(
     spark: SparkSession, path: str, format: str = "csv", schema: T.StructType = TRANSACTION_SCHEMA
 ) -> DataFrame:
     """The log from CSV with a header, or from parquet; NaN amounts become NULL."""
-    reader = spark.read.schema(schema)
     if format == "csv":
         # columns the task does not use may be in the file, so the header decides the positions
         header = spark.read.option("header", True).csv(path)
         raw = header.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
     else:
-        raw = reader.format(format).load(path)
+        raw = spark.read.schema(schema).format(format).load(path)
     doubles = [f.name for f in schema if isinstance(f.dataType, T.DoubleType)]
     return raw.withColumns({c: null_for_nan(F.col(c)) for c in doubles})
 
