@@ -124,8 +124,10 @@ def test_jobs(spark, ordered, tmp_path):
     metrics = str(tmp_path / "metrics")
     options = {"folds": 2, "max_rounds": 2, "overrides": {"maxDepth": 2}}
     result = validate(ordered, "1996-02", "cat", metrics, **options)
-    logged = {r.name for r in read_metrics(spark, metrics).collect()}
-    assert logged == {"precision", "recall", "f1", "roc_auc", "mean_auc", "oof_auc", "features"}
+    logged = {r.name: r.value for r in read_metrics(spark, metrics).collect()}
+    scores = {"precision", "recall", "f1", "roc_auc", "mean_auc", "oof_auc"}
+    assert set(logged) == scores | {"features"} | {f"param_{k}" for k in PROFILES["cat"]["tuned"]}
+    assert logged["features"] == 174 and logged["param_depth"] == 5
     template = result.predictions.select("customer_id")
     for profile, extra in (("xgb", options), ("baseline", {})):
         path = str(tmp_path / profile)
