@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendcast.llm.text import WHITE, WORD, whole, words
@@ -121,9 +121,10 @@ def thresholds(
         F.count_if(measure(r, rules) >= cut).alias(f"{r}_{i}") for r, (_, cuts) in rules.items() for i, cut in enumerate(cuts)
     ]
     per_stratum = holdout.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    strata = per_stratum.agg(F.count(F.lit(1)).alias("n_strata"))
-    tested = per_stratum.crossJoin(strata).withColumn(  # one row on the right
-        "k", permitted_count(F.col("n_good"), most_false_rejects / len(rules), F.lit(level) / (F.col("n_strata") * len(rules)))
+    n_strata = F.count(F.lit(1)).over(Window.partitionBy())  # one row per stratum
+    each = F.lit(level) / (F.col("n_strata") * len(rules))
+    tested = per_stratum.withColumn("n_strata", n_strata).withColumn(
+        "k", permitted_count(F.col("n_good"), most_false_rejects / len(rules), each)
     )
     # counts rise from lenient to strict, so the last cutoff within the count is where testing ends
     return tested.select(
@@ -167,7 +168,7 @@ def judge(
     judged alike; rows that share a key share its label. Empty tables give an empty result.
     """
     counted = materialize(base_measures(docs, key, text, [stratum, *keep]).withColumn("base_failed", base_failed()), "measures")
-    holdout = counted.where(~F.col("base_failed")).join(good_documents(labels), F.col(key) == F.col("_good"), "left_semi")
+    holdout = counted.where(~F.col("base_failed")).join(good_documents(labels, key), F.col(key) == F.col("_good"), "left_semi")
     # written, so that its size is known: Spark then broadcasts it below its own threshold and shuffles it above
     cuts = materialize(thresholds(holdout, stratum, rules, most_false_rejects, level), "thresholds")
     cuts = cuts.withColumnRenamed(stratum, "_stratum")

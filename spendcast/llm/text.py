@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The white space of the word pattern [^\x20\x09-\x0D]+.
@@ -35,3 +38,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that would clash with an operator's own, whatever their case."""
     own = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
+
+
+# Texts are long, so few of them make a batch for Python.
+ROWS_PER_BATCH = 1_000
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on the path of Python workers that share the driver's folders."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    home, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
