@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm import mixing, packing, quality, sharding, token_files
+from spendcast.llm import mixing, near_dedup, packing, quality, sharding, token_files
 from spendcast.llm.sql import MIXING, QUALITY, SHARDING
 from spendcast.session import scratch_path
 
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +51,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_near_dedup": op2_near_dedup,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_token_files": op5_token_files,
