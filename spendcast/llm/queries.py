@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm import mixing, near_dedup, packing, quality, sharding, token_files
+from spendcast.llm import mixing, near_dedup, packing, passages, quality, sharding, token_files, vectors
 from spendcast.llm.sql import MIXING, QUALITY, SHARDING
 from spendcast.session import scratch_path
 
@@ -44,6 +44,14 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
@@ -55,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_token_files": op5_token_files,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op9_near_vectors": op9_near_vectors,
         "op10_sharding": op10_sharding,
     }
 
