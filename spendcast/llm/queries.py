@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm import mixing, near_dedup, packing, passages, quality, sharding, token_files, vectors
+from spendcast.llm import mixing, near_dedup, packing, passages, quality, scoring, sharding, token_files, vectors
 from spendcast.llm.sql import MIXING, QUALITY, SHARDING
 from spendcast.session import scratch_path
 
@@ -48,6 +48,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder, "documents"))
+
+
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_token_files": op5_token_files,
         "op6_substring_dedup": op6_substring_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_near_vectors": op9_near_vectors,
         "op10_sharding": op10_sharding,
     }
