@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm import mixing, near_dedup, packing, passages, quality, scoring, sharding, token_files, vectors
+from spendcast.llm import mixing, near_dedup, packing, passages, quality, scoring, sharding, token_files, vectors, warc
 from spendcast.llm.sql import MIXING, QUALITY, SHARDING
 from spendcast.session import scratch_path
 
@@ -48,6 +48,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    built = warc.derivatives(warc.responses(table(spark, folder, "pages")))
+    return built.withColumn("record_crc32", F.crc32("record")).drop("record")
+
+
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score(table(spark, folder, "documents"))
 
@@ -60,6 +65,12 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; it belongs to this package
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -68,9 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_token_files": op5_token_files,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_warc": op7_warc,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_near_vectors": op9_near_vectors,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 
