@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendcast.llm import mixing, near_dedup, packing, passages, quality
-from spendcast.llm.text import ROW_TAG, tagged
-from spendcast.session import materialize, scratch_path
+from spendcast.llm.text import ROW_TAG, steadily_tagged
+from spendcast.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 # Near-duplicate stages on word shingles: five words, similarity 0.8 or more.
@@ -25,14 +25,14 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a proven cutoff rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    numbered = materialize(tagged(docs), "numbered")
+    numbered = steadily_tagged(docs)
     kept = quality.judge(numbered, labels, keep=[ROW_TAG]).where("kept").select(ROW_TAG)
     return numbered.join(kept, ROW_TAG, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest number, and of its repeated rows the first."""
-    numbered = materialize(tagged(docs), "numbered")
+    numbered = steadily_tagged(docs)
     keys = numbered.select(F.col(ROW_TAG).alias("row"), "doc_id", "text")
     found = near_dedup.near_duplicates(keys, "row", "text", PERCENT, SHINGLE)
     named = found.select("row", "component_id").join(keys.select("row", "doc_id"), "row")

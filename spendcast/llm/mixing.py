@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import ROW_TAG, n_words, tagged, without
+from spendcast.llm.text import ROW_TAG, n_words, steadily_tagged, tagged, without
 from spendcast.operators.ordered import CHUNK, SEQ, order_rows, running_sums
 from spendcast.session import materialize
 
@@ -110,7 +110,7 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: every row as often as it is taken, with its own columns."""
-    numbered = materialize(tagged(without(docs, ROW_TAG)), "numbered")
+    numbered = steadily_tagged(without(docs, ROW_TAG))
     drawn = mix(numbered, keep=[ROW_TAG], **options).where("copies > 0")
     copies = drawn.select(ROW_TAG, F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_copies"))
     return (

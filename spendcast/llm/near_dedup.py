@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged
 from spendcast.operators.ordered import order_rows, running_sums
 from spendcast.session import materialize
 
@@ -111,8 +111,8 @@ class NearCopies:
 
     def __init__(self, docs: DataFrame, key: str, text: str, percent: int, words_per_shingle: int):
         self.key, self.text, self.percent, self.width = key, text, percent, words_per_shingle
-        numbered = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-        numbered = numbered.withColumn("row", F.monotonically_increasing_id())
+        numbered = steadily_tagged(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")))
+        numbered = numbered.withColumnRenamed(ROW_TAG, "row")
         self.rows = materialize(shingle_sets(numbered, ["row", "doc"], "text", words_per_shingle, RETAINED), "sketches")
         # the class of all rows with one set is named by its first row
         filled = self.rows.where("n_shingles > 0")

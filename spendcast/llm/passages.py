@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import components
-from spendcast.llm.text import ROW_TAG, python_workers, tagged, without
+from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged, without
 from spendcast.session import materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -207,7 +207,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Documents without a repeated passage have no row. The row that comes first in the table keeps a passage. Repeated
     rows are documents like others. NULL, empty and short texts repeat nothing. An empty table gives an empty one.
     """
-    numbered = materialize(tagged(docs.select(key, text)), "numbered")
+    numbered = steadily_tagged(docs.select(key, text))
     spans = repeated_spans(numbered, text, **options)
     names = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(key).alias("_key"))
     named = spans.join(names, F.col("row") == F.col("_row")).drop("_row").withColumnRenamed("_key", "own")
@@ -224,7 +224,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with their own columns, repeated passages cut out of ``text``. Nothing else of a text changes."""
     python_workers(docs.sparkSession)
-    numbered = materialize(tagged(without(docs, ROW_TAG)), "numbered")
+    numbered = steadily_tagged(without(docs, ROW_TAG))
     spans = repeated_spans(numbered, text, **options).where("removed")
     cuts = materialize(spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts")), "cuts")
     columns = [c for c in numbered.columns if c != ROW_TAG]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged
 from spendcast.session import materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -241,8 +241,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     """
     spark = docs.sparkSession
     python_workers(spark)
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+    numbered = steadily_tagged(docs.select(key, text)).select(
+        F.col(ROW_TAG).alias("row"),
         F.col(f"`{key}`").alias("name"),
         F.col(f"`{text}`").cast("string").alias("text"),
         held_out(key).alias("held_out"),

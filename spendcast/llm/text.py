@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendcast.session import materialize
+
 # The white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
@@ -30,10 +32,26 @@ def n_words(text: str) -> Column:
 
 
 def tagged(df: DataFrame) -> DataFrame:
-    """Number the rows, so that equal rows stay apart. The number is steady as long as ``df`` is a plain scan."""
+    """Number the rows, so that equal rows stay apart."""
     return df.withColumn(ROW_TAG, F.monotonically_increasing_id())
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads files, else a written copy.
+
+    A scan gives its rows in the same places whenever it is read, so numbers given there can be used twice.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return df if plan.nodeName().startswith(("LogicalRelation", "Relation")) else materialize(df, "steady")
+
+
+def steadily_tagged(df: DataFrame) -> DataFrame:
+    """Rows with numbers that are the same at every reading."""
+    return tagged(steady(df))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that would clash with an operator's own, whatever their case."""
     own = {n.lower() for n in names}
