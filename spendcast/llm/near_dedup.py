@@ -29,15 +29,18 @@ from spendcast.session import materialize
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
-# Values retained of each set.
+# Values retained of each set, and the smallest of them that make lists.
 RETAINED = 64
+LOOKED_AT = 32
 # A value retained by more classes makes no pairs by itself.
 LONGEST_LIST = 32
 # Values by which a class is listed. A pair at the threshold shares each with a chance of five in eight or more
-# unless its classes are among the crowded ones, so all are missed once in some million pairs.
+# unless its classes are among the crowded ones, so it shares fewer than three once in some hundred thousand pairs
+# (never counted where a class has fewer values).
 LISTED = 16
+LEAST_OVERLAP = 3
 # Share of crowded values from which a class is compared through them.
-CROWDED = 0.55
+CROWDED = 0.45
 # Crowded values by which such a class is listed: a pair shares none of them once in a hundred thousand pairs.
 LOUD = 6
 # Hubs of each list, by rank, with which the others are compared before blocks of the list are compared as a whole.
@@ -123,13 +126,13 @@ class NearCopies:
 
     def listed(self) -> tuple[DataFrame, DataFrame]:
         """Inverted lists ``value, node, few``: of values in few sketches, and of crowded values in crowded sketches."""
-        retained = self.sketches.select("node", F.posexplode("sketch").alias("at", "value"))
+        retained = self.sketches.select("node", F.posexplode(F.slice("sketch", 1, LOOKED_AT)).alias("at", "value"))
         crowd = retained.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         crowd = materialize(crowd, "crowd")
         # values in one sketch alone take part in no list, but count among the first of a class
         counted = retained.join(crowd, "value", "left").withColumn("crowded", F.coalesce(F.col("n") > LONGEST_LIST, F.lit(False)))
         entry = F.struct("at", "value", "crowded", F.coalesce("n", F.lit(1)).alias("n"))
-        per_class = counted.groupBy("node").agg(F.array_sort(F.collect_list(entry)).alias("all"))  # RETAINED at most
+        per_class = counted.groupBy("node").agg(F.array_sort(F.collect_list(entry)).alias("all"))  # LOOKED_AT at most
         split = per_class.select(
             "node",
             F.slice(F.filter("all", lambda e: ~e["crowded"]), 1, LISTED).alias("quiet"),
@@ -138,7 +141,7 @@ class NearCopies:
             F.aggregate("all", F.lit(0.0), lambda s, e: s + F.log(e["n"].cast("double"))).alias("typical"),
         )
         split = materialize(split, "lists")
-        few = F.size("quiet") < LISTED // 2
+        few = F.size("quiet") < LISTED
         quiet = split.select("node", few.alias("few"), F.explode("quiet").alias("e")).where("e.n > 1")
         loud = split.where("is_crowded").select("node", "typical", F.explode("loud").alias("e"))
         return quiet.select("e.value", "node", "few"), loud.select("e.value", "node", "typical")
@@ -173,7 +176,10 @@ class NearCopies:
             size = F.col("n_shingles").alias(f"n_{name}")
             return table.select(F.col("node").alias(key), F.col(value).alias(name), size)
 
-        sketched = pairs.join(side(self.sketches, "a", "sketch", "left"), "a").join(side(self.sketches, "b", "sketch", "right"), "b")
+        pairs = materialize(pairs, "pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sketches = materialize(self.sketches.join(asked, "node", "left_semi"), "asked-sketches")
+        sketched = pairs.join(side(sketches, "a", "sketch", "left"), "a").join(side(sketches, "b", "sketch", "right"), "b")
         # sizes further apart than the threshold allows can't reach it
         fitting = sketched.where(100 * F.least("n_left", "n_right") >= percent * F.greatest("n_left", "n_right"))
         close = materialize(similar(fitting, ["a", "b"], near, "a long, b long"), "close")
@@ -189,7 +195,7 @@ class NearCopies:
         other = quiet.select("value", F.col("node").alias("b"), F.col("few").alias("few_b"))
         pairs = quiet.select("value", F.col("node").alias("a"), F.col("few").alias("few_a")).join(other, "value").where("a < b")
         overlaps = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("few_a") | F.col("few_b")).alias("few"))
-        links = self.alike(overlaps.where("n > 1 OR few").select("a", "b"))
+        links = self.alike(overlaps.where(f"n >= {LEAST_OVERLAP} OR few").select("a", "b"))
 
         loud = loud.join(self.shared_enough(loud.select("node").distinct()), "node")
         loud = loud.withColumns({"one": F.lit(1).cast("long"), "rarity": -F.col("typical")})

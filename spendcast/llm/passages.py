@@ -4,7 +4,7 @@ A passage can stand anywhere in a text, so a paragraph here begins at every sent
 sentence with which it has enough words. Its five-word shingles give a few MinHash values, in bands; paragraphs that
 agree in a band are compared with the first of the band by exact Jaccard similarity. Linked paragraphs form
 clusters; the first document of a cluster keeps it, the others lose it. Overlapping paragraphs of a document make
-one span.
+one span, which may end one short sentence before the passage does.
 
 Two bands of two values find a pair of paragraphs at similarity 0.8 with a chance of 0.87. A passage of fifty words
 holds several paragraphs, so it is found by one of them practically always, and equal ones with certainty.
