@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from checks.queries import FOLDS, LAST, MONTH, PREVIOUS, ROW, SNAPSHOTS, places_of
+from spendcast.plans.profiles import SEARCH_SPACE
 from spendcast.schema import (
     DISTINCT_COLUMNS,
     LOG_ORDER,
     MEASURES,
     RUNNING_KEYS,
+    SEED,
     VALUES,
     feature_column,
     running_column,
@@ -67,6 +69,20 @@ def baseline(name: str, month: str, previous: str) -> str:
 BASE = baseline("base", MONTH, PREVIOUS)
 
 
+def search_space_sql(seed: int = SEED) -> str:
+    rows = ", ".join(
+        f"('{p}', '{n}', '{kind}', {float(low)!r}, {float(high)!r})"
+        for p, space in SEARCH_SPACE.items()
+        for n, (kind, low, high) in space.items()
+    )
+    u = f"('0x' || substr(md5('{seed}/' || name || '/' || trial), 1, 13))::BIGINT / 16.0::DOUBLE ^ 13"
+    return f"""WITH space(profile, name, kind, low, high) AS (VALUES {rows}),
+trials AS (SELECT (row_number() OVER () - 1)::INTEGER AS trial FROM nation),
+drawn AS (SELECT *, low::DOUBLE AS l, high::DOUBLE AS h, {u} AS u FROM space, trials)
+SELECT profile, trial, name, round(CASE kind WHEN 'log' THEN exp(ln(l) + u * (ln(h) - ln(l)))
+  WHEN 'int' THEN floor(l + u * (h - l + 1)) ELSE l + u * (h - l) END, 9) AS value FROM drawn"""
+
+
 def auc(source: str, score: str = "probability", by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     keys = f"{by}, " if by else ""
@@ -248,6 +264,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "read_transactions": f"WITH {TX} SELECT {tx_columns} FROM tx",
         "transactions": f"WITH {TX} SELECT {ROWS}, quantity, price, total FROM tx",
+        "search_space": search_space_sql(),
         "read_submission_template": f"WITH {TX} SELECT DISTINCT customer_id, 0.0::DOUBLE AS probability FROM tx",
         "write_submission": f"WITH {TX}, {BASE} SELECT customer_id, probability FROM base",
         "log_metrics": f"""WITH {TX}, {BASE}, {baseline("prev", PREVIOUS, month_before(PREVIOUS))}

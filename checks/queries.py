@@ -51,8 +51,8 @@ from spendcast.plans.baseline import baseline_no_ml
 from spendcast.plans.boosting import assemble, early_stop, feature_importance, fit, gbt_fit_predict, gbt_oof
 from spendcast.plans.feature_matrix import Matrices, feature_engineering, snapshot_matrix
 from spendcast.plans.jobs import predict, validate
-from spendcast.plans.profiles import PROFILES, gbt_params
-from spendcast.plans.tuning import best_trial, tune
+from spendcast.plans.profiles import PROFILES, SEARCH_SPACE, gbt_params
+from spendcast.plans.tuning import best_trial, search_space, tune
 from spendcast.schema import RUNNING_KEYS, TRANSACTION_SCHEMA, VALUES, running_column
 from spendcast.session import configure, materialize, scratch_path
 from spendcast.sources.sinks import (
@@ -81,7 +81,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def tx(spark: SparkSession, folder: str) -> DataFrame:
-    return star_transactions(configure(spark), folder)
+    """The log with four decimals, in which two engines agree: a quotient has no tie of rounding at six decimals."""
+    log = star_transactions(configure(spark), folder)
+    price = F.round(F.col("price").cast("decimal(18,6)"), 4).cast("double")
+    return log.withColumns({"price": price, "total": F.round("total", 4)})
+
+
+def rounded_events(spark: SparkSession, folder: str) -> DataFrame:
+    return event_transactions(configure(spark), folder).withColumns({v: F.round(v, 4) for v in VALUES})
 
 
 def log_through(spark: SparkSession, folder: str, month: str) -> DataFrame:
@@ -109,7 +116,7 @@ def places_of(column: str) -> int | None:
 def read_transactions_query(spark, folder):
     path = scratch_path(spark, "csv")
     tx(spark, folder).select(*TRANSACTION_SCHEMA.fieldNames()).write.option("header", True).csv(path)
-    return read_transactions(spark, path)
+    return read_transactions(spark, path).drop("row_tag")
 
 
 def transactions_query(spark, folder):
@@ -252,7 +259,7 @@ def running_total_query(key: str) -> Query:
 
 
 def hourly_events_query(spark, folder):
-    totals = running_totals(order_log(event_transactions(configure(spark), folder)), ["order_date_hour"])
+    totals = running_totals(order_log(rounded_events(spark, folder)), ["order_date_hour"])
     return totals.select(
         F.col("order_id").alias("event_id"), "order_date_hour", running_column("total", "order_date_hour")
     )
@@ -387,6 +394,17 @@ def param_profiles_query(spark, folder):
     return roc_auc(scored_by[0].unionByName(scored_by[1]).unionByName(scored_by[2]), by="profile")
 
 
+def search_space_query(spark, folder):
+    """The draws of all profiles, for as many trials as the data has nations."""
+    trials = spark.read.parquet(f"{folder}/nation.parquet").count()
+    drawn = [
+        search_space(spark, profile, trials).select(F.lit(profile).alias("profile"), "trial", F.explode("params").alias("name", "value"))
+        for profile in SEARCH_SPACE
+    ]
+    table = drawn[0].unionByName(drawn[1]).unionByName(drawn[2])
+    return table.select("profile", "trial", "name", F.round("value", 9).alias("value"))
+
+
 def tune_query(spark, folder):
     trials = tune(imputed_small(spark, folder), "cat", n_trials=2, folds=2, max_rounds=2, overrides={"maxDepth": 2})
     return trials.select("trial", "val_auc")
@@ -496,6 +514,7 @@ def queries() -> dict[str, Query]:
         "split_importance": lambda s, d: oof_of(s, d, importance="split").importance,
         "param_profiles": param_profiles_query,
         # tuning and jobs
+        "search_space": search_space_query,
         "tune": tune_query,
         "best_trial": best_trial_query,
         "validate": validate_query,

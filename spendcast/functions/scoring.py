@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendcast.schema import FIXED, FIXED_UNITS, SPEND_THRESHOLD
+from spendcast.schema import PLACES, SPEND_THRESHOLD
 
 
 def threshold_label(total: Column, threshold: float = SPEND_THRESHOLD) -> Column:
@@ -30,11 +30,21 @@ def null_for_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def to_fixed(c: Column) -> Column:
-    """An amount in the smallest unit: a double holding a whole number, so that sums of it are exact."""
-    return F.signum(c) * F.floor(F.abs(c) * FIXED_UNITS + 0.5)
+# As SQL text, because many of them make up one aggregate: an amount's whole part, and its rest in units.
+WHOLE_SQL = "floor({c})"
+REST_SQL = f"CAST(round(({{c}} - floor({{c}})) * 1e{PLACES}D) AS BIGINT)"
+# The double nearest to a sum of both: one division while it is exact, else through a decimal.
+FROM_PARTS_SQL = (
+    f"CASE WHEN abs({{w}}) < 4 * 1{'0' * (15 - PLACES)} AND abs({{r}}) < 4 * 1{'0' * 15} "
+    f"THEN ({{w}} * 1{'0' * PLACES} + {{r}}) / 1e{PLACES}D "
+    f"ELSE CAST(CAST({{w}} AS DECIMAL(19,0)) + CAST({{r}} AS DECIMAL(19,0)) * 0.{'0' * (PLACES - 1)}1BD AS DOUBLE) END"
+)
 
 
-def exact_sum(c: Column) -> Column:
-    """Sum in fixed point, returned as a double."""
-    return F.sum(c.cast(FIXED)).cast("double")
+def exact_sum_sql(c: str) -> str:
+    """The sum of a double column, NULL for no values."""
+    return FROM_PARTS_SQL.format(w=f"sum({WHOLE_SQL.format(c=c)})", r=f"sum({REST_SQL.format(c=c)})")
+
+
+def exact_sum(column: str) -> Column:
+    return F.expr(exact_sum_sql(f"`{column}`"))

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendcast.schema import SCALE, feature_column
+from spendcast.functions.scoring import exact_sum_sql
+from spendcast.schema import feature_column
 
 # As SQL text, because the feature table takes 168 of them and one parsed expression is one call to the JVM.
 #
-# sum:  0 for a group without values; rounding to the fixed-point scale takes out the noise of adding doubles.
+# sum:  0 for a group without values; exact, so free of the noise of adding doubles.
 # std:  the sample deviation, missing for one value.
 # skew: Spark's skewness is that of a population. Corrected for bias it is missing below three values; a
 #       constant group has none, and counts as 0.
 STATISTIC_SQL = {
-    "mean": "try_divide(round(sum({c}), {scale}), count({c}))",
+    "mean": "try_divide({sum}, count({c}))",
     "max": "max({c})",
     "min": "min({c})",
-    "sum": "coalesce(round(sum({c}), {scale}), 0D)",
+    "sum": "coalesce({sum}, 0D)",
     "count": "count({c})",
     "std": "stddev_samp({c})",
     "skew": (
@@ -30,7 +31,7 @@ STATISTIC_SQL = {
 
 
 def statistic(column: str, name: str) -> Column:
-    return F.expr(STATISTIC_SQL[name].format(c=f"`{column}`", scale=SCALE))
+    return F.expr(STATISTIC_SQL[name].format(c=f"`{column}`", sum=exact_sum_sql(f"`{column}`")))
 
 
 def name_aggregates(columns: Sequence[str], statistics: Sequence[str], separator: str = "__") -> list[Column]:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.functions.calendar import filter_month, filter_through_month, moment, month_offset
-from spendcast.functions.scoring import exact_sum, fill_missing_zero, threshold_label
+from spendcast.functions.scoring import FROM_PARTS_SQL, REST_SQL, WHOLE_SQL, exact_sum, fill_missing_zero, threshold_label
 from spendcast.operators.snapshots import SNAPSHOT
-from spendcast.schema import FIXED, SPEND_THRESHOLD
+from spendcast.schema import SPEND_THRESHOLD
 
 UNIVERSES = ("through", "before")
 
@@ -25,7 +25,7 @@ def monthly_customer_total(transactions: DataFrame) -> DataFrame:
     return (
         transactions.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id", F.date_format("order_date", "yyyy-MM").alias(SNAPSHOT))
-        .agg(exact_sum(F.col("total")).alias("total"))
+        .agg(exact_sum("total").alias("total"))
     )
 
 
@@ -43,11 +43,17 @@ def label_by_join(transactions: DataFrame, month: str, threshold: float = SPEND_
     return joined.select("customer_id", SNAPSHOT, total.alias("total"), threshold_label(total, threshold).alias("label"))
 
 
-def _month_total(df: DataFrame, month: str) -> Column:
-    inside = (F.col("order_date") >= moment(df, month)) & (F.col("order_date") < moment(df, month_offset(month, -1)))
-    # a row without a customer is in the universe but in no group of totals
-    spent = F.sum(F.when(inside & F.col("customer_id").isNotNull(), F.col("total").cast(FIXED)))
-    return fill_missing_zero(spent.cast("double"))
+def _month_totals(df: DataFrame, months: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Per month the sums of whole parts and rests, and the totals made of them."""
+    sums, totals = [], []
+    for i, month in enumerate(months):
+        inside = (F.col("order_date") >= moment(df, month)) & (F.col("order_date") < moment(df, month_offset(month, -1)))
+        # a row without a customer is in the universe but in no group of totals
+        counted = inside & F.col("customer_id").isNotNull()
+        for part, sql in (("whole", WHOLE_SQL), ("rest", REST_SQL)):
+            sums.append(F.sum(F.when(counted, F.expr(sql.format(c="total")))).alias(f"{part}_{i}"))
+        totals.append(fill_missing_zero(F.expr(FROM_PARTS_SQL.format(w=f"whole_{i}", r=f"rest_{i}"))).alias(f"total_{i}"))
+    return sums, totals
 
 
 def generate_labels(
@@ -64,9 +70,11 @@ def generate_labels(
     if universe not in UNIVERSES:
         raise ValueError(f"universe must be one of {UNIVERSES}")
     log = filter_through_month(transactions, max(months))
-    per_customer = log.groupBy("customer_id").agg(
-        F.min("order_date").alias("first_seen"),
-        *[_month_total(log, m).alias(f"total_{i}") for i, m in enumerate(months)],
+    sums, totals = _month_totals(log, months)
+    per_customer = (
+        log.groupBy("customer_id")
+        .agg(F.min("order_date").alias("first_seen"), *sums)
+        .select("customer_id", "first_seen", *totals)
     )
     limit = {"through": -1, "before": 0}[universe]
     per_month = F.array(

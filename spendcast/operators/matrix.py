@@ -43,10 +43,14 @@ def select_features(matrix: DataFrame) -> list[str]:
     return [c for c in matrix.columns if c not in KEY_COLUMNS]
 
 
-def attach_predictions(template: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Fill a submission by customer, not by row position."""
+def attach_predictions(template: DataFrame, predictions: DataFrame, fill: float | None = None) -> DataFrame:
+    """Fill a submission by customer, not by row position; other columns of the template stay.
+
+    A customer without a prediction gets ``fill``, or NULL where none is given.
+    """
     scores = predictions.select("customer_id", "probability")
-    return template.drop("probability").join(scores, ["customer_id"], "left")
+    joined = template.drop("probability").join(scores, ["customer_id"], "left")
+    return joined if fill is None else joined.fillna({"probability": fill})
 
 
 def union_vocabulary(train: DataFrame, test: DataFrame, column: str) -> DataFrame:

@@ -41,8 +41,8 @@ def running_sums(ordered: DataFrame, sums: Mapping[str, Mapping[str, str]]) -> D
     """Inclusive running sums in ``seq`` order.
 
     ``sums`` maps a key column to ``{output column: value column}``. Where the key or the value is NULL
-    the output is NULL, and a NULL value adds nothing to the rows after it. Doubles that hold whole
-    numbers add up exactly, whatever the chunks, as long as a sum stays below 2^53.
+    the output is NULL, and a NULL value adds nothing to the rows after it. Integers add up exactly,
+    whatever the chunks.
     """
     keys = list(sums)
     values = list(dict.fromkeys(v for outputs in sums.values() for v in outputs.values()))
@@ -60,8 +60,9 @@ def running_sums(ordered: DataFrame, sums: Mapping[str, Mapping[str, str]]) -> D
         .withColumn(SEQ, F.lit(-1).cast("bigint"))
     )
 
-    # chunk i goes to partition i, modulo their number: hashing would pile some chunks on one task
-    partitions = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # chunk i goes to partition i, whatever the shuffle partitions: a task never holds two chunks
+    partitions = ordered.agg(F.max(CHUNK)).first()[0]
+    partitions = 1 if partitions is None else partitions + 1
     rows = ordered.unionByName(carried, allowMissingColumns=True).repartitionById(partitions, CHUNK)
     outputs = {}
     for key, named in sums.items():

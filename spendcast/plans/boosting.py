@@ -72,11 +72,12 @@ def tree_margins(model: GBTClassificationModel, df: DataFrame, rounds: int | Non
     for tree, name in zip(trees, names):
         df = tree.setFeaturesCol(VECTOR).setPredictionCol(name).transform(df)
     weighted = [F.col(n) * F.lit(float(w)) for n, w in zip(names, model.treeWeights)]
-    prefixes, total = [], F.lit(0.0)
-    for step in weighted:
-        total = total + step
-        prefixes.append(total)
-    return df.withColumn("_margins", F.array(*prefixes)).drop(*names, VECTOR)
+    # each prefix adds one tree to the one before, so the expression grows with the trees, not with their square
+    start = F.array().cast("array<double>")
+    so_far = F.aggregate(
+        F.array(*weighted), start, lambda sums, step: F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0.0)) + step))
+    )
+    return df.withColumn("_margins", so_far).drop(*names, VECTOR)
 
 
 def feature_importance(
@@ -121,11 +122,14 @@ def early_stop(
         for i, m in enumerate(models)
     ]
     stages = reduce(DataFrame.unionByName, staged).select(
-        (F.col("fold") * F.lit(100_000) + F.col("pos") + 1).alias("stage"), "label", F.col("col").alias("margin")
+        # fold and rounds share one number, which has room for 2^32 of either
+        F.shiftleft(F.col("fold").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("stage"),
+        "label",
+        F.col("col").alias("margin"),
     )
     curve = roc_auc(stages, score="margin", by="stage").select(
-        F.expr("stage div 100000").cast("int").alias("fold"),
-        F.expr("stage % 100000").cast("int").alias("rounds"),
+        F.shiftright("stage", 32).cast("int").alias("fold"),
+        F.col("stage").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("rounds"),
         "auc",
     )
     by_fold: dict[int, dict[int, float]] = {}

@@ -106,7 +106,7 @@ UNSUPPORTED = ("bagging_freq", "lambda_l1", "lambda_l2", "metric_period")
 
 # A boosting round is a chain of distributed jobs, so rounds are limited unless the caller says otherwise.
 MAX_ROUNDS = 50
-# Spark grows trees level by level and refuses more than 30 levels.
+# Spark grows trees level by level and refuses more than 30 levels; so does this.
 DEEPEST = 30
 
 
@@ -127,7 +127,9 @@ def gbt_params(
         if name == "learning_rate":
             spark["stepSize"] = float(value)
         elif name in ("max_depth", "depth"):
-            spark["maxDepth"] = min(int(value), DEEPEST)
+            if int(value) > DEEPEST:
+                raise ValueError(f"Spark grows at most {DEEPEST} levels, {name} asks for {int(value)}")
+            spark["maxDepth"] = int(value)
         elif name == "num_leaves":
             spark["maxDepth"] = max(1, math.ceil(math.log2(value)))
         elif name in ("feature_fraction", "colsample_bytree", "rsm"):

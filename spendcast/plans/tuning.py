@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from spendcast.operators.metrics import roc_auc
 from spendcast.plans.boosting import gbt_oof
 from spendcast.plans.feature_matrix import Matrices
-from spendcast.plans.profiles import MAX_ROUNDS, SEARCH_SPACE, TRIALS, gbt_params, patience_of
+from spendcast.plans.profiles import MAX_ROUNDS, PROFILES, SEARCH_SPACE, TRIALS, gbt_params, patience_of
 from spendcast.schema import SEED
 
 
 def _draw(name: str, distribution: str, low: float, high: float, seed: int) -> Column:
-    """A value that depends on the trial, the parameter and the seed only."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("trial")), F.lit(2**53)) / F.lit(float(2**53))
+    """A value that depends on the trial, the parameter and the seed only, by a digest that any engine can repeat."""
+    digest = F.md5(F.concat(F.lit(f"{seed}/{name}/"), F.col("trial").cast("string")))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(16.0**13)
     if distribution == "log":
         return F.exp(F.lit(math.log(low)) + u * F.lit(math.log(high) - math.log(low)))
     if distribution == "int":
@@ -52,7 +53,8 @@ def tune(
     trials = search_space(spark, profile, n_trials, seed)
     scored = []
     for row in trials.collect():  # one row per trial
-        params = dict(row.params)
+        # what the search leaves open keeps its default, early stopping among it
+        params = PROFILES[profile]["default"] | dict(row.params)
         fitted = gbt_oof(
             matrices.train,
             matrices.test,

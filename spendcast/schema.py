@@ -21,14 +21,14 @@ TRANSACTION_SCHEMA = T.StructType(
     ]
 )
 
-# Money and quantities are added up as fixed-point numbers, so a sum is the same whatever the
-# partitioning, the order of arrival or a repeated task.
-SCALE = 4
-FIXED = T.DecimalType(18, SCALE)
-FIXED_UNITS = 10.0**SCALE
+# Money and quantities are added up as whole numbers and units of 10^-7, two integers, so a sum is the same whatever
+# the partitioning, the order of arrival or a repeated task. Units add up over some 10^11 rows, whole numbers to 10^18.
+PLACES = 7
 
-# Running totals follow this order. Rows equal in all of it are interchangeable.
-LOG_ORDER = ("order_date", "order_id", "line_no", "product_id", "supplier_id", "quantity", "total")
+# Running totals follow this order. It holds all that is summed and all keys, so rows equal in it are interchangeable.
+LOG_ORDER = (
+    "order_date", "order_id", "line_no", "product_id", "supplier_id", "customer_id", "country", "quantity", "total", "price"
+)
 # Only spreads exact copies of one order line over several tasks; see sources.transactions.
 ROW_TAG = "row_tag"
 

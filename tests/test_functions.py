@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -14,8 +15,10 @@ from spendcast.functions.calendar import (
     month_offset,
     month_offset_column,
 )
-from spendcast.functions.scoring import binarize, clip_probability, null_for_nan, threshold_label, to_fixed
+from spendcast.functions.scoring import binarize, clip_probability, exact_sum, null_for_nan, threshold_label
 from spendcast.functions.stats import name_aggregates
+from spendcast.operators.ordered import order_rows, running_sums
+from spendcast.operators.running_totals import order_log, running_totals
 from spendcast.schema import FEATURES, RUNNING_COLUMNS, STATISTICS
 
 
@@ -63,9 +66,38 @@ def test_column_rules(spark):
     assert rows[5].v is None
 
 
-def test_fixed_point_rounds_half_away(spark):
-    df = spark.createDataFrame([(1.00005,), (-1.00005,), (0.0,), (123.4567,), (None,)], "x double")
-    assert [r.f for r in df.select(to_fixed(F.col("x")).alias("f")).collect()] == [10001.0, -10001.0, 0.0, 1234567.0, None]
+@pytest.mark.parametrize("chunks", [1, 7, 40])
+def test_sums_are_exact(spark, chunks):
+    """Small decimals are not rounded away, and large totals keep their last digits, in sums and running totals alike."""
+    cases = {1: [0.00165] * 10, 2: [1e12] + [0.0001] * 9, 3: [1e15, -0.5, 1e15], 4: [-0.1, -0.2, 0.3], 5: [123456.789012] * 3}
+    rows = [(k, i, x) for k, xs in cases.items() for i, x in enumerate(xs)]
+    log = spark.createDataFrame(rows, "customer_id long, order_id long, total double").selectExpr(
+        "*", "total AS quantity", "total AS price", "order_id AS product_id", "'x' AS country", "timestamp_ntz'2011-01-01' AS order_date"
+    )
+    totals = running_totals(order_log(log, chunks), ["customer_id"]).groupBy("customer_id")
+    last = {r.customer_id: r.t for r in totals.agg(F.max_by("cumsum_total_by_cust_id", "order_id").alias("t")).collect()}
+    sums = {r.customer_id: r.s for r in log.groupBy("customer_id").agg(exact_sum("total").alias("s")).collect()}
+    exact = {k: float(sum(Decimal(repr(x)) for x in xs)) for k, xs in cases.items()}
+    assert last == exact and sums == exact
+
+
+def test_order_is_total(spark):
+    """Rows that differ in price alone get the same totals whatever their order of arrival."""
+    rows = [(1, 1, 1.0, float(p)) for p in (1, 2, 3)]
+    seen = set()
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        log = spark.createDataFrame([rows[i] for i in order], "customer_id long, order_id long, total double, price double")
+        log = log.selectExpr("*", "total AS quantity", "1L AS product_id", "'x' AS country", "timestamp_ntz'2011-01-01' AS order_date")
+        totals = running_totals(order_log(log, 2), ["customer_id"])
+        seen.add(tuple(sorted((r.price, r.cumsum_price_by_cust_id) for r in totals.collect())))
+    assert seen == {((1.0, 1.0), (2.0, 3.0), (3.0, 6.0))}
+
+
+def test_a_task_holds_one_chunk(spark):
+    log = spark.range(4000).selectExpr("id AS k", "1L AS x")
+    summed = running_sums(order_rows(log, ["k"], 40), {"k": {"s": "x"}})
+    placed = summed.select("chunk", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(placed) == len({r.task for r in placed}) == 40
 
 
 def test_statistics_match_a_data_frame_group_by(spark):

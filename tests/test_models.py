@@ -97,6 +97,8 @@ def test_parameter_mapping():
         "subsamplingRate": 0.8,
     }
     assert [patience_of(PROFILES[p]["tuned"]) for p in ("lgbm", "xgb", "cat")] == [159, 100, 128]
+    with pytest.raises(ValueError, match="31"):
+        gbt_params({"max_depth": 31})
     with pytest.raises(ValueError, match="lambda_l1"):
         gbt_params(PROFILES["lgbm"]["tuned"], strict=True)
 
@@ -126,12 +128,14 @@ def test_jobs(spark, ordered, tmp_path):
     result = validate(ordered, "1996-02", "cat", metrics, **options)
     logged = {r.name: r.value for r in read_metrics(spark, metrics).collect()}
     scores = {"precision", "recall", "f1", "roc_auc", "mean_auc", "oof_auc"}
-    assert set(logged) == scores | {"features"} | {f"param_{k}" for k in PROFILES["cat"]["tuned"]}
-    assert logged["features"] == 174 and logged["param_depth"] == 5
-    template = result.predictions.select("customer_id")
+    used = ("maxDepth", "maxIter", "stepSize", "featureSubsetStrategy", "seed", "folds", "patience")
+    assert set(logged) == scores | {"features", "fold_auc_0", "fold_auc_1"} | {f"param_{k}" for k in used}
+    assert (logged["features"], logged["param_maxDepth"], logged["param_maxIter"]) == (174, 2, 2)
+    template = result.predictions.select("customer_id", F.lit("kept").alias("note"))
     for profile, extra in (("xgb", options), ("baseline", {})):
         path = str(tmp_path / profile)
         predict(ordered, "1996-02", profile, template, path, **extra)
         written = read_submission_template(spark, path)
+        assert written.columns == ["customer_id", "note", "probability"]
         assert written.count() == template.count()
         assert written.where("probability BETWEEN 0 AND 1").count() == template.count()

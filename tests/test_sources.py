@@ -19,7 +19,7 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
         "y,NaN,1,2,,Spain,2011-12-01 00:00:00,2,1.25\n"
     )
     df = read_transactions(spark, str(path))
-    assert df.columns == TRANSACTION_SCHEMA.fieldNames()
+    assert df.columns == [*TRANSACTION_SCHEMA.fieldNames(), "row_tag"]
     first, second = df.orderBy("order_date").collect()
     assert (first.total, first.country, str(first.order_date)) == (-3.5, "France", "2011-11-30 23:59:59")
     assert second.total is None and second.customer_id is None
@@ -29,7 +29,9 @@ def test_parquet_round_trip(spark, log, tmp_path):
     path = str(tmp_path / "log")
     columns = TRANSACTION_SCHEMA.fieldNames()
     log.select(*columns).write.parquet(path)
-    assert same_rows(read_transactions(spark, path, "parquet"), log.select(*columns))
+    read = read_transactions(spark, path, "parquet")
+    assert same_rows(read.select(*columns), log.select(*columns))
+    assert read.select("row_tag").distinct().count() == log.count()
 
 
 def test_no_line_is_lost_in_the_star_join(spark, log):
@@ -48,6 +50,16 @@ def test_submission_overwrites(spark, tmp_path):
     assert [tuple(r) for r in read_submission_template(spark, path).collect()] == [(1, 0.2)]
 
 
+def test_template_is_read_by_its_header(spark, tmp_path):
+    path = tmp_path / "template.csv"
+    path.write_text("note,probability,customer_id\nx,0.5,11\ny,,12\n")
+    rows = read_submission_template(spark, str(path)).orderBy("customer_id").collect()
+    assert [(r.customer_id, r.probability, r.note) for r in rows] == [(11, 0.5, "x"), (12, None, "y")]
+    path.write_text("id,probability\n1,0.5\n")
+    with pytest.raises(ValueError, match="customer_id"):
+        read_submission_template(spark, str(path))
+
+
 def test_metrics_append(spark, tmp_path):
     path = str(tmp_path / "metrics")
     df = spark.createDataFrame([("f1", 0.5)], "metric string, value double")
