@@ -52,11 +52,9 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch["ids"], batch["width"], strict=True):
-                found = np.bincount(np.frombuffer(raw, f"<u{width}"), minlength=len(total))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total += found
+            for width, rows in batch.groupby("width")["ids"]:
+                found = np.bincount(np.frombuffer(b"".join(rows), f"<u{width}"), minlength=len(total))
+                total = np.pad(total, (0, len(found) - len(total))) + found
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen.astype(np.int64), "n": total[seen]})
 
