@@ -4,7 +4,7 @@ A passage can stand anywhere in a text, so a paragraph here begins at every sent
 sentence with which it has enough words. Its five-word shingles give a few MinHash values, in bands; paragraphs that
 agree in a band are compared with the first of the band by exact Jaccard similarity. Linked paragraphs form
 clusters; the first document of a cluster keeps it, the others lose it. Overlapping paragraphs of a document make
-one span, which may end one short sentence before the passage does.
+one span, which may end one short sentence before the passage does, or take one along that stands before it.
 
 Two bands of two values find a pair of paragraphs at similarity 0.8 with a chance of 0.87. A passage of fifty words
 holds several paragraphs, so it is found by one of them practically always, and equal ones with certainty.
@@ -36,28 +36,34 @@ BANDS, PER_BAND = 2, 2
 MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(BANDS * PER_BAND)]
 
 
+class WordHashes(dict):
+    """Hashes of words, kept while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
 class Paragraphs:
-    """Words of a text, their hashes, and the paragraphs as ranges of words."""
-
-    def __init__(self, text: str, known: dict[str, int], at_least: int):
-        found = list(FIND_WORDS.finditer(text))
-        self.words = [m.group() for m in found]
-        self.spans = [m.span() for m in found]
-        for w in self.words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        self.hashes = np.array([known[w] for w in self.words], np.uint64)
-        n = len(self.words)
+    """Hashes of a text's words, and the paragraphs as ranges of words."""
+
+    def __init__(self, text: str, known: WordHashes, at_least: int):
+        words: list[str] = []
+        lines = []
+        for line in text.split("\n"):
+            words += FIND_WORDS.findall(line)
+            lines.append(len(words))
+        self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         # a sentence ends with a mark or a line
-        last = np.array([w[-1] in ".!?" for w in self.words] or [], bool)
-        breaks = [text.find("\n", a[1], b[0]) >= 0 for a, b in zip(self.spans, self.spans[1:], strict=False)]
-        if n:
-            last |= np.array([*breaks, True])
-        ends = np.flatnonzero(last) + 1
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+        marks = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
+        ends = np.unique(np.array(marks + lines, np.int64))
+        ends = ends[ends > 0]
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         reach = np.searchsorted(ends, starts + at_least)
         inside = reach < len(ends)
-        self.starts, self.ends = starts[inside], ends[reach[inside]] if n else starts
+        self.starts, self.ends = starts[inside], ends[reach[inside]]
 
     def shingles(self) -> np.ndarray:
         """The hash of every five words in a row."""
@@ -98,12 +104,10 @@ class Paragraphs:
 def band_rows(numbered: DataFrame, text: str, where: bool, at_least: int) -> DataFrame:
     """``key`` and ``row`` of every paragraph and band; with ``where`` also ``first``, ``last`` (words) and ``digest``."""
     python_workers(numbered.sparkSession)
-    known: dict[str, int] = {}
+    known = WordHashes()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(known) > 500_000:
-                known.clear()
             parts = []
             for row, value in zip(batch["row"], batch["text"], strict=True):
                 p = Paragraphs(value or "", known, at_least)
@@ -144,11 +148,13 @@ def similar_links(numbered: DataFrame, found: DataFrame, text: str) -> DataFrame
     per_row = one.groupBy("row").agg(F.collect_list(F.struct("digest", "first", "last")).alias("wanted"))  # paragraphs of one text
     placed = texts.join(per_row, F.col("_row") == F.col("row")).select("text", "wanted")
 
+    known = WordHashes()
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for value, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                mixed = Paragraphs(value, {}, 1).shingles()
+                mixed = Paragraphs(value, known, 1).shingles()
                 for w in wanted:
                     out.append((w["digest"], np.unique(mixed[w["first"] : w["last"] - WORDS_PER_SHINGLE + 1]).tobytes()))
             yield pd.DataFrame(out, columns=["digest", "shingles"])
@@ -226,21 +232,22 @@ def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame
     python_workers(docs.sparkSession)
     numbered = steadily_tagged(without(docs, ROW_TAG))
     spans = repeated_spans(numbered, text, **options).where("removed")
-    cuts = materialize(spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts")), "cuts")
+    listed = F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans_to_cut")
+    cuts = materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts")
     columns = [c for c in numbered.columns if c != ROW_TAG]
-    joined = numbered.join(cuts, F.col(ROW_TAG) == F.col("row"), "left").select(*columns, "_cuts")
-    touched = joined.where("_cuts IS NOT NULL")
+    joined = numbered.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left").select(*columns, "_spans_to_cut")
+    touched = joined.where("_spans_to_cut IS NOT NULL")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             new = []
-            for value, spans in zip(batch[text], batch["_cuts"], strict=True):
+            for value, spans in zip(batch[text], batch["_spans_to_cut"], strict=True):
                 at, kept, end = [m.span() for m in FIND_WORDS.finditer(value)], [], 0
                 for s in spans:
                     kept.append(value[end : at[s["first"]][0]])
                     end = at[s["last"] - 1][1]
                 new.append("".join([*kept, value[end:]]))
-            yield batch.drop(columns="_cuts").assign(**{text: new})
+            yield batch.drop(columns="_spans_to_cut").assign(**{text: new})
 
-    plain = joined.where("_cuts IS NULL").select(*columns)
+    plain = joined.where("_spans_to_cut IS NULL").select(*columns)
     return plain.unionByName(touched.mapInPandas(cut, numbered.select(*columns).schema))

@@ -33,7 +33,8 @@ BLOCKS = re.compile(
 )
 TAG = re.compile(r"</?[a-z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LINK = re.compile(r"<a\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ANCHOR = re.compile(r"<a\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
+HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 DERIVED = "page {key}, warc_type string, record_id string, refers_to string, target_uri string, date string, "
 DERIVED += "content_type string, content_length long, block_digest string, payload_digest string, record binary"
 
@@ -135,7 +136,7 @@ def derive(raw: bytes) -> list[dict]:
     about = [("http-status", status), *((f"http-header-{k.strip().lower()}", v) for k, _, v in (h.partition(":") for h in headers) if k)]
     if title:
         about.append(("title", html.unescape(title[1])))
-    for link in LINK.finditer(shown):
+    for link in filter(None, (HREF.search(m.group()) for m in ANCHOR.finditer(shown))):
         target = html.unescape(next(x for x in link.groups() if x is not None))
         try:
             about.append(("outlink", urljoin(url, target.strip())))
