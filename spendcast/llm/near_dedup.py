@@ -12,7 +12,6 @@ one component are passed over. Other classes have enough further values to be fo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged
+from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged
 from spendcast.operators.ordered import order_rows, running_sums
 from spendcast.session import materialize
 
-FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
-
 # Values retained of each set, and the smallest of them that make lists.
 RETAINED = 64
 LOOKED_AT = 32
@@ -51,15 +47,13 @@ BLOCK = 1 << 18
 ERRORS = 4.0
 
 
-def shingle_hashes(text: str | None, words_per_shingle: int, known: dict[str, int]) -> np.ndarray:
+def shingle_hashes(text: str | None, words_per_shingle: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a text with fewer words is one shingle, one without is empty."""
-    words = FIND_WORDS.findall((text or "").translate(LOWER))
+    # bytes know the same white space and letters A-Z as the task does
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.array([known[w] for w in words], np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(words_per_shingle, len(words))
     mixed = np.full(len(h) - width + 1, np.uint64(width * 0x9E3779B97F4A7C15 % 2**64))
     with np.errstate(over="ignore"):
@@ -77,12 +71,10 @@ def shingle_sets(
     """``columns``, ``n_shingles``, and either ``same`` (a 128-bit digest of the set) with ``sketch``, or the ``hashes``."""
     python_workers(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    known: dict[str, int] = {}
+    known = WordHashes()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(known) > 500_000:
-                known.clear()
             found = [shingle_hashes(t, words_per_shingle, known) for t in batch["_text"]]
             out = batch[columns].copy()
             out["n_shingles"] = [len(x) for x in found]

@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import components
-from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged, without
+from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged, without
 from spendcast.session import materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -36,28 +35,18 @@ BANDS, PER_BAND = 2, 2
 MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(BANDS * PER_BAND)]
 
 
-class WordHashes(dict):
-    """Hashes of words, kept while there is room."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
 class Paragraphs:
     """Hashes of a text's words, and the paragraphs as ranges of words."""
 
     def __init__(self, text: str, known: WordHashes, at_least: int):
-        words: list[str] = []
+        words: list[bytes] = []
         lines = []
-        for line in text.split("\n"):
-            words += FIND_WORDS.findall(line)
+        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+            words += line.split()
             lines.append(len(words))
         self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         # a sentence ends with a mark or a line
-        marks = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
+        marks = [i for i, w in enumerate(words, 1) if w[-1] in b".!?"]
         ends = np.unique(np.array(marks + lines, np.int64))
         ends = ends[ends > 0]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends

@@ -13,22 +13,18 @@ blocks of a stated number of entries; a larger table takes more passes over the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import ROW_TAG, python_workers, steadily_tagged
+from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged
 from spendcast.session import materialize
 
-FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
 # No word holds it: the end of a text, and what stands before its start.
-END = "\n"
+END = b"\n"
 # Longest context in bytes. With its byte, a pair fits six bytes of a number.
 ORDER = 5
 BYTE = np.uint64(8)
@@ -43,13 +39,14 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens(text: str | None) -> list[str]:
-    return FIND_WORDS.findall((text or "").translate(LOWER))
+def tokens(text: str | None) -> list[bytes]:
+    """Words in UTF-8; bytes know the same white space and letters A-Z as the task does."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pairs(words: list[str]) -> np.ndarray:
+def pairs(words: list[bytes]) -> np.ndarray:
     """Context and byte of every byte of a text, as numbers of six bytes."""
-    raw = (END * ORDER + " ".join(words) + END).encode("utf-8", "surrogatepass")
+    raw = END * ORDER + b" ".join(words) + END
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
     n = len(b) - ORDER
     out = np.zeros(n, np.uint64)
@@ -58,43 +55,42 @@ def pairs(words: list[str]) -> np.ndarray:
     return out
 
 
-def word_keys(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+def word_keys(words: list[bytes], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 class Counts:
-    """Sorted keys and their counts; new keys wait until there are enough to be merged."""
+    """Sorted keys and their counts; new keys wait until there are enough to be sorted and merged."""
 
     def __init__(self):
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, int]] = []
+        self.waiting: dict[int, list[np.ndarray]] = {0: [], 1: []}
         self.size = 0
 
     def add(self, keys: np.ndarray, weight: int) -> None:
-        self.waiting.append((keys, weight))
+        self.waiting[weight].append(keys)
         self.size += len(keys)
         if self.size > AT_ONCE + 2 * len(self.keys):
             self.merge()
 
     def merge(self) -> None:
-        keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
-        counts = np.concatenate([self.counts, *[np.full(len(k), w) for k, w in self.waiting]])
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(place, weights=counts, minlength=len(self.keys)).astype(np.int64)
-        self.waiting, self.size = [], 0
+        keys, counts = [self.keys], [self.counts]
+        for weight, waiting in self.waiting.items():
+            flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *waiting]))
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+            keys.append(flat[first])
+            counts.append(np.diff(np.append(first, len(flat))) * weight)
+        self.keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.counts = np.bincount(place, weights=np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
+        self.waiting, self.size = {0: [], 1: []}, 0
 
 
 def gathered(docs: DataFrame) -> DataFrame:
     """``kind`` (word or pair), ``key``, ``n`` in training texts; pairs of other texts have 0. One row per key and task."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, known = {"word": Counts(), "pair": Counts()}, {}
+        seen, known = {"word": Counts(), "pair": Counts()}, WordHashes()
         for batch in batches:
-            if len(known) > 500_000:
-                known.clear()
             for text, held in zip(batch["text"], batch["held_out"], strict=True):
                 words = tokens(text)
                 seen["pair"].add(pairs(words), 0 if held else 1)
@@ -270,10 +266,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
         def look_up(batches: Iterator[pd.DataFrame], handed=handed) -> Iterator[pd.DataFrame]:
             of_words, of_pairs = handed.value
             logs = of_words[0], np.log10(of_words[1] + 0.1)
-            known: dict[str, int] = {}
+            known = WordHashes()
             for batch in batches:
-                if len(known) > 500_000:
-                    known.clear()
                 start, texts = 0, [tokens(t) for t in batch["text"]]
                 sizes = np.cumsum([sum(map(len, t)) for t in texts])
                 while start < len(texts):

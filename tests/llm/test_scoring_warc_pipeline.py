@@ -20,7 +20,7 @@ def plain_model(rows):
     contexts = {}
     for i, t in rows:
         if zlib.crc32((str(i) if i is not None else "").encode()) % 10:
-            s = b"\n" * 5 + " ".join(scoring.tokens(t)).encode() + b"\n"
+            s = b"\n" * 5 + b" ".join(scoring.tokens(t)) + b"\n"
             for at in range(5, len(s)):
                 for k in range(6):
                     followers = contexts.setdefault(s[at - k : at], Counter())
@@ -43,7 +43,7 @@ def plain_model(rows):
         return score - math.log10(256 - len(refused))
 
     def score(t):
-        s = b"\n" * 5 + " ".join(scoring.tokens(t)).encode() + b"\n"
+        s = b"\n" * 5 + b" ".join(scoring.tokens(t)) + b"\n"
         return sum(byte_score(s, at) for at in range(5, len(s)))
 
     return score
@@ -57,13 +57,13 @@ def test_scores(odd, odd_rows, block):
     train = Counter()
     for i, t in rows:
         if zlib.crc32((str(i) if i is not None else "").encode()) % 10:
-            train.update([*scoring.tokens(t), "\n"])
+            train.update([*scoring.tokens(t), b"\n"])
     n, v, texts = sum(train.values()), len(train), {}
     for i, t in rows:
         texts[i] = t
     assert len(found) == len(rows)
     for r in found:
-        words = [*scoring.tokens(texts[r.doc_id]), "\n"]
+        words = [*scoring.tokens(texts[r.doc_id]), b"\n"]
         base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in train for w in words), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(exact(texts[r.doc_id]))
