@@ -33,9 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest number, and of its repeated rows the first."""
     numbered = steadily_tagged(docs)
-    keys = numbered.select(F.col(ROW_TAG).alias("row"), "doc_id", "text")
-    found = near_dedup.near_duplicates(keys, "row", "text", PERCENT, SHINGLE)
-    named = found.select("row", "component_id").join(keys.select("row", "doc_id"), "row")
+    found = near_dedup.near_duplicates(numbered.select(ROW_TAG, "text"), ROW_TAG, "text", PERCENT, SHINGLE)
+    keys = numbered.select(F.col(ROW_TAG).alias("row"), "doc_id")
+    named = found.select(F.col(ROW_TAG).alias("row"), "component_id").join(keys, "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     kept = first.select(F.col("least.row").alias(ROW_TAG))
     return numbered.join(kept, ROW_TAG, "left_semi").select(*[f"`{c}`" for c in docs.columns])

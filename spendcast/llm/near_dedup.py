@@ -106,7 +106,9 @@ class NearCopies:
 
     def __init__(self, docs: DataFrame, key: str, text: str, percent: int, words_per_shingle: int):
         self.key, self.text, self.percent, self.width = key, text, percent, words_per_shingle
-        numbered = steadily_tagged(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")))
+        rows = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+        # a key that is a row's steady number already numbers the rows
+        numbered = rows.withColumn(ROW_TAG, F.col("doc")) if key == ROW_TAG else steadily_tagged(rows)
         numbered = numbered.withColumnRenamed(ROW_TAG, "row")
         self.rows = materialize(shingle_sets(numbered, ["row", "doc"], "text", words_per_shingle, RETAINED), "sketches")
         # the class of all rows with one set is named by its first row

@@ -37,20 +37,13 @@ def tagged(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW_TAG, F.monotonically_increasing_id())
 
 
-def steady(df: DataFrame) -> DataFrame:
-    """``df`` itself if it only reads files, else a written copy.
+def steadily_tagged(df: DataFrame) -> DataFrame:
+    """Rows with numbers that are the same at every reading.
 
-    A scan gives its rows in the same places whenever it is read, so numbers given there can be used twice.
+    The numbered rows are written once: a scan is cut into tasks by the cores registered at the time, so numbers given
+    while reading differ between jobs when executors come and go.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
-        plan = plan.children().apply(0)
-    return df if plan.nodeName().startswith(("LogicalRelation", "Relation")) else materialize(df, "steady")
-
-
-def steadily_tagged(df: DataFrame) -> DataFrame:
-    """Rows with numbers that are the same at every reading."""
-    return tagged(steady(df))
+    return materialize(tagged(df), "numbered")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -127,3 +127,18 @@ def test_weighted_shards_take_their_share(spark):
         assert r["count"] == pytest.approx(20000 * weights[r.s] / 8, rel=0.06)
     with pytest.raises(ValueError):
         sharding.rendezvous(F.col("id"), [1.0, 0.0])
+
+
+def test_row_numbers_do_not_follow_the_cores(spark, tmp_path):
+    """Executors may come and go between two readings, which cuts the same files into other tasks."""
+    from spendcast.llm.text import ROW_TAG, steadily_tagged
+
+    spark.range(2000).repartition(6).write.parquet(str(tmp_path / "docs"))
+    numbered, setting, seen = steadily_tagged(spark.read.parquet(str(tmp_path / "docs"))), "spark.sql.leafNodeDefaultParallelism", []
+    try:
+        for cores in (3, 2):
+            spark.conf.set(setting, cores)
+            seen.append({r.id: r[ROW_TAG] for r in numbered.select("id", ROW_TAG).collect()})
+    finally:
+        spark.conf.unset(setting)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 2000
