@@ -1,10 +1,16 @@
-"""Repeated passages, found by MinHash banding of paragraphs and removed from all documents but one.
+"""Repeated passages, found word by word where they are exact and by MinHash banding of paragraphs where they are not.
 
-A passage can stand anywhere in a text, so a paragraph here begins at every sentence and runs to the end of the
+**Exact repeats.** Of every window of as many words as a span has at least, the smallest hash of some words in it is
+its anchor, so equal windows have equal anchors, wherever sentences begin or end. Windows in a row with one anchor
+are a segment. Segments whose anchor is found in one document only are left at once; of an anchor with one segment
+every window repeats; of the others each different segment is taken apart once, and its windows are counted. So a
+passage is found to its last word if it has the words of a span, and no pairs are made.
+
+**Edited repeats.** A paragraph here begins at every sentence and runs to the end of the
 sentence with which it has enough words. Its five-word shingles give a few MinHash values, in bands; paragraphs that
 agree in a band are compared with the first of the band by exact Jaccard similarity. Linked paragraphs form
 clusters; the first document of a cluster keeps it, the others lose it. Overlapping paragraphs of a document make
-one span, which may end one short sentence before the passage does, or take one along that stands before it.
+one span, together with exact repeats.
 
 Two bands of two values find a pair of paragraphs at similarity 0.8 with a chance of 0.87. A passage of fifty words
 holds several paragraphs, so it is found by one of them practically always, and equal ones with certainty.
@@ -17,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import components
@@ -30,9 +36,25 @@ SIMILAR = 0.8
 # Words a paragraph has at least, and words a span has to have to be removed.
 PARAGRAPH_WORDS = 25
 SPAN_WORDS = 30
+# Words of an anchor. Fewer make fewer segments and more chance agreements, which the windows sort out.
+ANCHOR_WORDS = 12
 BANDS, PER_BAND = 2, 2
 # Odd multipliers of the MinHash functions, from the rule: powers of an odd number.
 MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(BANDS * PER_BAND)]
+# The base of hashes of word sequences, and its inverse modulo 2^64.
+BASE = 0x9FB21C651E98DF25
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
 
 
 class Paragraphs:
@@ -64,6 +86,39 @@ class Paragraphs:
                 mixed ^= mixed >> np.uint64(32)
         return mixed
 
+    def sequences(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the words of each range: equal words in equal order give an equal one, wherever they stand."""
+        n = len(self.hashes)
+        with np.errstate(over="ignore"):
+            if not hasattr(self, "sums"):
+                self.sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(self.hashes * powers(BASE, n), out=self.sums[1:])
+                self.back = powers(INVERSE, n + 1)
+            return stirred((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+    def windows(self, span_words: int) -> np.ndarray:
+        """The hash of every ``span_words`` words in a row."""
+        starts = np.arange(max(len(self.hashes) - span_words + 1, 0))
+        return self.sequences(starts, starts + span_words)
+
+    def segments(self, span_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows in a row with one anchor: the anchor's key, first and last word, and a digest of all words."""
+        n, width = len(self.hashes), min(ANCHOR_WORDS, span_words)
+        if n < span_words:
+            return (np.zeros(0, np.int64),) * 4
+        at = np.arange(n - width + 1)
+        anchors = self.sequences(at, at + width)
+        # of equal ones the leftmost, which the words of the window alone decide
+        least = np.lib.stride_tricks.sliding_window_view(anchors, span_words - width + 1).argmin(axis=1)
+        least = least + np.arange(len(least))
+        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        last = np.append(first[1:], len(least)) - 1 + span_words
+        with np.errstate(over="ignore"):
+            key = stirred(anchors[least[first]] ^ np.uint64(0x632BE59BD9B4E019))
+            place = (least[first] - first).astype(np.uint64) * np.uint64(INVERSE) + (last - first).astype(np.uint64)
+            digest = stirred(self.sequences(first, last) ^ stirred(place))
+        return key.view(np.int64), first, last, digest.view(np.int64)
+
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of every paragraph, one column per band, and a digest of its words in order."""
         if not len(self.starts):
@@ -90,35 +145,88 @@ class Paragraphs:
         return np.stack(keys, axis=1), digest.view(np.int64)
 
 
-def band_rows(numbered: DataFrame, text: str, where: bool, at_least: int) -> DataFrame:
-    """``key`` and ``row`` of every paragraph and band; with ``where`` also ``first``, ``last`` (words) and ``digest``."""
+def band_rows(numbered: DataFrame, text: str, where: bool, at_least: int, span_words: int) -> DataFrame:
+    """``key`` and ``row`` of every segment, and of every paragraph and band.
+
+    With ``where`` also ``first``, ``last`` (words), ``digest`` and ``exact`` (true for segments).
+    """
     python_workers(numbered.sparkSession)
     known = WordHashes()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            parts, segments = [], []
             for row, value in zip(batch["row"], batch["text"], strict=True):
                 p = Paragraphs(value or "", known, at_least)
                 keys, digest = p.bands()
                 parts.append((np.full(len(keys), row), keys, p.starts, p.ends, digest))
+                key, first, last, digest = p.segments(span_words)
+                segments.append((np.full(len(key), row), key, first, last, digest))
             row, keys, first, last, digest = (np.concatenate([x[i] for x in parts]) for i in range(5))
-            for band in range(BANDS):
-                out = {"key": keys[:, band], "row": row}
-                if where:
-                    out |= {"first": first, "last": last, "digest": digest}
-                yield pd.DataFrame(out, dtype="int64")
+            each = [(row, keys[:, band], first, last, digest, False) for band in range(BANDS)]
+            each.append((*(np.concatenate([x[i] for x in segments]) for i in range(5)), True))
+            for row, key, first, last, digest, exact in each:
+                out = pd.DataFrame({"key": key, "row": row}, dtype="int64")
+                yield out.assign(first=first, last=last, digest=digest, exact=exact) if where else out
 
-    kinds = "key long, row long" + (", first long, last long, digest long" if where else "")
+    kinds = "key long, row long" + (", first long, last long, digest long, exact boolean" if where else "")
     named = numbered.select(F.col(ROW_TAG).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     return named.mapInPandas(rows, kinds)
 
 
-def occurrences(numbered: DataFrame, text: str, at_least: int = PARAGRAPH_WORDS) -> DataFrame:
-    """``row``, ``first``, ``last``, ``digest`` and ``key`` of the paragraphs that share a band with another document."""
-    both = band_rows(numbered, text, False, at_least).groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+def occurrences(numbered: DataFrame, text: str, at_least: int = PARAGRAPH_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
+    """``row``, ``first``, ``last``, ``digest``, ``exact`` and ``key`` of what shares a key with another document."""
+    both = band_rows(numbered, text, False, at_least, span_words).groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"))
     shared = materialize(both.where("a < b").select("key"), "shared-bands")
-    return materialize(band_rows(numbered, text, True, at_least).join(shared, "key"), "occurrences")
+    return materialize(band_rows(numbered, text, True, at_least, span_words).join(shared, "key"), "occurrences")
+
+
+def exact_spans(numbered: DataFrame, found: DataFrame, text: str, span_words: int) -> DataFrame:
+    """``row``, ``first``, ``last``, ``first_row`` of runs of windows that another document holds too.
+
+    They cover a row's repeated words to the last one; ``first_row`` is the first row that holds these windows.
+    """
+    each = found.groupBy("key", "digest").agg(
+        F.min("row").alias("a"), F.max("row").alias("b"), F.min(F.struct("row", "first", "last")).alias("at")
+    )
+    each = materialize(each, "segments")
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(counted, "key")
+    whole = each.where("n = 1 AND a < b").select(
+        "key", "digest", F.col("a").alias("first_row"), F.lit(0).cast("long").alias("from"), (F.col("at.last") - F.col("at.first")).alias("to")
+    )
+    # one occurrence stands for a digest; its windows are read from its document
+    wanted = each.where("n > 1").groupBy(F.col("at.row").alias("row"))
+    per_row = wanted.agg(F.collect_list(F.struct("key", "digest", "a", "b", "at.first", "at.last")).alias("wanted"))  # of one text
+    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+    placed = texts.join(per_row, F.col("_row") == F.col("row")).select("text", "wanted")
+    known = WordHashes()
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for value, wanted in zip(batch["text"], batch["wanted"], strict=True):
+                hashes = Paragraphs(value, known, 1).windows(span_words).view(np.int64)
+                names = ("key", "digest", "a", "b", "first", "last")
+                key, digest, a, b, first, last = (np.array([w[x] for w in wanted], np.int64) for x in names)
+                sizes = last - first - span_words + 1
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                out = {"key": key, "digest": digest, "a": a, "b": b}
+                out = {k: np.repeat(v, sizes) for k, v in out.items()}
+                yield pd.DataFrame(out | {"place": place, "window": hashes[np.repeat(first, sizes) + place]}, dtype="int64")
+
+    python_workers(numbered.sparkSession)
+    apart_kind = "key long, digest long, a long, b long, place long, window long"
+    windows = materialize(placed.mapInPandas(apart, apart_kind), "windows")
+    common = windows.groupBy("window").agg(F.min("a").alias("first_row"), F.max("b").alias("last_row")).where("first_row < last_row")
+    there = windows.join(common, "window").select("key", "digest", "place", "first_row")
+    # a segment has a handful of windows; those in a row are one run
+    order = Window.partitionBy("key", "digest", "first_row").orderBy("place")
+    runs = there.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("key", "digest", "first_row", "run")
+    runs = runs.agg(F.min("place").alias("from"), (F.max("place") + span_words).alias("to")).drop("run")
+    ranges = materialize(whole.unionByName(runs), "segment-ranges")
+    return found.join(ranges, ["key", "digest"]).select(
+        "row", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"), "first_row"
+    )
 
 
 def similar_links(numbered: DataFrame, found: DataFrame, text: str) -> DataFrame:
@@ -171,12 +279,14 @@ def repeated_spans(
 
     ``numbered`` carries a steady ``_row_tag``. The first row of a passage's cluster keeps it (``removed`` is false there).
     """
-    found = occurrences(numbered, text, at_least)
+    every = occurrences(numbered, text, at_least, span_words)
+    found = every.where("NOT exact")
     roots = components(similar_links(numbered, found, text))
     places = found.select("row", "first", "last", "digest").distinct()
     clustered = places.join(roots, F.col("digest") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "digest"))
     firsts = clustered.groupBy("cluster").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
     told = clustered.join(firsts.where("first_row < last_row"), "cluster")
+    told = told.select("row", "first", "last", "first_row").union(exact_spans(numbered, every.where("exact"), text, span_words))
     told = told.select("row", "first", "last", "first_row", (F.col("row") != F.col("first_row")).alias("removed"))
     # the paragraphs of one text, in order: those that overlap or touch are one span
     per_text = told.groupBy("row", "removed").agg(F.array_sort(F.collect_list(F.struct("first", "last", "first_row"))).alias("all"))
