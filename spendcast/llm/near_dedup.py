@@ -205,42 +205,7 @@ class NearCopies:
             hubs = hubs.select("value", F.col("node").alias("a"), F.col("rank").alias("hub_rank"), F.col("root").alias("hub_root"))
             pairs = at.join(hubs, "value").where("rank > hub_rank AND root <> hub_root")
             links = links.union(self.alike(pairs.select("a", F.col("node").alias("b")).distinct()))
-        return links.union(self.tiled(with_roots(ranked, components(links))))
-
-    def tiled(self, listed: DataFrame) -> DataFrame:
-        """Links between different components within a list, found by comparing blocks of full sets.
-
-        Lists lie in order of components, so most blocks hold one component and need no comparison with its others.
-        """
-        percent = self.percent
-        sizes = self.crowded_sets.select(F.col("node").alias("_n"), "n_shingles")
-        sized = listed.join(sizes, F.col("node") == F.col("_n")).select("value", "root", "node", (F.col("n_shingles") + BLOCK // 512).alias("room"))
-        summed = running_sums(order_rows(sized, ["value", "root", "node"]), {"value": {"up_to": "room"}})
-        blocked = materialize(summed.select("value", "root", "node", F.floor(F.col("up_to") / BLOCK).alias("block")), "blocks")
-        blocks = blocked.groupBy("value", "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        other = blocks.select("value", F.col("block").alias("block2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-        tiles = blocks.join(other, "value").where("block <= block2 AND least(least, least2) < greatest(most, most2)")
-        tiles = materialize(tiles.select("value", "block", "block2"), "tiles")
-        left = tiles.select("value", "block", "block2", F.lit(0).alias("side"), F.col("block").alias("take"))
-        right = tiles.where("block < block2").select("value", "block", "block2", F.lit(1).alias("side"), F.col("block2").alias("take"))
-        members = blocked.withColumnRenamed("block", "take")
-        placed = left.union(right).join(members, ["value", "take"])
-        filled = placed.join(self.crowded_sets.select("node", "hashes"), "node")
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            a = rows[rows["side"] == 0]
-            b = rows[rows["side"] == 1] if (rows["side"] == 1).any() else a
-            shared = shared_counts(a["hashes"].tolist(), b["hashes"].tolist())
-            total = np.array([len(x) for x in a["hashes"]])[:, None] + np.array([len(x) for x in b["hashes"]])
-            apart = a["root"].to_numpy()[:, None] != b["root"].to_numpy()
-            i, j = np.nonzero((100 * shared >= percent * (total - shared)) & apart)
-            forest, a_nodes, b_nodes = Forest(), a["node"].tolist(), b["node"].tolist()
-            found = [(a_nodes[x], b_nodes[y]) for x, y in zip(i, j, strict=True) if forest.join(a_nodes[x], b_nodes[y])]
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-        python_workers(listed.sparkSession)
-        grouped = filled.groupBy("value", "block", "block2").applyInPandas(compare, "a long, b long")
-        return materialize(grouped, "tile-links")
+        return links.union(tiled(with_roots(ranked, components(links)), self.crowded_sets, self.percent))
 
 
 def with_roots(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -249,6 +214,42 @@ def with_roots(listed: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("value", "node", "rank", F.coalesce("root", "node").alias("root"))
 
 
+def tiled(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within a list, found by comparing blocks of full sets.
+
+    ``listed`` has ``value, node, root``, ``sets`` has ``node, n_shingles, hashes``. Lists lie in order of components, so
+    most blocks hold one component and need no comparison with its others.
+    """
+    sizes = sets.select(F.col("node").alias("_n"), "n_shingles")
+    sized = listed.join(sizes, F.col("node") == F.col("_n")).select("value", "root", "node", (F.col("n_shingles") + BLOCK // 512).alias("room"))
+    summed = running_sums(order_rows(sized, ["value", "root", "node"]), {"value": {"up_to": "room"}})
+    blocked = materialize(summed.select("value", "root", "node", F.floor(F.col("up_to") / BLOCK).alias("block")), "blocks")
+    blocks = blocked.groupBy("value", "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    other = blocks.select("value", F.col("block").alias("block2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    tiles = blocks.join(other, "value").where("block <= block2 AND least(least, least2) < greatest(most, most2)")
+    tiles = materialize(tiles.select("value", "block", "block2"), "tiles")
+    left = tiles.select("value", "block", "block2", F.lit(0).alias("side"), F.col("block").alias("take"))
+    right = tiles.where("block < block2").select("value", "block", "block2", F.lit(1).alias("side"), F.col("block2").alias("take"))
+    members = blocked.withColumnRenamed("block", "take")
+    placed = left.union(right).join(members, ["value", "take"])
+    filled = placed.join(sets.select("node", "hashes"), "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        a = rows[rows["side"] == 0]
+        b = rows[rows["side"] == 1] if (rows["side"] == 1).any() else a
+        shared = shared_counts(a["hashes"].tolist(), b["hashes"].tolist())
+        total = np.array([len(x) for x in a["hashes"]])[:, None] + np.array([len(x) for x in b["hashes"]])
+        apart = a["root"].to_numpy()[:, None] != b["root"].to_numpy()
+        i, j = np.nonzero((100 * shared >= percent * (total - shared)) & apart)
+        forest, a_nodes, b_nodes = Forest(), a["node"].tolist(), b["node"].tolist()
+        found = [(a_nodes[x], b_nodes[y]) for x, y in zip(i, j, strict=True) if forest.join(a_nodes[x], b_nodes[y])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    python_workers(listed.sparkSession)
+    grouped = filled.groupBy("value", "block", "block2").applyInPandas(compare, "a long, b long")
+    return materialize(grouped, "tile-links")
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
     """How many values each set of one list shares with each of the other: products of 0/1 matrices, columns by columns."""
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))

@@ -10,6 +10,7 @@ import pytest
 
 from spendcast.llm import passages
 from spendcast.llm.text import steadily_tagged
+from tests.llm.test_dedup import roots_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -67,3 +68,28 @@ def test_exact_passages_are_found_to_their_last_word(spark, planted):
     assert places((r.row, r.first, r.last, r.row != r.first_row) for r in exact.collect()) == expected
     spans = places((r.doc_id, r.first_word, r.last_word, r.removed) for r in passages.repeated_passages(docs).collect())
     assert all(expected[removed][i] <= spans[removed][i] for removed in (True, False) for i, _ in planted)
+
+
+@pytest.mark.parametrize("longest", [32, 3])
+def test_all_paragraphs_of_a_band_are_compared(spark, monkeypatch, longest):
+    """Variants of one sentence, most of which are too far from each other, and from the one with the smallest digest."""
+    monkeypatch.setattr(passages, "LONGEST_BAND", longest, raising=False)
+    rng = random.Random(5)
+    template = sentence(rng, 60).split()
+    texts = [" ".join(template)]
+    for at in [rng.randrange(60) for _ in range(80)]:
+        texts.append(" ".join([*template[:at], sentence(rng, 1, "x"), *template[at + 1 :]]) + ("" if at < 59 else "."))
+    numbered = steadily_tagged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    found = passages.occurrences(numbered, "text")
+    found = found.where("NOT exact").select("key", "row", "first", "last", "digest").localCheckpoint()
+    sets, bands = {}, defaultdict(set)
+    for r in found.collect():
+        words = texts[r.row].split()[r.first : r.last]
+        sets[r.digest] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        bands[r.key].add(r.digest)
+    pairs = {(a, b) for band in bands.values() for a in band for b in band if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    expected = roots_of(links, sets)
+    got = [(r.a, r.b) for r in passages.similar_links(numbered, found, "text").collect()]
+    assert set(got) <= {(a, b) for a in sets for b in sets} and roots_of(got, sets) == expected
+    assert len(set(expected.values())) < len(sets) / 4
