@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm import mixing, near_dedup, packing, passages, quality, scoring, sharding, token_files, vectors, warc
-from spendcast.llm.sql import MIXING, QUALITY, SHARDING
+from spendcast.llm import (
+    decontaminate,
+    lexical,
+    mixing,
+    near_dedup,
+    packing,
+    passages,
+    phrases,
+    quality,
+    scoring,
+    sharding,
+    token_files,
+    vectors,
+    warc,
+)
+from spendcast.llm.sql import DECONTAMINATION, LEXICAL, MIXING, PHRASES, QUALITY, SHARDING
 from spendcast.session import scratch_path
 
 
@@ -65,6 +79,18 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it belongs to this package
 
@@ -83,9 +109,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_near_vectors": op9_near_vectors,
         "op10_sharding": op10_sharding,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_collocations": op12_collocations,
+        "op13_decontamination": op13_decontamination,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": QUALITY, "op3_mixing": MIXING, "op10_sharding": SHARDING}
+    return {
+        "op1_quality": QUALITY,
+        "op3_mixing": MIXING,
+        "op10_sharding": SHARDING,
+        "op11_lexical_search": LEXICAL,
+        "op12_collocations": PHRASES,
+        "op13_decontamination": DECONTAMINATION,
+    }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from spendcast.llm.decontaminate import WINDOW
+from spendcast.llm.lexical import TOP
 from spendcast.llm.mixing import BITS, WEIGHTS
+from spendcast.llm.phrases import COVERED, FIRST, LEAST, MOST_WORDS, UNKNOWN
 from spendcast.llm.quality import LEVEL, MOST_FALSE_REJECTS, RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -97,3 +100,70 @@ FROM sized JOIN chosen USING (rid)"""
 QUALITY = _quality()
 MIXING = _mixing()
 SHARDING = _sharding()
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents),
+c AS (SELECT rid, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM c),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM c) GROUP BY ALL),
+q AS (SELECT DISTINCT iid, item_id, term FROM (SELECT iid, item_id, unnest(w) AS term FROM
+      (SELECT row_number() OVER () AS iid, item_id, {TERMS} AS w FROM benchmark))),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf SEMI JOIN q USING (term) GROUP BY term),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, whole),
+m AS (SELECT rid, doc_id, 100 - 90 + (90 * n * docs) // words AS m FROM c, whole),
+s AS (
+  SELECT iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= {TOP}"""
+
+
+def _phrases() -> str:
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, g, a, {k} AS k, g[1:{k}] AS x, g[{k + 1}:] AS y FROM cand WHERE len(g) > {k}" for k in range(1, MOST_WORDS)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, g[i:i + {w - 1}] AS g, a FROM (SELECT *, unnest(range(1, len(g) - {w - 2})) AS i FROM cand WHERE len(g) > {w})"
+        for w in range(2, MOST_WORDS)
+    )
+    return rf"""
+WITH p AS (
+  SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT *, unnest(range(1, least({MOST_WORDS}, len(w) - i + 1) + 1)) AS k FROM spots)),
+f AS (SELECT lang, g, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= {LEAST}),
+cand AS (SELECT * FROM f WHERE len(g) > 1),
+cuts AS ({cuts}),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = c.x JOIN f r ON r.lang = c.lang AND r.g = c.y JOIN n ON n.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g, max(a) AS longer FROM ({inner}) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT lowest.*, array_to_string(g, ' ') AS phrase FROM lowest LEFT JOIN inside USING (lang, g)
+      WHERE longer IS NULL OR 100 * longer < {COVERED} * a)
+QUALIFY rank <= {FIRST}"""
+
+
+PHRASES = _phrases()
+
+DECONTAMINATION = rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS name, {TERMS} AS w FROM benchmark),
+sized AS (SELECT name, w, least({WINDOW}, len(w)) AS l FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT name, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM sized)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents),
+g AS (SELECT rid, i, l, array_to_string(w[i:i + l - 1], ' ') AS s
+      FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)),
+hit AS (SELECT rid, i, l, name FROM g JOIN win USING (l, s)),
+covered AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT rid, i, l FROM hit)) GROUP BY rid),
+named AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT rid, name FROM hit WHERE name IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)"""

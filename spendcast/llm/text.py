@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendcast.session import materialize
 
@@ -74,3 +79,52 @@ def python_workers(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
+def map_texts(docs: DataFrame, carried: Sequence[str], text: str, work: Callable, made: str) -> DataFrame:
+    """``carried`` columns as they are, beside the columns ``made`` (as DDL) that ``work`` makes of whole texts.
+
+    ``work`` gets the texts of a batch as UTF-8 bytes (NULL is an empty one) and returns the places of the texts its rows
+    come from, or None for one row per text, and a list or array per made column. Carried columns never leave Arrow, so a
+    number beside a NULL keeps all its digits, and their names may be any.
+    """
+    return map_columns(docs, carried, [F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit(b""))], work, made)
+
+
+def map_columns(docs: DataFrame, carried: Sequence[str], inputs: Sequence[Column], work: Callable, made: str) -> DataFrame:
+    """The same for any ``inputs``: ``work`` gets one list of Python values per input."""
+    python_workers(docs.sparkSession)
+    new = T.StructType.fromDDL(made)
+    kinds = [T.StructField(f"_{i}", docs.select(F.col(f"`{c}`")).schema[0].dataType) for i, c in enumerate(carried)]
+    kinds += [T.StructField(f"_{len(carried) + i}", f.dataType) for i, f in enumerate(new)]
+    kinds = T.StructType(kinds)
+    arrow, n = to_arrow_schema(kinds), len(carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, columns = work(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
+            kept = [batch.column(i) for i in range(n)]
+            if places is not None:
+                at = pa.array(places, pa.int64())
+                kept = [c.take(at) for c in kept]
+            fresh = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[n:], strict=True)]
+            yield pa.RecordBatch.from_arrays(kept + fresh, schema=arrow)
+
+    asked = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carried)]
+    asked += [c.alias(f"_{n + i}") for i, c in enumerate(inputs)]
+    return docs.select(*asked).mapInArrow(run, kinds).toDF(*carried, *[f.name for f in new])
+
+
+# The bytes outside [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F] once A-Z are a-z; all others belong to words.
+APART = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+CAPITALS, SMALL = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
+ALPHANUMERIC = bytes.maketrans(APART + CAPITALS, b" " * len(APART) + SMALL)
+
+
+def alphanumeric_words(text: bytes) -> list[bytes]:
+    """The maximal runs of ASCII letters, digits and all characters beyond ASCII, A-Z as a-z."""
+    return text.translate(ALPHANUMERIC).split()
+
+
+def hashed(words: Sequence[bytes], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
