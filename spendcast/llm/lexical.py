@@ -34,6 +34,8 @@ from spendcast.session import materialize
 TOP = 10
 # A term sets so many bits; a signature has 8 to 16 bits for each of its keys.
 HASHES, LEAST_BITS = 3, 8
+# Documents of a block, and bytes of the batches in which blocks go to Python and back.
+BLOCK_DOCS, BATCH_BYTES = 128, 8 << 20
 # Counts from which a term has a further key. A bound takes the largest count below the next one.
 LEVELS = (1, 2, 4, 8)
 # Blocks from which first scores are taken; items and terms of items compared in one reading of the index.
@@ -74,6 +76,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     Keys of any type that can be sorted are kept in Arrow and stay as they are, NULL among them.
     """
     python_workers(docs.sparkSession)
+    # blocks are large rows
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = docs.select(F.col(f"`{key}`")).schema[0].dataType
     schema = T.StructType.fromDDL("block long, log_bits int, lengths binary, sizes binary, slices binary, hashes binary, counts binary")
     schema = schema.add("keys", T.ArrayType(kind))
@@ -84,18 +88,17 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
         task = TaskContext.get().partitionId() << 32
         for batch in batches:
             by_bits: dict[int, list] = {}
-            words_of = [alphanumeric_words(t) for t in batch.column(1).to_pylist()]
-            in_batch: list[np.ndarray] = []
-            for place, words in enumerate(words_of):
+            for place, value in enumerate(batch.column(1).to_pylist()):
+                words = alphanumeric_words(value)
                 if not words:
                     continue
                 hashes, counts = np.unique(hashed(words, known), return_counts=True)
                 entries = sum(int((counts >= least).sum()) for least in LEVELS)
                 log_bits = math.ceil(math.log2(LEAST_BITS * entries))
                 by_bits.setdefault(log_bits, []).append((place, len(words), hashes, counts.astype(np.uint32)))
-                in_batch.append(hashes)
             rows = []
-            for log_bits, members in sorted(by_bits.items()):
+            parts = [(b, m[i : i + BLOCK_DOCS]) for b, m in sorted(by_bits.items()) for i in range(0, len(m), BLOCK_DOCS)]
+            for log_bits, members in parts:
                 places, lengths, hashes, counts = zip(*members, strict=True)
                 rows.append(
                     (

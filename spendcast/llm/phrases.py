@@ -4,8 +4,7 @@ Every place of a text begins a suffix of at most ``most_words`` words; a phrase
 it. The tree of all suffixes is cut vertically into groups by word prefix. Prefixes are counted first: of one word, then
 of two words that are both frequent. A prefix with more suffixes than a group may hold is extended by a word, and again,
 until its parts fit. Only then are the suffixes dealt to groups, each cut where it stops being frequent. A group's
-suffixes, in order, are the leaves of its subtree from left to right, so a phrase's count is the sum of a run of leaves,
-and a group is read once from front to end, in batches, whatever its size.
+suffixes, in order, are the leaves of its subtree from left to right, so a phrase's count is the sum of a run of leaves.
 
 Words are told apart by 64-bit hashes; two frequent words of one language with one hash are refused. Which words and
 pairs are frequent is told to the tasks by bit fields of a fixed size. A field that fills up lets more suffixes
@@ -22,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendcast.llm.text import CAPITALS, SMALL, WordHashes, hashed, map_columns, python_workers, whole
 from spendcast.session import materialize
@@ -30,8 +28,8 @@ from spendcast.session import materialize
 LEAST, MOST_WORDS, FIRST = 100, 5, 2000
 # A phrase goes with a longer one that has so many percent of its occurrences.
 COVERED = 100
-# Suffixes in a group at most, before equal ones are counted together, and the fewest that are worth a group.
-GROUP_MOST, GROUP_LEAST = 1 << 22, 1 << 16
+# Suffixes in a group at most, 64 bytes each, and the fewest that are worth a group.
+GROUP_MOST, GROUP_LEAST = 1 << 20, 1 << 16
 # Bits of a field: 8 MB, whatever the vocabulary.
 FIELD_BITS = 26
 UNKNOWN = "und"
@@ -39,7 +37,6 @@ UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(ENDS + CAPITALS, b"!" * len(ENDS) + SMALL)
 BREAK = b"!"
-SYMBOLS = [f"s{i}" for i in range(1, MOST_WORDS + 1)]
 
 
 def flat_words(texts: Sequence[bytes]) -> list[bytes]:
@@ -160,9 +157,10 @@ class Phrases:
         return rows.groupBy("depth", "key").agg(F.sum("f").alias("f"))
 
     def leaves(self, frequent: Sent, pairs: Sent, hot: dict[int, np.ndarray], groups: int) -> DataFrame:
-        """Suffixes of frequent pairs: group, language, symbols (0 after the end), and how often; equal ones of a batch are one row.
+        """Suffixes of frequent pairs, ``group`` by group of a batch, packed as 64-bit numbers, equal ones once.
 
-        ``owner`` is the number of words of the prefix that the group is chosen by. A shorter prefix has leaves in more groups.
+        A leaf is its language's key, the symbols (0 after the end), the owner, and how often it occurs. The owner is the
+        number of words of the prefix that the group is chosen by; a shorter prefix has leaves in more groups.
         """
         known = WordHashes()
 
@@ -193,42 +191,58 @@ class Phrases:
                 spread = (group[one] % np.uint64(groups)).astype(np.int64)
                 out.append((spread, np.full(len(one), language_key(lang)), signed(np.ascontiguousarray(symbols[one])), owner[one], n))
             if not out:
-                out = [(np.zeros(0, np.int64),) * 2 + (np.zeros((0, MOST_WORDS), np.int64),) + (np.zeros(0, np.int64),) * 2]
-            group, lang, symbols, owner, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            return None, [group, lang, *symbols.T.copy(), owner, n]
+                return None, [[], []]
+            group, *leaves = (np.concatenate(x) for x in zip(*out, strict=True))
+            if not len(group):
+                return None, [[], []]
+            order = np.argsort(group, kind="stable")
+            group, packed = group[order], np.concatenate([x.reshape(len(group), -1) for x in leaves], axis=1)[order]
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            return None, [group[first], [x.tobytes() for x in np.split(packed, first[1:])]]
 
-        return self.scan(cut, "group int, lang_key long, " + ", ".join(f"{s} long" for s in SYMBOLS) + ", owner int, f long")
+        return self.scan(cut, "group int, leaves binary")
 
     def nodes(self, leaves: DataFrame, groups: int) -> DataFrame:
         """``lang_key``, ``phrase`` (its symbols) and ``f`` of every frequent phrase of two words or more."""
-        least = self.least
-        schema = T.StructType.fromDDL("lang_key long, phrase array<long>, f long")
+        least, width, at_once = self.least, MOST_WORDS + 3, self.group_most
         python_workers(leaves.sparkSession)
 
+        def collapsed(parts: list[np.ndarray]) -> np.ndarray:
+            """Leaves from left to right, equal ones as one."""
+            rows = np.concatenate(parts)
+            rows = rows[np.lexsort(rows[:, MOST_WORDS::-1].T)]
+            first = np.flatnonzero(np.append(True, (rows[1:, : MOST_WORDS + 1] != rows[:-1, : MOST_WORDS + 1]).any(axis=1)))
+            sums = np.add.reduceat(rows[:, -1], first)
+            rows = rows[first]
+            rows[:, -1] = sums
+            return rows
+
         def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size, room = [], 0, at_once
             for batch in batches:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                lang, symbols, owner, f = columns[0], columns[1 : 1 + MOST_WORDS], columns[-2], columns[-1]
-                if not len(f):
-                    continue
-                turn = np.append(True, (lang[1:] != lang[:-1]) | (symbols[0][1:] != symbols[0][:-1]))
-                out = [[], [], []]
-                for depth in range(2, MOST_WORDS + 1):
-                    turn = turn | np.append(True, symbols[depth - 1][1:] != symbols[depth - 1][:-1])
-                    runs = np.flatnonzero(turn)
-                    sums = np.add.reduceat(f, runs)
-                    # a run at the edge of a batch may go on in the next one, one under a longer owner in other groups
-                    use = (sums >= least) | (owner[runs] > depth)
-                    use[[0, -1]] = True
-                    use &= symbols[depth - 1][runs] != 0
-                    runs, sums = runs[use], sums[use]
-                    out[0] += lang[runs].tolist()
-                    out[1] += list(np.stack([s[runs] for s in symbols[:depth]], axis=1))
-                    out[2] += sums.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64())], ["lang_key", "phrase", "f"])
-
-        ordered = leaves.repartitionById(groups, "group").drop("group").sortWithinPartitions("lang_key", *SYMBOLS)
-        parts = ordered.mapInArrow(subtree, schema)
+                for packed in batch.column(0).to_pylist():
+                    parts.append(np.frombuffer(packed, np.int64).reshape(-1, width))
+                    size += len(parts[-1])
+                    if size > room:  # equal leaves of many batches
+                        parts = [collapsed(parts)]
+                        size = len(parts[0])
+                        room = max(at_once, 2 * size)
+            if not size:
+                return
+            rows = collapsed(parts)
+            turn = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            turn |= np.append(True, rows[1:, 1] != rows[:-1, 1])
+            for depth in range(2, MOST_WORDS + 1):
+                turn = turn | np.append(True, rows[1:, depth] != rows[:-1, depth])
+                runs = np.flatnonzero(turn)
+                sums = np.add.reduceat(rows[:, -1], runs)
+                # a node above its owner's length has leaves in other groups too
+                use = ((sums >= least) | (rows[runs, -2] > depth)) & (rows[runs, depth] != 0)
+                runs, sums = runs[use], sums[use]
+                phrase = pa.array(list(rows[runs, 1 : depth + 1]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[runs, 0]), phrase, pa.array(sums)], ["lang_key", "phrase", "f"])
+
+        parts = leaves.repartitionById(groups, "group").select("leaves").mapInArrow(subtree, "lang_key long, phrase array<long>, f long")
         return parts.groupBy("lang_key", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
     def mined(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,5 +347,10 @@ def collocations(
     named = free.join(spelt.select("lang_key", "whole", F.concat_ws(" ", "w.word").alias("phrase")), ["lang_key", "whole"])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     named = named.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # the first of each part of a language are all that can be its first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    of_part = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    few = dealt.withColumn("place", F.row_number().over(of_part)).where(F.col("place") <= first)
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
