@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import FOLDS, LAST, MONTH, PREVIOUS, ROW, SNAPSHOTS, places_of
+from checks.queries import BEFORE_LAST, FOLDS, HALF_YEARS, LAST, MONTH, PATIENCE, PREVIOUS, ROW, SNAPSHOTS, STAGES, places_of
 from spendcast.plans.profiles import SEARCH_SPACE
 from spendcast.schema import (
     DISTINCT_COLUMNS,
@@ -35,6 +35,10 @@ def fixed_sum(c: str, over: str = "") -> str:
     return f"CAST(sum(CAST({c} AS DECIMAL(18,4))) {over} AS DOUBLE)"
 
 
+def ordered_mean(c: str) -> str:
+    return f"list_sum(list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL))) / count({c})"
+
+
 def cutoff(month: str) -> str:
     return f"TIMESTAMP '{month}-01 00:00:00'"
 
@@ -202,22 +206,23 @@ SELECT customer_id, year_month, label, {', '.join(filled)} FROM matrix, medians"
 SMALL_COLUMNS = names_of(VALUES, STATS)
 
 
-def small(name: str) -> str:
-    return f"""{TX}, {snapshot_rows([PREVIOUS, MONTH], "tx")},
+def small(name: str, months=(PREVIOUS, MONTH)) -> str:
+    return f"""{TX}, {snapshot_rows(months, "tx")},
 {statistics("snap_rows", VALUES, STATS, "customer_id, year_month", name)}"""
 
 
 SMALL = small("feats")
+SMALL_LAST = small("feats", [BEFORE_LAST, LAST])
 
 
 def preprocessed() -> str:
     """The small matrix with a country: encoded over both months, then filled like any feature."""
-    coded = f"""{small("plain")},
+    coded = f"""{small("plain", [BEFORE_LAST, LAST])},
 homes AS (SELECT customer_id, year_month, max(country) AS country FROM snap_rows GROUP BY 1, 2),
 codes AS (SELECT country, dense_rank() OVER (ORDER BY country) - 1 AS code FROM (SELECT DISTINCT country FROM homes)),
 feats AS (SELECT plain.*, code AS country FROM plain JOIN homes USING (customer_id, year_month)
   JOIN codes ON homes.country = codes.country)"""
-    return imputed(coded, PREVIOUS, MONTH, [*SMALL_COLUMNS, "country"])
+    return imputed(coded, BEFORE_LAST, LAST, [*SMALL_COLUMNS, "country"])
 
 
 def base_only(months, stats) -> str:
@@ -232,6 +237,24 @@ def by_customer(*stats: str) -> str:
     return f"WITH {TX}, {statistics('tx', VALUES, stats, 'customer_id')} SELECT customer_id, {columns} FROM stats"
 
 
+def patience_stop() -> str:
+    """AUC of every stage and fold, and the best round before patience is used up."""
+    return f"""WITH {TX}, {labels("l", BEFORE_LAST)},
+ago AS (SELECT customer_id, datediff('month', order_date, {cutoff(LAST)}) AS ago, count(*) AS n FROM tx
+  WHERE order_date < {cutoff(LAST)} GROUP BY ALL),
+staged AS (SELECT CAST(l.customer_id % {FOLDS} AS INTEGER) AS fold, rounds, l.label, CAST(coalesce(sum(n), 0) AS DOUBLE) AS margin
+  FROM l JOIN range(1, {STAGES} + 1) r(rounds) ON true
+  LEFT JOIN ago ON ago.customer_id = l.customer_id AND ago.ago <= rounds GROUP BY l.customer_id, rounds, l.label),
+curve AS (SELECT fold, CAST(rounds AS INTEGER) AS rounds, auc FROM ({auc("staged", "margin", "fold, rounds")})),
+known AS (SELECT *, coalesce(auc, -1) AS a FROM curve),
+gains AS (SELECT *, coalesce(a > max(a) OVER (PARTITION BY fold ORDER BY rounds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS gain FROM known),
+best AS (SELECT *, max(CASE WHEN gain THEN rounds END) OVER (PARTITION BY fold ORDER BY rounds) AS best FROM gains),
+ends AS (SELECT fold, min(CASE WHEN rounds - best >= {PATIENCE} THEN rounds END) AS stop, max(rounds) AS final FROM best GROUP BY fold)
+SELECT ends.fold, best.best AS rounds, known.auc, coalesce(stop, final) AS last, stop IS NOT NULL AS stopped
+FROM ends JOIN best ON best.fold = ends.fold AND best.rounds = coalesce(stop, final)
+JOIN known ON known.fold = ends.fold AND known.rounds = best.best"""
+
+
 def month_before(month: str) -> str:
     year, m = map(int, month.split("-"))
     return f"{year - (m == 1)}-{(m - 2) % 12 + 1:02d}"
@@ -306,9 +329,9 @@ def oracle_sql() -> dict[str, str]:
             FROM l LEFT JOIN p ON l.customer_id = p.customer_id""",
         "attach_predictions": f"""WITH {TX}, {BASE}, u AS (SELECT DISTINCT customer_id FROM tx)
             SELECT u.customer_id, probability FROM u LEFT JOIN base ON u.customer_id = base.customer_id""",
-        "importance_fold_join": f"""WITH {IMPORTANCES} SELECT feature, avg(importance) AS importance FROM imp
+        "importance_fold_join": f"""WITH {IMPORTANCES} SELECT feature, {ordered_mean("importance")} AS importance FROM imp
             GROUP BY feature HAVING count(*) = {FOLDS}""",
-        "mean_importance": f"WITH {IMPORTANCES} SELECT feature, avg(importance) AS importance FROM imp GROUP BY feature",
+        "mean_importance": f"WITH {IMPORTANCES} SELECT feature, {ordered_mean("importance")} AS importance FROM imp GROUP BY feature",
         "monthly_customer_total": f"""WITH {TX} SELECT customer_id, order_date_year_month AS year_month,
             {fixed_sum("total")} AS total FROM tx GROUP BY 1, 2""",
         "feat_mean": by_customer("mean"),
@@ -324,8 +347,11 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, product_id) = 1""",
         "customer_snapshot_features": f"""WITH {features(SNAPSHOTS)}
             SELECT customer_id, year_month, {', '.join(shown(c) for c in ALL_FEATURES)} FROM feats""",
-        "mean_fold_auc": f"WITH {fold_predictions()} SELECT avg(auc) AS auc FROM ({auc('preds', by='fold')})",
-        "blend_folds": f"""WITH {fold_predictions()} SELECT customer_id, avg(probability) AS probability
+        "snapshot_states": f"""WITH {TX}, {snapshot_rows(HALF_YEARS, "tx")}, {statistics("snap_rows", VALUES, STATS, "customer_id, year_month")}
+            SELECT customer_id, year_month, {', '.join(shown(c) for c in names_of(VALUES, STATS))} FROM stats""",
+        "patience_stop": patience_stop(),
+        "mean_fold_auc": f"WITH {fold_predictions()} SELECT {ordered_mean("auc")} AS auc FROM ({auc('preds', by='fold')})",
+        "blend_folds": f"""WITH {fold_predictions()} SELECT customer_id, {ordered_mean("probability")} AS probability
             FROM preds GROUP BY customer_id""",
         "customer_universe": f"WITH {TX} SELECT DISTINCT customer_id FROM tx WHERE order_date < {after(MONTH)}",
         "snapshot_months": f"""WITH {TX}, {snapshots(SNAPSHOTS)} SELECT DISTINCT s.year_month FROM snaps s
@@ -338,16 +364,16 @@ def oracle_sql() -> dict[str, str]:
               FROM tx JOIN codes ON tx.country = codes.name)
             SELECT *, 'train' AS part FROM coded WHERE order_date < {cutoff("1998-01")}
             UNION ALL SELECT *, 'test' FROM coded""",
-        "median_fit": f"""WITH {matrix(SMALL, [PREVIOUS, MONTH], SMALL_COLUMNS)}, one AS (
+        "median_fit": f"""WITH {matrix(SMALL_LAST, [BEFORE_LAST, LAST], SMALL_COLUMNS)}, one AS (
               SELECT {', '.join(f"round({middle(c)}, 4) AS {c}" for c in SMALL_COLUMNS)}
-              FROM matrix WHERE year_month = '{PREVIOUS}')
+              FROM matrix WHERE year_month = '{BEFORE_LAST}')
             UNPIVOT one ON {', '.join(SMALL_COLUMNS)} INTO NAME feature VALUE median""",
-        "median_impute": imputed(SMALL, PREVIOUS, MONTH, SMALL_COLUMNS),
+        "median_impute": imputed(SMALL_LAST, BEFORE_LAST, LAST, SMALL_COLUMNS),
         "detect_categoricals": f"""WITH {TX} {' UNION ALL '.join(
             f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_values FROM tx"
             for c in ("country", "order_date_year_month", "order_date_year", "order_date_hour"))}""",
         "preprocess": preprocessed(),
-        "snapshot_matrix": f"""WITH {matrix(features([PREVIOUS, MONTH]), [PREVIOUS, MONTH], ALL_FEATURES)}
+        "snapshot_matrix": f"""WITH {matrix(features([BEFORE_LAST, LAST]), [BEFORE_LAST, LAST], ALL_FEATURES)}
             SELECT customer_id, year_month, label, {', '.join(shown(c) for c in ALL_FEATURES)} FROM matrix""",
         "feature_engineering": imputed(features([PREVIOUS, MONTH]), PREVIOUS, MONTH, ALL_FEATURES),
         "feature_engineering_whole_log": imputed(

@@ -16,7 +16,7 @@ from spendcast.functions.calendar import (
 )
 from spendcast.functions.scoring import binarize, clip_probability, fill_missing_zero, threshold_label
 from spendcast.functions.stats import name_aggregates
-from spendcast.operators.features import customer_snapshot_features, snapshot_distinct_counts
+from spendcast.operators.features import customer_snapshot_features, snapshot_distinct_counts, statistics_by_states
 from spendcast.operators.folds import (
     blend_folds,
     fold_split,
@@ -45,10 +45,19 @@ from spendcast.operators.matrix import (
 from spendcast.operators.metrics import classification_report, roc_auc, threshold_scores
 from spendcast.operators.mode import feat_mode
 from spendcast.operators.preprocess import detect_categoricals, label_encode, median_fit, median_impute, preprocess
-from spendcast.operators.running_totals import order_log, running_totals
+from spendcast.operators.running_totals import CUSTOMER_ROW, order_log, running_totals
 from spendcast.operators.snapshots import snapshot_months, snapshot_range_join, tag_snapshot, union_snapshots
 from spendcast.plans.baseline import baseline_no_ml
-from spendcast.plans.boosting import assemble, early_stop, feature_importance, fit, gbt_fit_predict, gbt_oof
+from spendcast.plans.boosting import (
+    assemble,
+    early_stop,
+    feature_importance,
+    fit,
+    gbt_fit_predict,
+    gbt_oof,
+    patience_stop,
+    stage_curve,
+)
 from spendcast.plans.feature_matrix import Matrices, feature_engineering, snapshot_matrix
 from spendcast.plans.jobs import predict, validate
 from spendcast.plans.profiles import PROFILES, SEARCH_SPACE, gbt_params
@@ -67,8 +76,12 @@ from spendcast.sources.transactions import event_transactions, read_transactions
 MONTH = "1996-02"
 PREVIOUS = "1996-01"
 # The month that ends the log: a snapshot of it covers every earlier row.
-LAST = "2001-08"
+LAST, BEFORE_LAST = "2001-08", "2001-07"
 SNAPSHOTS = [PREVIOUS, MONTH, LAST]
+# Half-years over the whole log.
+HALF_YEARS = [f"{y}-{m}" for y in range(1995, 2002) for m in ("01", "07")][1:]
+# Staged predictions: what the last so many months before LAST say about it; rounds without a gain that are waited for.
+STAGES, PATIENCE = 60, 5
 FOLDS = 5
 # Small models: these entries check that the jobs run, not how well they predict.
 QUICK = {"maxDepth": 2, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.3", "stepSize": 0.1}
@@ -243,6 +256,12 @@ def customer_snapshot_features_query(spark, folder):
     return rounded(customer_snapshot_features(order_log(tx(spark, folder)), SNAPSHOTS))
 
 
+def snapshot_states_query(spark, folder):
+    """Statistics of the base values at many snapshots, each row aggregated once."""
+    rows = tx(spark, folder).withColumn(CUSTOMER_ROW, F.lit(1).cast("bigint"))
+    return rounded(statistics_by_states(rows, HALF_YEARS, VALUES))
+
+
 def distinct_counts_query(spark, folder):
     return snapshot_distinct_counts(tx(spark, folder), SNAPSHOTS)
 
@@ -283,7 +302,7 @@ def union_vocabulary_query(spark, folder):
 def small_matrix(spark, folder) -> Matrices:
     """Labels with the statistics of the three base values: enough columns with gaps to fill."""
     log = tx(spark, folder)
-    months = [PREVIOUS, MONTH]
+    months = [BEFORE_LAST, LAST]
     features = base_statistics(snapshot_range_join(log, months))
     matrix = train_matrix_join(generate_labels(log, months).drop("total"), features)
     stored = materialize(matrix, "matrix", partition_by="year_month")
@@ -320,7 +339,7 @@ def feature_engineering_query(month: str) -> Query:
 
 
 def snapshot_matrix_query(spark, folder):
-    return rounded(snapshot_matrix(log_through(spark, folder, MONTH), MONTH))
+    return rounded(snapshot_matrix(log_through(spark, folder, LAST), LAST))
 
 
 def detect_categoricals_query(spark, folder):
@@ -334,12 +353,12 @@ def detect_categoricals_query(spark, folder):
 def preprocess_query(spark, folder):
     """Encoding and filling together, on a matrix with one string feature."""
     log = tx(spark, folder)
-    rows = snapshot_range_join(log, [PREVIOUS, MONTH])
+    rows = snapshot_range_join(log, [BEFORE_LAST, LAST])
     homes = rows.groupBy("customer_id", "year_month").agg(F.max("country").alias("country"))
     features = base_statistics(rows).join(homes, ["customer_id", "year_month"])
-    matrix = train_matrix_join(generate_labels(log, [PREVIOUS, MONTH]).drop("total"), features)
+    matrix = train_matrix_join(generate_labels(log, [BEFORE_LAST, LAST]).drop("total"), features)
     stored = materialize(matrix, "matrix", partition_by="year_month")
-    parts = [stored.where(F.col("year_month") == m) for m in (PREVIOUS, MONTH)]
+    parts = [stored.where(F.col("year_month") == m) for m in (BEFORE_LAST, LAST)]
     train, test = preprocess(*parts, select_features(matrix))
     return rounded(train.unionByName(test))
 
@@ -377,6 +396,23 @@ def early_stop_query(spark, folder):
     return early_stop(models, folded, patience=2)[1]
 
 
+def staged_predictions(spark, folder) -> DataFrame:
+    """``fold, label, _margins``: a customer's order lines of the last month, of the last two, and so on, as rounds."""
+    log = filter_before_snapshot(tx(spark, folder), LAST)
+    ago = F.months_between(F.lit(f"{LAST}-01").cast("date"), F.trunc("order_date", "month")).cast("int")
+    counted = log.withColumn("ago", ago).where(F.col("ago") <= STAGES).groupBy("customer_id", "ago").agg(F.count(F.lit(1)).alias("n"))
+    per_customer = counted.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("ago", "n"))).alias("lines"))  # STAGES at most
+    through = generate_label(tx(spark, folder), BEFORE_LAST).join(per_customer, "customer_id", "left")
+    each = F.transform(F.sequence(F.lit(1), F.lit(STAGES)), lambda k: F.coalesce(F.try_element_at("lines", k), F.lit(0)))
+    sums = F.transform(F.sequence(F.lit(1), F.lit(STAGES)), lambda k: F.aggregate(F.slice("_each", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x).cast("double"))
+    fold = F.pmod("customer_id", F.lit(FOLDS)).cast("int").alias("fold")
+    return through.withColumn("_each", each).select(fold, "label", sums.alias("_margins"))
+
+
+def patience_stop_query(spark, folder):
+    return patience_stop(stage_curve(staged_predictions(spark, folder)), PATIENCE)
+
+
 def feature_importance_query(spark, folder):
     m = imputed_small(spark, folder)
     model = fit(assemble(m.train, m.features), quick_params())
@@ -475,6 +511,7 @@ def queries() -> dict[str, Query]:
         "feat_nunique": distinct_counts_query,
         "feat_mode": lambda s, d: feat_mode(tx(s, d), "customer_id", "product_id"),
         "customer_snapshot_features": customer_snapshot_features_query,
+        "snapshot_states": snapshot_states_query,
         "mean_fold_auc": lambda s, d: mean_fold_auc(roc_auc(fold_predictions(s, d), by="fold")),
         "blend_folds": lambda s, d: blend_folds(fold_predictions(s, d)),
         "mean_importance": lambda s, d: mean_importance(fold_importances(s, d)),
@@ -510,6 +547,7 @@ def queries() -> dict[str, Query]:
         "gbt_oof": lambda s, d: oof_of(s, d).oof,
         "gbt_oof_early_stop": lambda s, d: oof_of(s, d, patience=2).test,
         "early_stop": early_stop_query,
+        "patience_stop": patience_stop_query,
         "feature_importance": feature_importance_query,
         "split_importance": lambda s, d: oof_of(s, d, importance="split").importance,
         "param_profiles": param_profiles_query,

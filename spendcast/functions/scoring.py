@@ -41,6 +41,16 @@ FROM_PARTS_SQL = (
 )
 
 
+# The same amount as one number of units, and the double nearest to a sum of units.
+UNITS_SQL = f"({WHOLE_SQL} * 1{'0' * PLACES}L + {REST_SQL})"
+FROM_UNITS_SQL = (
+    f"CASE WHEN abs({{u}}) < 9 * 1{'0' * 15}L THEN {{u}} / 1e{PLACES}D "
+    f"ELSE CAST(CAST({{u}} AS DECIMAL(19,0)) * 0.{'0' * (PLACES - 1)}1BD AS DOUBLE) END"
+)
+# Sums of amounts stay below 2^63 units where all amounts together stay below this.
+MOST_IN_UNITS = 4.0 * 10 ** (18 - PLACES)
+
+
 def exact_sum_sql(c: str) -> str:
     """The sum of a double column, NULL for no values."""
     return FROM_PARTS_SQL.format(w=f"sum({WHOLE_SQL.format(c=c)})", r=f"sum({REST_SQL.format(c=c)})")

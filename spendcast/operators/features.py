@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendcast.functions.calendar import derive_time_keys, filter_before_snapshot
-from spendcast.functions.stats import name_aggregates
+from spendcast.functions.calendar import derive_time_keys, filter_before_snapshot, moment
+from spendcast.functions.scoring import FROM_PARTS_SQL
+from spendcast.functions.stats import STATE_SQL, merged_mean_sql, merged_moment_sql, merged_statistic_sql, name_aggregates
 from spendcast.operators.running_totals import CUSTOMER_ROW, running_totals
 from spendcast.operators.snapshots import SNAPSHOT, snapshot_range_join
 from spendcast.schema import DISTINCT_COLUMNS, MEASURES, STATISTICS, feature_column
@@ -16,6 +17,34 @@ from spendcast.schema import DISTINCT_COLUMNS, MEASURES, STATISTICS, feature_col
 KEYS = ("customer_id", SNAPSHOT)
 # A customer with more rows than this is summed up in several tasks first.
 ROWS_PER_BLOCK = 1_000_000
+# Snapshots from which states of intervals cost less than repeated rows (measured on 600,000 lines).
+STATES_FROM = 6
+
+
+def brought_together(running: DataFrame) -> DataFrame:
+    """Rows with a customer, and ``block``, by which a customer of unusual size is cut.
+
+    Rows are brought together by customer before they are aggregated: partial states of so many statistics are far wider
+    than a row, so they must not be shipped one per row. The states of a customer's blocks are then merged.
+    """
+    block = F.floor((F.col(CUSTOMER_ROW) - 1) / ROWS_PER_BLOCK)
+    return running.where(F.col("customer_id").isNotNull()).withColumn("block", block)
+
+
+def interval_states(running: DataFrame, months: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Mergeable states of every measure per customer and interval between cut-offs: each row is aggregated once.
+
+    ``interval`` is the place, in order, of the first month that a row lies before. A state is the count, the exact sum in
+    two parts, the extremes, and the second and third central moments.
+    """
+    months = sorted(set(months))
+    interval = F.lit(len(months) - 1)
+    for i in range(len(months) - 2, -1, -1):
+        interval = F.when(F.col("order_date") < moment(running, months[i]), F.lit(i)).otherwise(interval)
+    together = brought_together(filter_before_snapshot(running, months[-1]))
+    together = together.select("customer_id", interval.alias("interval"), "block", *measures).repartition("customer_id", "block")
+    states = [f"{sql.format(c=f'`{c}`')} AS `{c}{part}`" for c in measures for part, sql in STATE_SQL.items()]
+    return together.groupBy("customer_id", "interval").agg(*[F.expr(x) for x in states])
 
 
 def snapshot_statistics(
@@ -25,21 +54,58 @@ def snapshot_statistics(
     statistics: Sequence[str] = STATISTICS,
     separator: str = "__",
 ) -> DataFrame:
-    """Statistics of every measure per customer and snapshot.
+    """Statistics of every measure per customer and snapshot, in the way that suits the number of snapshots."""
+    way = statistics_by_states if len(set(months)) >= STATES_FROM else statistics_by_rows
+    return way(running, months, measures, statistics, separator)
+
+
+def statistics_by_rows(
+    running: DataFrame,
+    months: Sequence[str],
+    measures: Sequence[str] = MEASURES,
+    statistics: Sequence[str] = STATISTICS,
+    separator: str = "__",
+) -> DataFrame:
+    """Statistics from the rows themselves, each repeated for every snapshot it precedes."""
+    together = brought_together(running).select("customer_id", "order_date", "block", *measures)
+    together = together.repartition("customer_id", "block")
+    return snapshot_range_join(together, months).groupBy(*KEYS).agg(*name_aggregates(measures, statistics, separator))
 
-    Rows are brought together by customer before they are aggregated: partial states of so many
-    statistics are far wider than a row, so they must not be shipped one per row. A customer of
-    unusual size is cut into blocks by its row number, whose states are then merged.
+
+def statistics_by_states(
+    running: DataFrame,
+    months: Sequence[str],
+    measures: Sequence[str] = MEASURES,
+    statistics: Sequence[str] = STATISTICS,
+    separator: str = "__",
+) -> DataFrame:
+    """Statistics of every measure per customer and snapshot, from states of the intervals up to the snapshot.
+
+    Counts, sums and extremes of a snapshot are running ones over its intervals. Moments are taken anew about the mean of
+    all rows so far, interval by interval, so nothing cancels. All this happens per customer and interval, so another
+    snapshot adds rows of that size and not another pass over the log.
     """
-    block = F.floor((F.col(CUSTOMER_ROW) - 1) / ROWS_PER_BLOCK)
-    together = (
-        running.where(F.col("customer_id").isNotNull())
-        .select("customer_id", "order_date", block.alias("block"), *measures)
-        .repartition("customer_id", "block")
-    )
-    return (
-        snapshot_range_join(together, months).groupBy(*KEYS).agg(*name_aggregates(measures, statistics, separator))
-    )
+    months = sorted(set(months))
+    in_order = Window.partitionBy("customer_id").orderBy("interval")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = {}
+    for c in measures:
+        for part, how in (("_n", F.sum), ("_whole", F.sum), ("_rest", F.sum), ("_min", F.min), ("_max", F.max)):
+            merged[f"{c}{part}_to"] = how(f"`{c}{part}`").over(so_far)
+    states = interval_states(running, months, measures)
+    own_mean = FROM_PARTS_SQL.format(w="`{c}_whole`", r="`{c}_rest`") + " / `{c}_n`"
+    states = states.withColumns({f"{c}_mean": F.expr(f"CASE WHEN `{c}_n` > 0 THEN {own_mean.format(c=c)} END") for c in measures})
+    moments = [F.col(f"`{c}{part}`") for c in measures for part in ("_n", "_mean", "_m2", "_m3")]
+    merged["past"] = F.collect_list(F.struct(*moments)).over(so_far)  # as many as there are intervals
+    # a snapshot between two intervals of a customer has the rows of the first one
+    merged["next"] = F.coalesce(F.lead("interval").over(in_order), F.lit(len(months)))
+    to_here = states.select("customer_id", "interval", *[x.alias(name) for name, x in merged.items()])
+    to_here = to_here.withColumns({f"{c}_mean_to": F.expr(merged_mean_sql(c)) for c in measures})
+    to_here = to_here.withColumns({f"{c}_m{i}_to": F.expr(merged_moment_sql(c, i)) for c in measures for i in (2, 3)})
+    wanted = [f"{merged_statistic_sql(c, s)} AS `{feature_column(c, s, separator)}`" for c in measures for s in statistics]
+    each = to_here.selectExpr("customer_id", "interval", "next", *wanted)
+    months_of = F.slice(F.array(*[F.lit(m) for m in months]), F.col("interval") + 1, F.col("next") - F.col("interval"))
+    return each.withColumn(SNAPSHOT, F.explode(months_of)).drop("interval", "next").select(*KEYS, *[feature_column(c, s, separator) for c in measures for s in statistics])
 
 
 def snapshot_distinct_counts(

@@ -31,21 +31,30 @@ def fold_split(df: DataFrame, fold: int) -> DataFrame:
     return df.withColumn("is_val", F.col("fold") == fold)
 
 
+def ordered_mean(column: str) -> Column:
+    """Mean of one value per fold, added from the smallest up, so that it is the same in any order of arrival.
+
+    A group has as many values as there are folds, so it is a short list.
+    """
+    values = F.array_sort(F.collect_list(column))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), F.size(values).cast("double"))
+
+
 def blend_folds(predictions: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
     """Mean over folds of each customer's predictions."""
-    return predictions.groupBy(*keys).agg(F.avg("probability").alias("probability"))
+    return predictions.groupBy(*keys).agg(ordered_mean("probability").alias("probability"))
 
 
 def mean_fold_auc(fold_scores: DataFrame) -> DataFrame:
-    return fold_scores.agg(F.avg("auc").alias("auc"))
+    return fold_scores.agg(ordered_mean("auc").alias("auc"))
 
 
 def mean_importance(importances: DataFrame) -> DataFrame:
     """Mean importance of each feature over the folds it appears in."""
-    return importances.groupBy("feature").agg(F.avg("importance").alias("importance"))
+    return importances.groupBy("feature").agg(ordered_mean("importance").alias("importance"))
 
 
 def importance_fold_join(importances: DataFrame, k: int) -> DataFrame:
     """The same, keeping only features every fold used."""
-    means = importances.groupBy("feature").agg(F.avg("importance").alias("importance"), F.count("fold").alias("folds"))
+    means = importances.groupBy("feature").agg(ordered_mean("importance").alias("importance"), F.count("fold").alias("folds"))
     return means.where(F.col("folds") == k).select("feature", "importance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,15 +84,10 @@ def _ranked_medians(df: DataFrame, brackets: Mapping[str, tuple[float, float]])
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    of_feature = Window.partitionBy("feature")
-    upward = of_feature.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.select(
-        "feature",
-        "value",
-        "copies",
-        F.sum("copies").over(upward).alias("last"),
-        F.sum("copies").over(of_feature).alias("n"),
-    )
+    # all features are ranked at once, chunk by chunk: the values of one feature spread over as many tasks as they need
+    counted = order_rows(counted, ["feature", "value"])
+    sizes = counted.groupBy("feature").agg(F.sum("copies").alias("n"))  # one row per feature
+    placed = running_sums(counted, {"feature": {"last": "copies"}}).join(sizes, "feature")
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("last") - F.col("copies") <= rank) & (rank < F.col("last")), F.col("value")))

@@ -104,8 +104,6 @@ SEARCH_SPACE: dict[str, dict[str, tuple[str, float, float]]] = {
 # Parameters without a counterpart in Spark's boosted trees.
 UNSUPPORTED = ("bagging_freq", "lambda_l1", "lambda_l2", "metric_period")
 
-# A boosting round is a chain of distributed jobs, so rounds are limited unless the caller says otherwise.
-MAX_ROUNDS = 50
 # Spark grows trees level by level and refuses more than 30 levels; so does this.
 DEEPEST = 30
 
@@ -116,13 +114,17 @@ def patience_of(params: Mapping[str, float]) -> int | None:
 
 
 def gbt_params(
-    params: Mapping[str, float], max_rounds: int = MAX_ROUNDS, seed: int = SEED, strict: bool = False
+    params: Mapping[str, float], max_rounds: int | None = None, seed: int = SEED, strict: bool = False
 ) -> dict[str, object]:
-    """Keyword arguments of ``GBTClassifier``. ``strict`` refuses what Spark cannot honour."""
+    """Keyword arguments of ``GBTClassifier``. ``strict`` refuses what Spark cannot honour.
+
+    Rounds are the profile's own unless ``max_rounds`` sets a lower limit; with patience, most of them are never fitted.
+    """
     refused = sorted(set(params) & set(UNSUPPORTED))
     if strict and refused:
         raise ValueError(f"no counterpart in Spark: {', '.join(refused)}")
-    spark: dict[str, object] = {"seed": seed, "maxIter": min(int(params.get("n_estimators", max_rounds)), max_rounds)}
+    rounds = [int(n) for n in (params.get("n_estimators"), max_rounds) if n is not None]
+    spark: dict[str, object] = {"seed": seed} | ({"maxIter": min(rounds)} if rounds else {})
     for name, value in params.items():
         if name == "learning_rate":
             spark["stepSize"] = float(value)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spendcast.operators.metrics import roc_auc
-from spendcast.plans.boosting import gbt_oof
+from spendcast.plans.boosting import blended_test, fit_folds, prepare_folds
 from spendcast.plans.feature_matrix import Matrices
-from spendcast.plans.profiles import MAX_ROUNDS, PROFILES, SEARCH_SPACE, TRIALS, gbt_params, patience_of
+from spendcast.plans.profiles import PROFILES, SEARCH_SPACE, TRIALS, gbt_params, patience_of
 from spendcast.schema import SEED
 
 
@@ -41,30 +43,33 @@ def tune(
     profile: str,
     n_trials: int | None = None,
     folds: int = 10,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     seed: int = SEED,
     overrides: Mapping[str, object] | None = None,
+    at_once: int = 4,
+    parallelism: int = 2,
 ) -> DataFrame:
     """``(trial, params, val_auc)``: the hold-out AUC of each trial's blended predictions.
 
-    Features are built once for all trials. The trials' predictions are scored together, in one job.
+    Features, folds and assembled rows are made once for all trials. ``at_once`` trials are fitted side by side, each with
+    ``parallelism`` folds at a time and in a scheduler pool of its own, so that a long trial does not hold up the others
+    where the session schedules fairly. The predictions of all trials are scored together, in one job.
     """
     spark = matrices.train.sparkSession
     trials = search_space(spark, profile, n_trials, seed)
-    scored = []
-    for row in trials.collect():  # one row per trial
+    prepared = prepare_folds(matrices.train, matrices.test, matrices.features, folds, seed)
+
+    def predictions(row: Row) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{row.trial}")
         # what the search leaves open keeps its default, early stopping among it
         params = PROFILES[profile]["default"] | dict(row.params)
-        fitted = gbt_oof(
-            matrices.train,
-            matrices.test,
-            matrices.features,
-            gbt_params(params, max_rounds, seed) | dict(overrides or {}),
-            folds,
-            seed,
-            patience_of(params),
-        )
-        scored.append(fitted.test.withColumn("trial", F.lit(row.trial)))
+        settings = gbt_params(params, max_rounds, seed) | dict(overrides or {})
+        fitted = fit_folds(prepared, settings, patience_of(params), parallelism)
+        return blended_test(prepared, fitted).withColumn("trial", F.lit(row.trial))
+
+    rows = trials.collect()  # one row per trial
+    with ThreadPoolExecutor(min(at_once, len(rows))) as pool:
+        scored = list(pool.map(inheritable_thread_target(spark)(predictions), rows))
     areas = roc_auc(reduce(DataFrame.unionByName, scored), by="trial")
     return trials.join(areas, "trial").select("trial", "params", F.col("auc").alias("val_auc"))
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendcast.operators.features import customer_snapshot_features, snapshot_distinct_counts
+from spendcast.operators.features import customer_snapshot_features, snapshot_distinct_counts, statistics_by_rows, statistics_by_states
 from spendcast.operators.labels import customer_universe, generate_label, generate_labels, label_by_join, label_sorted
 from spendcast.operators.matrix import attach_predictions, previous_month_join
 from spendcast.operators.mode import feat_mode
@@ -91,6 +91,25 @@ def test_all_features_match_a_single_node_data_frame(log, ordered):
             )
 
 
+def test_states_of_intervals_merge_to_the_statistics_of_rows(spark):
+    """Constant values far from zero, gaps between a customer's intervals, values missing in an interval, one row only."""
+    rows = []
+    for c in range(30):
+        for i in range(c % 9 + 1):
+            day = f"2011-{(c * 5 + i * i * 3) % 12 + 1:02d}-{i + 1:02d}"
+            rows.append((c, day, 1e9 + 5.3, None if (c + i) % 4 == 0 else float((c * 7919 + i * 104729) % 1000) / 8, 1e6 + i % 2, 1))
+    rows += [(None, "2011-01-01", 1.0, 2.0, 3.0, 1), (99, "2011-12-31", 1.0, None, 3.0, 1)]
+    df = spark.createDataFrame(rows, "customer_id long, d string, constant double, gaps double, near double, customer_row long")
+    df = df.withColumn("order_date", F.col("d").cast("timestamp_ntz")).repartition(3)
+    months = ["2011-02", "2011-03", "2011-07", "2011-08", "2012-01"]
+    names = ("constant", "gaps", "near")
+    got = statistics_by_states(df, months, names).toPandas().set_index(["customer_id", "year_month"]).sort_index()
+    expected = statistics_by_rows(df, months, names).toPandas().set_index(["customer_id", "year_month"]).sort_index()
+    assert list(got.index) == list(expected.index)
+    for c in expected.columns:
+        np.testing.assert_allclose(got[c].astype(float), expected[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
+
+
 def test_distinct_counts_skip_null(spark):
     rows = [(1, 1, 7, "2011-01-01"), (1, 1, None, "2011-01-02"), (1, 2, 8, "2011-03-01"), (None, 3, 9, "2011-01-01")]
     df = spark.createDataFrame(rows, "customer_id long, order_id long, product_id long, d string")

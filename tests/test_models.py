@@ -3,7 +3,20 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from spendcast.plans.boosting import _best_round, assemble, feature_importance, fit, gbt_fit_predict, gbt_oof, score, tree_margins
+from spendcast.plans.boosting import (
+    _best_round,
+    assemble,
+    feature_importance,
+    fit,
+    fit_folds,
+    gbt_fit_predict,
+    gbt_oof,
+    patience_stop,
+    prepare_folds,
+    score,
+    tree_margins,
+    trees_between,
+)
 from spendcast.plans.feature_matrix import Matrices
 from spendcast.plans.jobs import predict, validate
 from spendcast.plans.profiles import PROFILES, SEARCH_SPACE, TRIALS, gbt_params, patience_of
@@ -62,6 +75,53 @@ def test_best_round_and_patience():
     assert _best_round({1: 0.5, 2: 0.5}, patience=5) == 1
 
 
+def test_patience_in_a_table_equals_round_by_round(spark):
+    curves = [{1: 0.5, 2: 0.6, 3: 0.55, 4: 0.7}, {1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5, 5: 0.9}, {1: None, 2: 0.4, 3: 0.4}, {1: 0.3}]
+    rows = [(f, r, a) for f, c in enumerate(curves) for r, a in c.items()]
+    table = spark.createDataFrame(rows, "fold int, rounds int, auc double").repartition(3)
+    for patience in (1, 2, 3, 10):
+        got = {r.fold: (r.rounds, r.stopped) for r in patience_stop(table, patience).collect()}
+        for f, c in enumerate(curves):
+            known = {r: -1.0 if a is None else a for r, a in c.items()}
+            best = _best_round(known, patience)
+            assert got[f] == (best, max(known) - best >= patience)
+
+
+def test_profile_rounds_are_stopped_by_patience(planted):
+    """Thousands of rounds are allowed, and a fold ends where its own curve has gained nothing for long enough."""
+    params = gbt_params(PROFILES["xgb"]["default"]) | {"maxDepth": 2, "stepSize": 0.5}
+    assert params["maxIter"] == 10_000
+    prepared = prepare_folds(planted.train, planted.test, FEATURES, 2)
+    fitted = fit_folds(prepared, params, patience=6)
+    for fold, (model, rounds) in enumerate(fitted):
+        assert rounds + 6 <= model.getNumTrees <= 128
+        # the fold's curve, scored from the start with all trees, has its best round there
+        own = prepared.folded.where(F.col("fold") == fold)
+        margins = tree_margins(model, own).select("label", F.posexplode("_margins").alias("at", "margin")).toPandas()
+        area = {}
+        for at, rows in margins.groupby("at"):
+            pos, neg = rows[rows.label == 1].margin.to_numpy(), rows[rows.label == 0].margin.to_numpy()
+            area[at + 1] = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+        assert _best_round(area, 6) == rounds
+
+
+def test_a_shorter_fit_begins_a_longer_one(planted):
+    rows = assemble(planted.train, FEATURES)
+    params = QUICK | {"subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
+    short, long = fit(rows, params | {"maxIter": 3}), fit(rows, params | {"maxIter": 7})
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:3]]
+    kept = tree_margins(short, rows).withColumn("m", F.element_at("_margins", -1)).drop("_margins")
+    later = tree_margins(trees_between(long, 3), kept.where("customer_id IS NOT NULL"), F.col("m"))
+    whole = {r.customer_id: r._margins[3:] for r in tree_margins(long, rows).collect() if r.customer_id}
+    assert all(r._margins == pytest.approx(whole[r.customer_id], abs=1e-12) for r in later.collect())
+
+
+def test_models_do_not_depend_on_partitions(planted):
+    params = QUICK | {"subsamplingRate": 0.6, "featureSubsetStrategy": "0.7"}
+    few, many = (fit(assemble(planted.train.repartition(n), FEATURES), params) for n in (3, 11))
+    assert [t.toDebugString.split("\n", 1)[1] for t in few.trees] == [t.toDebugString.split("\n", 1)[1] for t in many.trees]
+
+
 def test_all_trees_give_the_models_own_probability(planted, model):
     rows = assemble(planted.test, FEATURES)
     own = score(model, rows).select("customer_id", F.col("probability").alias("own"))

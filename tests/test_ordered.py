@@ -108,3 +108,12 @@ def test_a_large_customer_is_cut_into_blocks(monkeypatch, ordered):
     joined = whole.alias("a").join(cut.alias("b"), ["customer_id", "year_month"])
     worst = joined.agg(*[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / (1 + F.abs(F.col(f"a.{c}")))).alias(c) for c in moments]).first()
     assert max(v for v in worst if v is not None) < 1e-6
+
+
+def test_amounts_too_large_for_units(spark):
+    """Totals beyond 64 bits of units are added in two parts, with the same result for smaller ones."""
+    rows = [(1, "2011-01-01", i, i, 5, 1, q, q, q, "x") for i, q in enumerate([3e11, 3e11, -3e11, 0.25, 1e11])]
+    schema = "customer_id long, d string, order_id long, line_no int, product_id long, supplier_id long, quantity double, total double, price double, country string"
+    df = spark.createDataFrame(rows, schema).withColumn("order_date", F.col("d").cast("timestamp_ntz")).drop("d")
+    totals = running_totals(order_log(df), ["customer_id"]).orderBy("line_no").collect()
+    assert [r.cumsum_total_by_cust_id for r in totals] == [3e11, 6e11, 3e11, 3e11 + 0.25, 4e11 + 0.25]
