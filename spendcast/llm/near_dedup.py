@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged
+from spendcast.llm.text import ROW_TAG, WordHashes, map_columns, python_workers, steadily_tagged
 from spendcast.operators.ordered import order_rows, running_sums
 from spendcast.session import materialize
 
@@ -69,25 +69,17 @@ def shingle_sets(
     docs: DataFrame, columns: list[str], text: str, words_per_shingle: int, sketch: int | None, as_array: bool = False
 ) -> DataFrame:
     """``columns``, ``n_shingles``, and either ``same`` (a 128-bit digest of the set) with ``sketch``, or the ``hashes``."""
-    python_workers(docs.sparkSession)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     known = WordHashes()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_hashes(t, words_per_shingle, known) for t in batch["_text"]]
-            out = batch[columns].copy()
-            out["n_shingles"] = [len(x) for x in found]
-            if sketch is None:
-                out["hashes"] = [x.view(np.int64) if as_array else x.tobytes() for x in found]
-            else:
-                out["same"] = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
-                out["sketch"] = [x[:sketch].view(np.int64) for x in found]
-            yield out
+    def sets(texts: list[str | None]) -> tuple:
+        found = [shingle_hashes(t, words_per_shingle, known) for t in texts]
+        sizes = [len(x) for x in found]
+        if sketch is None:
+            return None, [sizes, [x.view(np.int64) if as_array else x.tobytes() for x in found]]
+        return None, [sizes, [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [x[:sketch].view(np.int64) for x in found]]
 
     made = f"hashes {'array<long>' if as_array else 'binary'}" if sketch is None else "same binary, sketch array<long>"
-    named = docs.select(*columns, F.col(f"`{text}`").cast("string").alias("_text"))
-    return named.mapInPandas(sets, f"{kinds}, n_shingles long, {made}")
+    return map_columns(docs, columns, [F.col(f"`{text}`").cast("string")], sets, f"n_shingles long, {made}")
 
 
 def similar(table: DataFrame, keys: list[str], decide, kind: str) -> DataFrame:

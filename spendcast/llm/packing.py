@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import ROW_TAG, python_workers, tagged
+from spendcast.llm.text import ROW_TAG, map_columns, tagged
 from spendcast.llm.tokens import encoder
 from spendcast.operators.ordered import order_rows, running_sums
 from spendcast.session import materialize
@@ -42,29 +42,24 @@ def pieces(
 ) -> DataFrame:
     """``key``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids`` (little-endian 32-bit).
 
-    A document's ids end with ``end_id``. Longer ones are cut into pieces of ``max_tokens``; the first takes the rest.
+    A document's ids end with ``end_id``, which is all that a NULL or empty text has. Longer ones are cut into pieces of ``max_tokens``; the first takes the rest.
     """
-    python_workers(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(texts: list[str | None]) -> tuple:
         own = encoder(tokenizer, end_id)
-        for batch in batches:
-            rows = []
-            for name, all_ids in zip(batch["key"], own.encode_all(batch["text"]), strict=True):
-                first = (len(all_ids) - 1) % max_tokens + 1
-                edges = [0, *range(first, len(all_ids) + 1, max_tokens)]
-                for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    raw = all_ids[a:b].astype("<u4").tobytes()
-                    rows.append((name, piece, a, b - a, zlib.crc32(raw), *([raw] if ids else [])))
-            columns = ["key", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
-            out = pd.DataFrame(rows, columns=columns)
-            out["key"] = pd.Series([r[0] for r in rows], dtype=batch["key"].dtype)
-            yield out
-
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
-    named = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
-    return named.mapInPandas(cut, schema).withColumnRenamed("key", key)
+        places, out = [], [[] for _ in range(5)]
+        for place, all_ids in enumerate(own.encode_all(texts)):
+            first = (len(all_ids) - 1) % max_tokens + 1
+            edges = [0, *range(first, len(all_ids) + 1, max_tokens)]
+            for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                raw = all_ids[a:b].astype("<u4").tobytes()
+                places.append(place)
+                for column, value in zip(out, (piece, a, b - a, zlib.crc32(raw), raw), strict=True):
+                    column.append(value)
+        return places, out if ids else out[:4]
+
+    made = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    return map_columns(docs, [key], [F.col(f"`{text}`").cast("string")], cut, made)
 
 
 def exact_patterns(lengths: Sequence[int], max_tokens: int) -> list[Pattern]:
@@ -191,19 +186,15 @@ def pack(cut: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> D
     starts = (layout["length"].to_numpy(np.int64) << 48) + layout["first"].to_numpy(np.int64)
     table = {c: layout[c].to_numpy(np.int64) for c in ("first", "many", "sequence", "offset")}
     numbered = running_sums(ordered.withColumn("_one", F.lit(1).cast("long")), {"length": {"_number": "_one"}})
-    numbered = numbered.select(*cut.columns, "_number")
-    schema = cut.select("*").schema.simpleString()[len("struct<") : -1] + ",sequence_id:bigint,offset:bigint"
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            number, length = batch.pop("_number").to_numpy(np.int64) - 1, batch["length"].to_numpy(np.int64)
-            row = np.searchsorted(starts, (length << 48) + number, side="right") - 1
-            inside = number - table["first"][row]
-            batch["sequence_id"] = table["sequence"][row] + inside // table["many"][row]
-            batch["offset"] = table["offset"][row] + inside % table["many"][row] * length
-            yield batch
-
-    return numbered.mapInPandas(place, schema)
+
+    def place(number: list[int], length: list[int]) -> tuple:
+        number, length = np.array(number, np.int64) - 1, np.array(length, np.int64)
+        row = np.searchsorted(starts, (length << 48) + number, side="right") - 1
+        inside = number - table["first"][row]
+        sequence = table["sequence"][row] + inside // table["many"][row]
+        return None, [sequence, table["offset"][row] + inside % table["many"][row] * length]
+
+    return map_columns(numbered, cut.columns, [F.col("_number"), F.col("length")], place, "sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, **options) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spendcast.llm import near_dedup
 from spendcast.llm.components import components
-from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged, without
+from spendcast.llm.text import ROW_TAG, WordHashes, map_columns, python_workers, steadily_tagged, without
 from spendcast.session import materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -347,26 +347,34 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with their own columns, repeated passages cut out of ``text``. Nothing else of a text changes."""
-    python_workers(docs.sparkSession)
+    """The documents with their own columns, repeated passages cut out of ``text``. Nothing else of a text changes.
+
+    NULL, empty and short texts stay as they are, and all rows stay, repeated ones too. Columns may have any names and
+    types; their values never leave Arrow. An empty table gives an empty one.
+    """
     numbered = steadily_tagged(without(docs, ROW_TAG))
     spans = repeated_spans(numbered, text, **options).where("removed")
     listed = F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans_to_cut")
     cuts = materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts")
-    columns = [c for c in numbered.columns if c != ROW_TAG]
-    joined = numbered.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left").select(*columns, "_spans_to_cut")
+    names = [c for c in numbered.columns if c != ROW_TAG]
+    # own columns by place, so that no name clashes
+    own = [f"_own_{i}" for i in range(len(names))]
+    placed = numbered.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], ROW_TAG)
+    joined = placed.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left")
+    at = own[names.index(text)]
+
+    def cut(texts: list[str], spans: list) -> tuple:
+        new = []
+        for value, of_text in zip(texts, spans, strict=True):
+            words, kept, end = [m.span() for m in FIND_WORDS.finditer(value)], [], 0
+            for s in of_text:
+                kept.append(value[end : words[s["first"]][0]])
+                end = words[s["last"] - 1][1]
+            new.append("".join([*kept, value[end:]]))
+        return None, [new]
+
+    kind = docs.select(F.col(f"`{text}`")).schema[0].dataType
     touched = joined.where("_spans_to_cut IS NOT NULL")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            new = []
-            for value, spans in zip(batch[text], batch["_spans_to_cut"], strict=True):
-                at, kept, end = [m.span() for m in FIND_WORDS.finditer(value)], [], 0
-                for s in spans:
-                    kept.append(value[end : at[s["first"]][0]])
-                    end = at[s["last"] - 1][1]
-                new.append("".join([*kept, value[end:]]))
-            yield batch.drop(columns="_spans_to_cut").assign(**{text: new})
-
-    plain = joined.where("_spans_to_cut IS NULL").select(*columns)
-    return plain.unionByName(touched.mapInPandas(cut, numbered.select(*columns).schema))
+    changed = map_columns(touched, own, [F.col(at).cast("string"), F.col("_spans_to_cut")], cut, "_new string")
+    changed = changed.select(*[F.col("_new").cast(kind).alias(at) if c == at else F.col(c) for c in own])
+    return joined.where("_spans_to_cut IS NULL").select(*own).union(changed).toDF(*names)

@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendcast.llm.text import ROW_TAG, python_workers, tagged
 from spendcast.llm.tokens import token_ids
@@ -82,19 +85,21 @@ def write_token_files(
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long").coalesce(
         1
     ).write.parquet(f"{path}/ranks")
-    kind = docs.schema[key].dataType.simpleString()
+    schema = T.StructType.fromDDL("part int, seq int, lengths array<int>, control binary, data binary")
+    schema = schema.add("keys", T.ArrayType(docs.select(F.col(f"`{key}`")).schema[0].dataType))
+    arrow = to_arrow_schema(schema)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             control, data = pack_codes(np.concatenate(ids))
-            lengths = [len(x) for x in ids]
-            return pd.DataFrame([(part, seq, keys, lengths, control, data)], columns=["part", "seq", "keys", "lengths", "control", "data"])
+            values = (part, seq, [len(x) for x in ids], control, data, keys)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for name, raw, width in zip(batch["key"], batch["ids"], batch["width"], strict=True):
-                keys.append(None if pd.isna(name) else name)
+            for name, raw, width in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                keys.append(name)
                 ids.append(rank_of[np.frombuffer(raw, f"<u{width}")])
                 size += len(ids[-1])
                 if size >= TOKENS_PER_BLOCK:
@@ -104,10 +109,8 @@ def write_token_files(
             yield block()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tagged(tokens).repartitionByRange(n, key, ROW_TAG).sortWithinPartitions(key, ROW_TAG)
-    written = ordered.selectExpr(f"`{key}` AS key", "ids", "width").mapInPandas(
-        blocks, f"part int, seq int, keys array<{kind}>, lengths array<int>, control binary, data binary"
-    )
+    ordered = tagged(tokens).repartitionByRange(n, F.col(f"`{key}`"), ROW_TAG).sortWithinPartitions(F.col(f"`{key}`"), ROW_TAG)
+    written = ordered.select(F.col(f"`{key}`").alias("key"), "ids", "width").mapInArrow(blocks, schema)
     written.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
@@ -119,30 +122,28 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     python_workers(spark)
     by_rank = np.array([row.id for row in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     files = spark.read.parquet(f"{path}/blocks")
-    kind = files.schema["keys"].dataType.elementType.simpleString()
+    schema = T.StructType.fromDDL("part int, seq int, at long, n_tokens long, ids binary")
+    schema = schema.add("key", files.schema["keys"].dataType.elementType)
+    arrow = to_arrow_schema(schema)
     totals = files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     parts = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.itertuples():
-                lengths = np.asarray(b.lengths, np.int64)
-                ids = by_rank[unpack_codes(b.control, b.data, int(lengths.sum()))].astype("<u4")
+            of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                part, seq, control, data = (of[name][i].as_py() for name in ("part", "seq", "control", "data"))
+                lengths = np.array(of["lengths"][i].values, np.int64)
+                ids = by_rank[unpack_codes(control, data, int(lengths.sum()))].astype("<u4")
                 ends = np.cumsum(lengths)
-                # the place in the block serves as an order, the sum up to it as the start
-                yield pd.DataFrame(
-                    {
-                        "part": b.part,
-                        "seq": b.seq,
-                        "key": pd.Series(list(b.keys), dtype=object),
-                        "at": ends - lengths,
-                        "n_tokens": lengths,
-                        "ids": [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)],
-                    }
-                )
-
-    rows = files.mapInPandas(decode, f"part int, seq int, key {kind}, at long, n_tokens long, ids binary")
+                # the place in the block serves as an order, the sum up to it as the start; keys never leave Arrow
+                each = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
+                columns = (np.full(len(lengths), part), np.full(len(lengths), seq), ends - lengths, lengths, each, of["keys"][i].values)
+                columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    rows = files.mapInArrow(decode, schema)
     sizes = files.select(
         F.col("part").alias("_p"), F.col("seq").alias("_s"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("size")
     )

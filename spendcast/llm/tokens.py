@@ -12,10 +12,10 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import map_columns
 
 # Stretches kept per worker; beyond that the cache starts anew.
 CACHED = 1_200_000
@@ -27,8 +27,9 @@ AT_ONCE = 1_000_000
 STRETCH = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![\w\u0080-\U0010ffff])"
 BYTE_LEVEL = re.compile(rf" ?{STRETCH}| ?\S+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"{STRETCH}|\S+")
-# Python counts these as white space, the tokenizers don't: such texts are encoded in one go.
-ODD = re.compile("[\x1c-\x1f]")
+# Python counts these as white space, the tokenizers don't: such texts are encoded in one go, and so are those that
+# spell one of the tokenizer's added tokens, which the library finds before anything else.
+ODD = "[\x1c-\x1f]"
 
 
 class Places(dict):
@@ -50,7 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD, *added]), re.IGNORECASE)
         self.byte_level = self.tokenizer.normalizer is None
         self.end_id = end_id
         self.clear()
@@ -62,7 +64,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def stretches(self, text: str) -> list[str]:
-        if ODD.search(text):
+        if self.odd.search(text):
             return [text]
         return (BYTE_LEVEL if self.byte_level else WORD_LEVEL).findall(text)
 
@@ -119,15 +121,11 @@ def token_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
 
     A NULL text is an empty one. The width is in ``width``.
     """
-    python_workers(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(texts: list[str | None]) -> tuple:
         own = encoder(tokenizer, end_id)
         width = 2 if max(own.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        for batch in batches:
-            ids = [x.astype(f"<u{width}").tobytes() for x in own.encode_all(batch["text"])]
-            yield pd.DataFrame({"key": batch["key"], "ids": ids, "width": np.int32(width)})
+        ids = [x.astype(f"<u{width}").tobytes() for x in own.encode_all(texts)]
+        return None, [ids, np.full(len(ids), width, np.int32)]
 
-    named = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
-    return named.mapInPandas(encode, f"key {kind}, ids binary, width int").withColumnRenamed("key", key)
+    return map_columns(docs, [key], [F.col(f"`{text}`").cast("string")], encode, "ids binary, width int")

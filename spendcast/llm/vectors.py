@@ -8,8 +8,6 @@ A tile returns counts of links and a forest of them, never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import map_columns, python_workers
 from spendcast.session import materialize
 
 # Vectors in a block: a tile of 4,096 by 4,096 products takes 64 MB.
@@ -44,22 +42,16 @@ def unit(vector) -> np.ndarray | None:
 
 def classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``row``, ``name``, ``same`` (digest of the values, NULL without a direction), ``size`` and ``unit``."""
-    python_workers(vectors.sparkSession)
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            units = [unit(v) for v in batch["vector"]]
-            out = batch[["row", "name"]].copy()
-            out["same"] = [None if u is None else xxhash.xxh3_128_digest(u.tobytes()) for u in units]
-            out["dims"] = [0 if u is None else len(u) for u in units]
-            out["unit"] = [None if u is None else u.tobytes() for u in units]
-            yield out
+
+    def describe(given: list) -> tuple:
+        units = [unit(v) for v in given]
+        same = [None if u is None else xxhash.xxh3_128_digest(u.tobytes()) for u in units]
+        return None, [same, [0 if u is None else len(u) for u in units], [None if u is None else u.tobytes() for u in units]]
 
     named = vectors.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("name"), F.col(f"`{vector}`").alias("vector")
     )
-    return named.mapInPandas(describe, f"row long, name {kind}, same binary, dims int, unit binary")
+    return map_columns(named, ["row", "name"], [F.col("vector")], describe, "same binary, dims int, unit binary")
 
 
 def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import map_columns, python_workers
 
 VERSION = "WARC/1.1"
 HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
@@ -35,7 +35,7 @@ TAG = re.compile(r"</?[a-z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 ANCHOR = re.compile(r"<a\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
 HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-DERIVED = "page {key}, warc_type string, record_id string, refers_to string, target_uri string, date string, "
+DERIVED = "warc_type string, record_id string, refers_to string, target_uri string, date string, "
 DERIVED += "content_type string, content_length long, block_digest string, payload_digest string, record binary"
 
 
@@ -178,16 +178,12 @@ def derive(raw: bytes) -> list[dict]:
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``key`` and ``record`` of captured pages. The pages carry no date of their own, so all take ``date``."""
-    python_workers(pages.sparkSession)
-    kind = pages.schema[key].dataType.simpleString()
+    # the key is read as it is for the identifier, and carried as it is
+    def make(keys: list, urls: list[str | None], found: list[str | None]) -> tuple:
+        return None, [[response(*x, date) for x in zip(keys, urls, found, strict=True)]]
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [response(*x, date) for x in zip(b["page"], b["url"], b["html"], strict=True)]
-            yield pd.DataFrame({"page": b["page"], "record": made})
-
-    named = pages.selectExpr(f"`{key}` AS page", f"CAST(`{url}` AS string) AS url", f"CAST(`{page}` AS string) AS html")
-    return named.mapInPandas(make, f"page {kind}, record binary").withColumnRenamed("page", key)
+    inputs = [F.col(f"`{key}`"), F.col(f"`{url}`").cast("string"), F.col(f"`{page}`").cast("string")]
+    return map_columns(pages, [key], inputs, make, "record binary")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -210,15 +206,10 @@ def derivatives(records: DataFrame, key: str = "page_id", raw: str = "record") -
     Repeated records give repeated rows. An empty table gives an empty one. Each record is worked on by itself: there
     is no shuffle.
     """
-    python_workers(records.sparkSession)
-    kind = records.schema[key].dataType.simpleString()
-    schema = DERIVED.format(key=kind)
-    columns = [x.split()[0] for x in schema.split(", ")]
+    columns = [x.split()[0] for x in DERIVED.split(", ")]
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"page": p, **r} for p, data in zip(b["page"], b["record"], strict=True) if data is not None for r in derive(data)]
-            yield pd.DataFrame(rows, columns=columns)
+    def build(given: list[bytes | None]) -> tuple:
+        rows = [(place, r) for place, data in enumerate(given) if data is not None for r in derive(data)]
+        return [place for place, _ in rows], [[r[c] for _, r in rows] for c in columns]
 
-    named = records.selectExpr(f"`{key}` AS page", f"`{raw}` AS record")
-    return named.mapInPandas(build, schema).withColumnRenamed("page", key)
+    return map_columns(records, [key], [F.col(f"`{raw}`")], build, DERIVED)
