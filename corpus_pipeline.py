@@ -18,7 +18,7 @@ TOKENIZER = "byte_bpe_50k.json"
 # Near-duplicate stages on word shingles: five words, similarity 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
-# No SQL can state the stages that tokenize, or cut passages found by hashing; tests hold all of them against brute force.
+# No SQL can state the stages that tokenize, or cut passages found by hashing; their operators are tested one by one.
 ORACLE_SQL = None
 
 
