@@ -17,7 +17,7 @@ from spendcast.schema import DISTINCT_COLUMNS, MEASURES, STATISTICS, feature_col
 KEYS = ("customer_id", SNAPSHOT)
 # A customer with more rows than this is summed up in several tasks first.
 ROWS_PER_BLOCK = 1_000_000
-# Snapshots from which states of intervals cost less than repeated rows (measured on 600,000 lines).
+# Snapshots from which states of intervals are used. With three, repeated rows are quicker; more were not timed.
 STATES_FROM = 6
 
 
