@@ -1,58 +1,68 @@
-"""Repeated passages, found word by word where they are exact and by MinHash banding of paragraphs where they are not.
-
-**Exact repeats.** Of every window of as many words as a span has at least, the smallest hash of some words in it is
-its anchor, so equal windows have equal anchors, wherever sentences begin or end. Windows in a row with one anchor
-are a segment. Segments whose anchor is found in one document only are left at once; of an anchor with one segment
-every window repeats; of the others each different segment is taken apart once, and its windows are counted. So a
-passage is found to its last word if it has the words of a span, and no pairs are made.
-
-**Edited repeats.** A paragraph here begins at every sentence and runs to the end of the
-sentence with which it has enough words. Its five-word shingles give a few MinHash values, in bands; paragraphs that
-agree in a band are compared, all with all, by exact Jaccard similarity. Linked paragraphs form
-clusters; the first document of a cluster keeps it, the others lose it. Overlapping paragraphs of a document make
-one span, together with exact repeats.
-
-Five bands of two values find a pair of paragraphs at similarity 0.8 with a chance of 0.994. Equal ones are found
-with certainty.
+"""Repeated passages: paragraphs are banded by MinHash, aligned word by word, and clustered by components.
+
+**Paragraphs and bands.** Every ``PARAGRAPH_WORDS`` words in a row are a paragraph, wherever sentences begin or end. Its
+signature is the least hash of its five-word shingles, one value in one band: neighbours mostly have the same, so
+paragraphs in a row with one value are one row, about one for nine words. A passage has dozens of paragraphs, each with a
+chance of its own, which makes recall high with a single band: a passage is found with certainty if as many words in a
+row as a paragraph has were left as they are.
+
+**Colliding paragraphs.** Stretches of paragraphs with a value found once are left at once. Equal stretches are counted
+as one; of a value with different ones, each is taken apart once and its paragraphs are counted. So every repeated
+paragraph gets the place that holds it first, and no pairs are made, however many texts hold it.
+
+**Alignment.** Repeated paragraphs in a row with one holder are a run; runs with few words between them are a chain. A
+chain is carried on at both ends, over words that were changed, put in or left out, through up to ``REACH`` words of both
+texts. The longest alignment whose five-word shingles, told apart by place, have a Jaccard similarity of ``SIMILAR``
+percent or more is a link of two passages. Runs are equal word by word, whatever their length.
+
+**Clusters.** Components of linked passages; the first one, by the order of keys, is kept, the others are removed. Words
+of which every paragraph is repeated are removed as well, even if no single text holds them all.
+
+An edited passage is compared with the first holder of each of its unchanged paragraphs, not with all holders.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendcast.llm import near_dedup
 from spendcast.llm.components import components
-from spendcast.llm.text import ROW_TAG, WordHashes, map_columns, python_workers, steadily_tagged, without
+from spendcast.llm.phrases import Field, Sent
+from spendcast.llm.text import ROW_TAG, WordHashes, hashed, map_columns, python_workers, tagged, without
 from spendcast.session import materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
 WORDS_PER_SHINGLE = 5
 # Percent of shared shingles.
 SIMILAR = 80
-# Words a paragraph has at least, and words a span has to have to be removed.
-PARAGRAPH_WORDS = 25
+# Words of a paragraph, and words a passage has to have to be removed.
+PARAGRAPH_WORDS = 20
 SPAN_WORDS = 30
-# Words of an anchor. Fewer make fewer segments and more chance agreements, which the windows sort out.
-ANCHOR_WORDS = 12
-BANDS, PER_BAND = 5, 2
-# Different paragraphs of a band that are compared pair by pair.
-LONGEST_BAND = 32
-# Odd multipliers of the MinHash functions, from the rule: powers of an odd number.
-MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(BANDS * PER_BAND)]
+# Words beyond a chain's ends that alignment looks at, and the most words in a row that an edit changes on one side.
+REACH = 40
+EDIT_WORDS = 6
+# Words of a block that are worked on at once; a longer text is a block of its own.
+BLOCK_WORDS = 400_000
 # The base of hashes of word sequences, and its inverse modulo 2^64.
 BASE = 0x9FB21C651E98DF25
 INVERSE = pow(BASE, -1, 1 << 64)
+# Bits of a number that tell apart the bytes of one written partition.
+PARTITION_BITS = 40
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
+@lru_cache(maxsize=4)
+def powers(base: int, doublings: int) -> np.ndarray:
+    out = np.full(1 << doublings, base, np.uint64)
+    out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
@@ -61,280 +71,417 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Paragraphs:
-    """Hashes of a text's words, and the paragraphs as ranges of words."""
-
-    def __init__(self, text: str, known: WordHashes, at_least: int):
-        words: list[bytes] = []
-        lines = []
-        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-            words += line.split()
-            lines.append(len(words))
-        self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        # a sentence ends with a mark or a line
-        marks = [i for i, w in enumerate(words, 1) if w[-1] in b".!?"]
-        ends = np.unique(np.array(marks + lines, np.int64))
-        ends = ends[ends > 0]
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        reach = np.searchsorted(ends, starts + at_least)
-        inside = reach < len(ends)
-        self.starts, self.ends = starts[inside], ends[reach[inside]]
-
-    def shingles(self) -> np.ndarray:
-        """The hash of every five words in a row."""
-        count = max(len(self.hashes) - WORDS_PER_SHINGLE + 1, 0)
-        mixed = np.full(count, np.uint64(0x2545F4914F6CDD1D))
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def numbered_by_key(docs: DataFrame, key: str | None, text: str) -> DataFrame:
+    """The documents in the order of their keys, NULL last, with ``_row_tag``, written once.
+
+    Numbers ascend with the order, and a text has as many numbers to itself as it has bytes and one: number plus place of
+    a word is one number for every word of the table. Rows with one key are in the order of the scan.
+    """
+    before = tagged(without(docs, ROW_TAG))
+    order = [F.col(ROW_TAG)] if key is None else [F.col(f"`{key}`").asc_nulls_last(), F.col(ROW_TAG)]
+    before = before.orderBy(*order).drop(ROW_TAG)
+    names = [*before.columns, ROW_TAG]
+    kinds = T.StructType(
+        [T.StructField(f"_{i}", f.dataType) for i, f in enumerate(before.schema)] + [T.StructField("_size", T.LongType())]
+    )
+    arrow = to_arrow_schema(kinds)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << PARTITION_BITS
+        for batch in batches:
+            sizes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) + 1
+            ends = at + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ends - sizes, pa.int64())], schema=arrow)
+            at = int(ends[-1]) if len(ends) else at
+
+    python_workers(docs.sparkSession)
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long")
+    asked = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(before.columns)]
+    return materialize(before.select(*asked, size.alias("_size")).mapInArrow(number, kinds).toDF(*names), "numbered")
+
+
+class Stretches:
+    """Paragraphs in a row with one least shingle, of some texts: value, text, first word, how many, digest."""
+
+    def __init__(self, words: np.ndarray, sizes: Sequence[int], paragraph: int):
+        n, self.paragraph = len(words), paragraph
+        sizes = np.asarray(sizes, np.int64)
+        ends = np.cumsum(sizes)
+        at = np.arange(max(n - paragraph + 1, 0))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        at = at[at + paragraph <= ends[text[: len(at)]]]
+        if not len(at):
+            self.key = self.digest = np.zeros(0, np.uint64)
+            self.text = self.first = self.many = self.start = np.zeros(0, np.int64)
+            return
         with np.errstate(over="ignore"):
+            count = n - WORDS_PER_SHINGLE + 1
+            mixed = np.full(count, np.uint64(0x2545F4914F6CDD1D))
             for i in range(WORDS_PER_SHINGLE):
-                mixed = (mixed ^ self.hashes[i : count + i]) * np.uint64(0xFF51AFD7ED558CCD)
+                mixed = (mixed ^ words[i : count + i]) * np.uint64(0xFF51AFD7ED558CCD)
                 mixed ^= mixed >> np.uint64(32)
-        return mixed
+            least = sliding_least(mixed, paragraph - WORDS_PER_SHINGLE + 1)[at]
+            new = np.append(True, (least[1:] != least[:-1]) | (np.diff(at) != 1))
+            # no more paragraphs than one has words, so that a stretch of one repeated shingle has a bound
+            run = np.flatnonzero(new)
+            new |= (np.arange(len(at)) - run[np.cumsum(new) - 1]) % paragraph == 0
+            run = np.flatnonzero(new)
+            self.many = np.diff(np.append(run, len(at)))
+            self.key, self.start = least[run], at[run]
+            self.text = text[self.start]
+            self.first = self.start - (ends - sizes)[self.text]
+            doublings = max(int(n).bit_length(), BLOCK_WORDS.bit_length())
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(words * powers(BASE, doublings)[:n], out=self.sums[1:])
+            self.back = powers(INVERSE, doublings)
+            self.digest = stirred(self.sequences(self.start, self.start + self.many + paragraph - 1))
 
     def sequences(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the words of each range: equal words in equal order give an equal one, wherever they stand."""
-        n = len(self.hashes)
         with np.errstate(over="ignore"):
-            if not hasattr(self, "sums"):
-                self.sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(self.hashes * powers(BASE, n), out=self.sums[1:])
-                self.back = powers(INVERSE, n + 1)
             return stirred((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
-    def windows(self, span_words: int) -> np.ndarray:
-        """The hash of every ``span_words`` words in a row."""
-        starts = np.arange(max(len(self.hashes) - span_words + 1, 0))
-        return self.sequences(starts, starts + span_words)
-
-    def segments(self, span_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows in a row with one anchor: the anchor's key, first and last word, and a digest of all words."""
-        n, width = len(self.hashes), min(ANCHOR_WORDS, span_words)
-        if n < span_words:
-            return (np.zeros(0, np.int64),) * 4
-        at = np.arange(n - width + 1)
-        anchors = self.sequences(at, at + width)
-        # of equal ones the leftmost, which the words of the window alone decide
-        least = np.lib.stride_tricks.sliding_window_view(anchors, span_words - width + 1).argmin(axis=1)
-        least = least + np.arange(len(least))
-        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        last = np.append(first[1:], len(least)) - 1 + span_words
-        with np.errstate(over="ignore"):
-            key = stirred(anchors[least[first]] ^ np.uint64(0x632BE59BD9B4E019))
-            place = (least[first] - first).astype(np.uint64) * np.uint64(INVERSE) + (last - first).astype(np.uint64)
-            digest = stirred(self.sequences(first, last) ^ stirred(place))
-        return key.view(np.int64), first, last, digest.view(np.int64)
-
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of every paragraph, one column per band, and a digest of its words in order."""
-        if not len(self.starts):
-            return np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64)
-        mixed = self.shingles()
-        ranges = np.stack([self.starts, self.ends - WORDS_PER_SHINGLE + 1], axis=1).reshape(-1)
-        # one more value, so that the last range may end at the end
-        least = []
-        with np.errstate(over="ignore"):
-            for m in MULTIPLIERS:
-                turned = mixed * np.uint64(m)
-                turned ^= turned >> np.uint64(31)
-                least.append(np.minimum.reduceat(np.append(turned, np.uint64(2**64 - 1)), ranges)[::2])
-            keys = []
-            for band in range(BANDS):
-                key = np.full(len(self.starts), np.uint64(band * 0x632BE59BD9B4E019 % 2**64))
-                for value in least[band * PER_BAND : (band + 1) * PER_BAND]:
-                    key = (key ^ value) * np.uint64(0xFF51AFD7ED558CCD)
-                    key ^= key >> np.uint64(33)
-                keys.append(key.view(np.int64))
-            # sums of place-weighted hashes from running sums: equal words in equal order give an equal digest
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * (mixed >> np.uint64(7) | np.uint64(1)))])
-            digest = (sums[self.ends - WORDS_PER_SHINGLE + 1] - sums[self.starts]) ^ mixed[self.starts]
-        return np.stack(keys, axis=1), digest.view(np.int64)
-
-
-def band_rows(numbered: DataFrame, text: str, where: bool, at_least: int, span_words: int) -> DataFrame:
-    """``key`` and ``row`` of every segment, and of every paragraph and band.
-
-    With ``where`` also ``first``, ``last`` (words), ``digest`` and ``exact`` (true for segments).
-    """
+    def apart(self, chosen: np.ndarray) -> np.ndarray:
+        """The hashes of all paragraphs of the chosen stretches, in a row."""
+        many = self.many[chosen]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(self.start[chosen], many) + place
+        return self.sequences(starts, starts + self.paragraph)
+
+
+def blocks(texts: list, known: WordHashes) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """The first text, word hashes and sizes of texts in a row."""
+    first, sizes, words = 0, [], []
+    for i, value in enumerate(texts):
+        own = value.split() if value else []
+        words += own
+        sizes.append(len(own))
+        if len(words) >= BLOCK_WORDS or i + 1 == len(texts):
+            yield first, hashed(words, known), sizes
+            first, sizes, words = i + 1, [], []
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64), pa.int64())
+
+
+def scanned(numbered: DataFrame, text: str, work, made: str, paragraph: int) -> DataFrame:
+    """``work(rows, stretches)`` of all texts, as record batches of the columns ``made``."""
     python_workers(numbered.sparkSession)
+    schema = to_arrow_schema(T.StructType.fromDDL(made))
     known = WordHashes()
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, segments = [], []
-            for row, value in zip(batch["row"], batch["text"], strict=True):
-                p = Paragraphs(value or "", known, at_least)
-                keys, digest = p.bands()
-                parts.append((np.full(len(keys), row), keys, p.starts, p.ends, digest))
-                key, first, last, digest = p.segments(span_words)
-                segments.append((np.full(len(key), row), key, first, last, digest))
-            row, keys, first, last, digest = (np.concatenate([x[i] for x in parts]) for i in range(5))
-            each = [(row, keys[:, band], first, last, digest, False) for band in range(BANDS)]
-            each.append((*(np.concatenate([x[i] for x in segments]) for i in range(5)), True))
-            for row, key, first, last, digest, exact in each:
-                out = pd.DataFrame({"key": key, "row": row}, dtype="int64")
-                yield out.assign(first=first, last=last, digest=digest, exact=exact) if where else out
-
-    kinds = "key long, row long" + (", first long, last long, digest long, exact boolean" if where else "")
-    named = numbered.select(F.col(ROW_TAG).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    return named.mapInPandas(rows, kinds)
-
-
-def occurrences(numbered: DataFrame, text: str, at_least: int = PARAGRAPH_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
-    """``row``, ``first``, ``last``, ``digest``, ``exact`` and ``key`` of what shares a key with another document."""
-    both = band_rows(numbered, text, False, at_least, span_words).groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"))
-    shared = materialize(both.where("a < b").select("key"), "shared-bands")
-    return materialize(band_rows(numbered, text, True, at_least, span_words).join(shared, "key"), "occurrences")
-
-
-def exact_spans(numbered: DataFrame, found: DataFrame, text: str, span_words: int) -> DataFrame:
-    """``row``, ``first``, ``last``, ``first_row`` of runs of windows that another document holds too.
-
-    They cover a row's repeated words to the last one; ``first_row`` is the first row that holds these windows.
+            rows = batch.column(0).to_numpy()
+            for first, words, sizes in blocks(batch.column(1).to_pylist(), known):
+                found = work(rows[first : first + len(sizes)], Stretches(words, sizes, paragraph))
+                yield pa.RecordBatch.from_arrays(found, schema=schema)
+
+    named = numbered.select(F.col(ROW_TAG).alias("row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    return named.mapInArrow(run, made)
+
+
+def occurrences(numbered: DataFrame, text: str, paragraph: int = PARAGRAPH_WORDS) -> DataFrame:
+    """``key, digest, row, first, many`` of stretches whose value may be found twice; ``inside``: paragraph hashes, or none.
+
+    Values found twice are told to the tasks by a bit field of a fixed size. Where it is full, more stretches are let
+    through, and left later. Of equal stretches of a batch, one has the hashes.
     """
+
+    def count(rows: np.ndarray, s: Stretches) -> list:
+        own, n = np.unique(s.key, return_counts=True)
+        return [signed(own), pa.array(np.minimum(n, 2), pa.int64())]
+
+    every = scanned(numbered, text, count, "key long, n long", paragraph).groupBy("key").agg(F.sum("n").alias("n"))
+    shared = materialize(every.where("n > 1").select("key"), "shared-values")
+    sent = Sent(numbered.sparkSession.sparkContext.broadcast(Field(shared)))
+
+    def place(rows: np.ndarray, s: Stretches) -> list:
+        good = np.flatnonzero(sent.has(s.key))
+        _, one = np.unique(s.digest[good], return_index=True)
+        sizes = np.zeros(len(good), np.int64)
+        sizes[one] = s.many[good[one]]
+        hashes = s.apart(good[np.sort(one)]) if len(good) else np.zeros(0, np.uint64)
+        inside = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), signed(hashes))
+        numbers = [pa.array(x[good], pa.int64()) for x in (s.first, s.many)]
+        return [signed(s.key[good]), signed(s.digest[good]), pa.array(rows[s.text[good]], pa.int64()), *numbers, inside]
+
+    made = "key long, digest long, row long, first long, many long, inside array<long>"
+    return materialize(scanned(numbered, text, place, made, paragraph), "stretches")
+
+
+def repeated_paragraphs(found: DataFrame) -> DataFrame:
+    """``key, digest, holder, begin, from, to``: of equal stretches, the paragraphs that another place holds.
+
+    ``from`` to ``to`` are paragraphs of the stretch. They are first held by the text ``holder``; ``begin`` is the number
+    at which the stretch would begin there.
+    """
+    place = F.col("row") + F.col("first")
     each = found.groupBy("key", "digest").agg(
-        F.min("row").alias("a"), F.max("row").alias("b"), F.min(F.struct("row", "first", "last")).alias("at")
+        F.min(place).alias("low"), F.max(place).alias("high"), F.min("row").alias("holder"), F.min("many").alias("many")
     )
-    each = materialize(each, "segments")
-    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    each = each.join(counted, "key")
-    whole = each.where("n = 1 AND a < b").select(
-        "key", "digest", F.col("a").alias("first_row"), F.lit(0).cast("long").alias("from"), (F.col("at.last") - F.col("at.first")).alias("to")
+    each = materialize(each, "different-stretches")
+    told = each.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
+    each = each.join(told, "key")
+    # all paragraphs of a value with one stretch are held wherever it is found
+    ends = [F.lit(0).cast("long").alias("from"), (F.col("many") - 1).alias("to")]
+    alone = each.where("different = 1 AND low < high").select("key", "digest", "holder", F.col("low").alias("begin"), *ends)
+    unlike = each.where("different > 1").select("key", "digest", "low", "high", "holder")
+    hashes = found.where(F.size("inside") > 0).select("key", "digest", "inside")
+    # equal stretches of different batches come more than once, which changes no least and no greatest place
+    apart = hashes.join(unlike, ["key", "digest"]).select("key", "digest", "low", "high", "holder", F.posexplode("inside").alias("nth", "paragraph"))
+    apart = apart.select("key", "digest", "nth", "paragraph", "holder", (F.col("low") + F.col("nth")).alias("low"), (F.col("high") + F.col("nth")).alias("high"))
+    apart = materialize(apart, "paragraphs")
+    held = apart.groupBy("paragraph").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("holder").alias("holder"))
+    held = held.where("low < high").drop("high")
+    parts = apart.select("key", "digest", "nth", "paragraph").join(held, "paragraph")
+    # places with one begin are held in a row: a stretch has no more paragraphs than a paragraph has words
+    parts = parts.groupBy("key", "digest", "holder", (F.col("low") - F.col("nth")).alias("begin")).agg(
+        F.min("nth").cast("long").alias("from"), F.max("nth").cast("long").alias("to")
+    )
+    return materialize(alone.unionByName(parts), "repeated-paragraphs")
+
+
+def runs(found: DataFrame, repeated: DataFrame, paragraph: int) -> DataFrame:
+    """``row, first, last, holder, at``: words that are held first at word ``at`` of the text ``holder``."""
+    there = found.select("key", "digest", "row", "first").join(repeated, ["key", "digest"])
+    there = there.where(F.col("row") + F.col("first") != F.col("begin"))
+    return there.select(
+        "row",
+        (F.col("first") + F.col("from")).alias("first"),
+        (F.col("first") + F.col("to") + paragraph).alias("last"),
+        "holder",
+        (F.col("begin") + F.col("from") - F.col("holder")).alias("at"),
     )
-    # one occurrence stands for a digest; its windows are read from its document
-    wanted = each.where("n > 1").groupBy(F.col("at.row").alias("row"))
-    per_row = wanted.agg(F.collect_list(F.struct("key", "digest", "a", "b", "at.first", "at.last")).alias("wanted"))  # of one text
-    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
-    placed = texts.join(per_row, F.col("_row") == F.col("row")).select("text", "wanted")
-    known = WordHashes()
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for value, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                hashes = Paragraphs(value, known, 1).windows(span_words).view(np.int64)
-                names = ("key", "digest", "a", "b", "first", "last")
-                key, digest, a, b, first, last = (np.array([w[x] for w in wanted], np.int64) for x in names)
-                sizes = last - first - span_words + 1
-                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                out = {"key": key, "digest": digest, "a": a, "b": b}
-                out = {k: np.repeat(v, sizes) for k, v in out.items()}
-                yield pd.DataFrame(out | {"place": place, "window": hashes[np.repeat(first, sizes) + place]}, dtype="int64")
 
-    python_workers(numbered.sparkSession)
-    apart_kind = "key long, digest long, a long, b long, place long, window long"
-    windows = materialize(placed.mapInPandas(apart, apart_kind), "windows")
-    common = windows.groupBy("window").agg(F.min("a").alias("first_row"), F.max("b").alias("last_row")).where("first_row < last_row")
-    there = windows.join(common, "window").select("key", "digest", "place", "first_row")
-    # a segment has a handful of windows; those in a row are one run
-    order = Window.partitionBy("key", "digest", "first_row").orderBy("place")
-    runs = there.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("key", "digest", "first_row", "run")
-    runs = runs.agg(F.min("place").alias("from"), (F.max("place") + span_words).alias("to")).drop("run")
-    ranges = materialize(whole.unionByName(runs), "segment-ranges")
-    return found.join(ranges, ["key", "digest"]).select(
-        "row", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"), "first_row"
-    )
+def covered(spans: np.ndarray, together: int) -> list[list[int]]:
+    """Spans ``first, last, least`` in order; those that share ``together`` words or more are one."""
+    out: list[list[int]] = []
+    for first, last, least in spans[np.argsort(spans[:, 0], kind="stable")].tolist():
+        if out and first <= out[-1][1] - together:
+            out[-1][1] = max(out[-1][1], last)
+            out[-1][2] = min(out[-1][2], least)
+        else:
+            out.append([first, last, least])
+    return out
+
+
+def enough(shared: int, left: int, right: int) -> bool:
+    """Whether passages of so many words are similar, shingles told apart by place."""
+    shingles = left + right - 2 * (WORDS_PER_SHINGLE - 1)
+    return 100 * shared >= SIMILAR * (shingles - shared)
+
+
+def chains(of_text: np.ndarray, paragraph: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """``first, last, holder, at, to, shared`` of runs (``first, last, holder, at``) with few words between them."""
+    first, last, holder, at = of_text.T
+    order = np.lexsort((first, at - first, holder))
+    whole: list[list[int]] = []
+    for a, z, h, b in of_text[order].tolist():
+        before = whole[-1] if whole else None
+        if before and before[2] == h and before[3] - before[0] == b - a and a <= before[1] - paragraph + 1:
+            before[1] = max(before[1], z)
+        else:
+            whole.append([a, z, h, b])
+    whole.sort(key=lambda r: (r[2], r[0], r[1]))
+    chain: list[int] = []
+    for a, z, h, b in whole:
+        to, shared = b + z - a, z - a - WORDS_PER_SHINGLE + 1
+        if chain:
+            x, y, other, u, v, have = chain
+            twice = max(y - a, v - b, 0)
+            more = have + shared - (twice and twice - WORDS_PER_SHINGLE + 1 if twice >= WORDS_PER_SHINGLE else 0)
+            near = other == h and 0 <= z - y and 0 <= to - v and a - y <= REACH and b - v <= REACH
+            near = near and abs((b - a) - (v - y)) <= EDIT_WORDS * 4
+            if near and enough(more, z - x, to - u):
+                chain = [x, z, h, u, to, more]
+                continue
+            yield tuple(chain)
+        chain = [a, z, h, b, to, shared]
+    if chain:
+        yield tuple(chain)
+
+
+CHAIN = "row long, first long, last long, holder long, at long, to long, shared long, before binary, after binary"
+
+
+def linked_chains(numbered: DataFrame, every: DataFrame, text: str, paragraph: int, span_words: int) -> DataFrame:
+    """Chains with the words on both sides, and (``shared`` NULL) words of which every paragraph is repeated."""
+    per_text = every.groupBy("row").agg(F.collect_list(F.struct("first", "last", "holder", "at")).alias("runs"))  # of one text
+    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    placed = texts.join(per_text, F.col("_row") == F.col("row"))
+    known = WordHashes()
 
+    def work(rows: list, texts: list, found: list) -> tuple:
+        out: list[list] = [[] for _ in range(8)]
+        places = []
+        for i, (row, value, entries) in enumerate(zip(rows, texts, found, strict=True)):
+            own = np.array([(r["first"], r["last"], r["holder"], r["at"]) for r in entries], np.int64)
+            told = [(a, z, h, None, None, None, b"", b"") for a, z, h in covered(own[:, :3], paragraph - 1) if z - a >= span_words]
+            others = own[own[:, 2] != row]
+            if len(others):
+                words = hashed(value.split(), known).astype(np.uint32)
+                for a, z, h, b, to, shared in chains(others, paragraph):
+                    told.append((a, z, h, b, to, shared, words[max(a - REACH, 0) : a].tobytes(), words[z : z + REACH].tobytes()))
+            places += [i] * len(told)
+            for column, values in zip(out, zip(*told, strict=True), strict=False):
+                column += values
+        return places, out
+
+    made = CHAIN.split(", ", 1)[1]
+    inputs = [F.col("row"), F.col("text"), F.col("runs")]
+    return materialize(map_columns(placed, ["row"], inputs, work, made), "chains")
+
+
+def words_beside(numbered: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """``number, left, words``: hashes of words before (``left``) and after places of texts."""
+    per_text = asked.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "left")).alias("asked"))  # of one text
+    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    placed = texts.join(per_text, F.col("_row") == F.col("row"))
+    known = WordHashes()
 
-def similar_links(numbered: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """Links ``a, b`` between digests of paragraphs whose exact similarity is high enough.
+    def work(texts: list, rows: list, asked: list) -> tuple:
+        places, numbers, lefts, out = [], [], [], []
+        for i, (value, row, wanted) in enumerate(zip(texts, rows, asked, strict=True)):
+            words = hashed(value.split(), known).astype(np.uint32)
+            for w in wanted:
+                at, left = w["at"], w["left"]
+                places.append(i)
+                numbers.append(row + at)
+                lefts.append(left)
+                out.append((words[max(at - REACH, 0) : at] if left else words[at : at + REACH]).tobytes())
+        return places, [numbers, lefts, out]
 
-    Paragraphs with one digest are equal. All different digests of a band are compared. In a band with many of them
-    they are first compared with the smallest one; what is then still apart is compared in blocks, and blocks of one
-    component are passed over, so links within a component need not all be there.
-    """
-    members = materialize(found.select("key", F.col("digest").alias("node")).distinct(), "band-members")
-    bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    bands = materialize(bands, "bands")
-    listed = members.join(bands, "key")
-    # one occurrence stands for a digest; its shingles are read from its document
-    needed = listed.select(F.col("node").alias("digest")).distinct()
-    one = found.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("row", "first", "last")).alias("at"))
-    one = one.select("digest", F.col("at.row").alias("row"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))
-    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
-    per_row = one.groupBy("row").agg(F.collect_list(F.struct("digest", "first", "last")).alias("wanted"))  # paragraphs of one text
-    placed = texts.join(per_row, F.col("_row") == F.col("row")).select("text", "wanted")
+    inputs = [F.col(c) for c in ("text", "row", "asked")]
+    return materialize(map_columns(placed, [], inputs, work, "number long, left boolean, words binary"), "words-beside")
 
-    known = WordHashes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for value, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                mixed = Paragraphs(value, known, 1).shingles()
-                for w in wanted:
-                    of_one = np.unique(mixed[w["first"] : w["last"] - WORDS_PER_SHINGLE + 1])
-                    out.append((w["digest"], len(of_one), of_one.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "n_shingles", "hashes"])
+def carried_on(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
+    """Ends of blocks of equal words from the front of both lists, over small edits: words of ``x``, of ``y``, shared shingles.
 
-    sets = materialize(placed.mapInPandas(cut, "node long, n_shingles long, hashes array<long>"), "paragraph-sets")
+    The first block continues the words before the lists; later ones have their own shingles only.
+    """
+    out, i, j, shared, joined = [], 0, 0, 0, True
+    while True:
+        n = 0
+        while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+            n += 1
+        i, j = i + n, j + n
+        shared += n if joined else max(n - WORDS_PER_SHINGLE + 1, 0)
+        if n:
+            out.append((i, j, shared))
+        joined = False
+        for skipped in range(1, 2 * EDIT_WORDS + 1):
+            for p in range(max(0, skipped - EDIT_WORDS), min(skipped, EDIT_WORDS) + 1):
+                q = skipped - p
+                # two words in a row tell an exchange of one word, more are asked of other edits
+                ask = 2 if p == q == 1 else 4
+                if x[i + p : i + p + ask] == y[j + q : j + q + ask] and min(len(x) - i - p, len(y) - j - q) >= ask:
+                    break
+            else:
+                continue
+            break
+        else:
+            return out
+        i, j = i + p, j + q
+
+
+def aligned(numbered: DataFrame, every: DataFrame, text: str, span_words: int) -> DataFrame:
+    """``row, first, last, holder, at, to`` of chains carried on as far as both passages stay similar."""
+    every = every.where("shared IS NOT NULL")
+    left = every.where(F.length("before") > 0).select(F.col("holder").alias("row"), "at", F.lit(True).alias("left"))
+    right = every.where(F.length("after") > 0).select(F.col("holder").alias("row"), F.col("to").alias("at"), F.lit(False).alias("left"))
+    beside = words_beside(numbered, left.union(right), text)
+    there = [beside.where(F.col("left") == side).select(F.col("number").alias(n), F.col("words").alias(w)) for side, n, w in ((True, "_n", "there_before"), (False, "_m", "there_after"))]
+    joined = every.join(there[0], F.col("holder") + F.col("at") == F.col("_n"), "left")
+    joined = joined.join(there[1], F.col("holder") + F.col("to") == F.col("_m"), "left")
+    names = ["first", "last", "at", "to", "shared", "before", "after", "there_before", "there_after"]
+
+    def work(*columns: list) -> tuple:
+        places, out = [], [[], [], [], []]
+        for i, (a, z, b, to, shared, *sides) in enumerate(zip(*columns, strict=True)):
+            before, after, other_before, other_after = (np.frombuffer(s or b"", np.uint32).tolist() for s in sides)
+            lefts = [(0, 0, 0), *carried_on(before[::-1], other_before[::-1])]
+            rights = [(0, 0, 0), *carried_on(after, other_after)]
+            best = (0, 0, 0, 0, 0)
+            for p, q, r in lefts:
+                for s, t, u in rights:
+                    mine, theirs = z - a + p + s, to - b + q + t
+                    if mine > best[0] and enough(shared + r + u, mine, theirs):
+                        best = (mine, a - p, z + s, b - q, to + t)
+            if best[0] >= span_words and best[4] - best[3] >= span_words:
+                places.append(i)
+                for column, value in zip(out, best[1:], strict=True):
+                    column.append(value)
+        return places, out
+
+    made = "first long, last long, at long, to long"
+    asked = joined.select("row", "holder", *[F.col(n).alias(f"in_{n}") for n in names])
+    return materialize(map_columns(asked, ["row", "holder"], [F.col(f"in_{n}") for n in names], work, made), "passages")
+
+
+def clustered(links: DataFrame) -> DataFrame:
+    """``row, first, last, first_row, removed`` of linked passages: the first of each component is kept."""
+    node = F.xxhash64("row", "first", "last").alias("node")
+    held = links.select(F.col("holder").alias("row"), F.col("at").alias("first"), F.col("to").alias("last"))
+    nodes = links.select("row", "first", "last").union(held).distinct().withColumn("node", node)
+    nodes = materialize(nodes, "linked-passages")
+    roots = components(links.select(node, F.xxhash64("holder", "at", "to").alias("other")))
+    rooted = materialize(nodes.join(roots, "node"), "clusters")
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("row", "first", "last")).alias("least"))
+    told = rooted.join(firsts, "root")
+    return told.select(
+        "row", "first", "last", F.col("least.row").alias("first_row"), (F.struct("row", "first", "last") != F.col("least")).alias("removed")
+    )
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["left"], batch["right"], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-            yield batch.loc[good, ["a", "b"]]
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        side = [sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "left"), ("b", "right"))]
-        full = pairs.distinct().join(side[0], "a").join(side[1], "b").select("a", "b", "left", "right")
-        return materialize(full.mapInPandas(test, "a long, b long"), "paragraph-links")
-
-    small = listed.where(F.col("n") <= LONGEST_BAND)
-    few = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
-    crowded = listed.where(F.col("n") > LONGEST_BAND)
-    hubs = crowded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = alike(few.select("a", "b").union(hubs))
-    if crowded.isEmpty():
-        return links
-    roots = components(links).select(F.col("node").alias("_n"), "root")
-    rooted = crowded.join(roots, F.col("node") == F.col("_n"), "left")
-    rooted = rooted.select(F.col("key").alias("value"), "node", F.coalesce("root", "node").alias("root"))
-    return links.union(near_dedup.tiled(rooted, sets, SIMILAR))
-
-
-def repeated_spans(
-    numbered: DataFrame, text: str = "text", at_least: int = PARAGRAPH_WORDS, span_words: int = SPAN_WORDS
-) -> DataFrame:
+
+def repeated_spans(numbered: DataFrame, text: str = "text", paragraph: int = PARAGRAPH_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
     """``row``, ``first``, ``last`` (words from 0, end excluded), ``first_row`` and ``removed`` of repeated passages.
 
-    ``numbered`` carries a steady ``_row_tag``. The first row of a passage's cluster keeps it (``removed`` is false there).
+    ``numbered`` comes from ``numbered_by_key``. The first row of a cluster keeps the passage (``removed`` is false there).
     """
-    every = occurrences(numbered, text, at_least, span_words)
-    found = every.where("NOT exact")
-    roots = components(similar_links(numbered, found, text))
-    places = found.select("row", "first", "last", "digest").distinct()
-    clustered = places.join(roots, F.col("digest") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "digest"))
-    firsts = clustered.groupBy("cluster").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
-    told = clustered.join(firsts.where("first_row < last_row"), "cluster")
-    told = told.select("row", "first", "last", "first_row").union(exact_spans(numbered, every.where("exact"), text, span_words))
-    told = told.select("row", "first", "last", "first_row", (F.col("row") != F.col("first_row")).alias("removed"))
-    # the paragraphs of one text, in order: those that overlap or touch are one span
-    per_text = told.groupBy("row", "removed").agg(F.array_sort(F.collect_list(F.struct("first", "last", "first_row"))).alias("all"))
-    nothing = F.array().cast("array<struct<first:bigint,last:bigint,first_row:bigint>>")
-
-    def add(spans, p):
-        before = F.element_at(spans, -1)
-        joined = F.struct(
-            before["first"].alias("first"),
-            F.greatest(before["last"], p["last"]).alias("last"),
-            F.least(before["first_row"], p["first_row"]).alias("first_row"),
-        )
-        touches = (F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["last"] >= p["first"])
-        return F.when(touches, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(joined))).otherwise(F.concat(spans, F.array(p)))
-
-    merged = per_text.select("row", "removed", F.explode(F.aggregate("all", nothing, add)).alias("s"))
-    return merged.select("row", "s.first", "s.last", "s.first_row", "removed").where(F.col("last") - F.col("first") >= span_words)
+    if not WORDS_PER_SHINGLE <= paragraph <= span_words:
+        raise ValueError("a paragraph has five words at least, and no more than a span")
+    found = occurrences(numbered, text, paragraph)
+    every = linked_chains(numbered, runs(found, repeated_paragraphs(found), paragraph), text, paragraph, span_words)
+    exact = every.where("shared IS NULL").select("row", "first", "last", F.col("holder").alias("first_row"), F.lit(True).alias("removed"))
+    told = clustered(aligned(numbered, every, text, span_words)).union(exact)
+    # at most one span per word of a text
+    told = told.groupBy("row", "removed", "first").agg(F.max("last").alias("last"), F.min("first_row").alias("least"))
+    per_text = told.groupBy("row", "removed").agg(F.collect_list(F.struct("first", "last", "least")).alias("spans"))
+
+    def merge(spans: list) -> tuple:
+        merged = [covered(np.array([(s["first"], s["last"], s["least"]) for s in of_text], np.int64), 0) for of_text in spans]
+        places = [i for i, m in enumerate(merged) for _ in m]
+        return places, [[s[k] for m in merged for s in m] for k in range(3)]
+
+    made = map_columns(per_text, ["row", "removed"], [F.col("spans")], merge, "first long, last long, first_row long")
+    return made.select("row", "first", "last", "first_row", "removed")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per repeated passage and document: ``key``, ``first_word``, ``last_word``, ``first_<key>``, ``removed``.
 
-    Documents without a repeated passage have no row. The row that comes first in the table keeps a passage. Repeated
-    rows are documents like others. NULL, empty and short texts repeat nothing. An empty table gives an empty one.
+    Documents without a repeated passage have no row. The document with the smallest key keeps a passage, of those with
+    one key the first in the table; NULL keys come last. Repeated rows are documents like others. Exact repeats inside
+    one document are found too, edited ones are not. NULL, empty and short texts repeat nothing. An empty table gives an
+    empty one.
     """
-    numbered = steadily_tagged(docs.select(key, text))
-    spans = repeated_spans(numbered, text, **options)
-    names = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(key).alias("_key"))
+    numbered = numbered_by_key(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text")
+    spans = materialize(repeated_spans(numbered, "_text", **options), "spans")
+    names = numbered.select(F.col(ROW_TAG).alias("_row"), "_key")
     named = spans.join(names, F.col("row") == F.col("_row")).drop("_row").withColumnRenamed("_key", "own")
     named = named.join(names, F.col("first_row") == F.col("_row"))
     return named.select(
@@ -346,22 +493,23 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
-def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", key: str | None = "doc_id", **options) -> DataFrame:
     """The documents with their own columns, repeated passages cut out of ``text``. Nothing else of a text changes.
 
-    NULL, empty and short texts stay as they are, and all rows stay, repeated ones too. Columns may have any names and
-    types; their values never leave Arrow. An empty table gives an empty one.
+    The document with the smallest ``key`` keeps a passage; with no ``key`` the first in the table does. NULL, empty and
+    short texts stay as they are, and all rows stay, repeated ones too. Columns may have any names and types; their values
+    never leave Arrow. An empty table gives an empty one.
     """
-    numbered = steadily_tagged(without(docs, ROW_TAG))
-    spans = repeated_spans(numbered, text, **options).where("removed")
-    listed = F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans_to_cut")
-    cuts = materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts")
-    names = [c for c in numbered.columns if c != ROW_TAG]
+    names = without(docs, ROW_TAG).columns
     # own columns by place, so that no name clashes
     own = [f"_own_{i}" for i in range(len(names))]
-    placed = numbered.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], ROW_TAG)
-    joined = placed.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left")
     at = own[names.index(text)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)])
+    placed = numbered_by_key(renamed, own[names.index(key)] if key in names else None, at)
+    spans = repeated_spans(placed, at, **options).where("removed")
+    listed = F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans_to_cut")
+    cuts = materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts")
+    joined = placed.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left")
 
     def cut(texts: list[str], spans: list) -> tuple:
         new = []
