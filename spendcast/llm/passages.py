@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendcast.llm.components import components
-from spendcast.llm.phrases import Field, Sent
 from spendcast.llm.text import ROW_TAG, WordHashes, hashed, map_columns, python_workers, tagged, without
 from spendcast.session import materialize
 
@@ -55,6 +54,8 @@ BLOCK_WORDS = 400_000
 # The base of hashes of word sequences, and its inverse modulo 2^64.
 BASE = 0x9FB21C651E98DF25
 INVERSE = pow(BASE, -1, 1 << 64)
+# Bits of a field that tells tasks which values or texts matter: 4 MB, whatever their number.
+FIELD_BITS = 25
 # Bits of a number that tell apart the bytes of one written partition.
 PARTITION_BITS = 40
 
@@ -159,6 +160,23 @@ class Stretches:
         return self.sequences(starts, starts + self.paragraph)
 
 
+class Field:
+    """A set of numbers as a bit field of a fixed size. A member is never missing; the fuller it is, the more others pass."""
+
+    def __init__(self, numbers: DataFrame, column: str):
+        bits = numbers.select(F.col(column).bitwiseAND((1 << FIELD_BITS) - 1).alias("bit")).select(
+            F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
+        )
+        # at most one row per 64 bits of the field
+        rows = bits.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+        self.words = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+        self.words[rows["at"].to_numpy()] = rows["mask"].to_numpy()
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        bit = numbers.view(np.int64) & ((1 << FIELD_BITS) - 1)
+        return (self.words[bit >> 6] >> (bit & 63) & 1).astype(bool)
+
+
 def blocks(texts: list, known: WordHashes) -> Iterator[tuple[int, np.ndarray, list[int]]]:
     """The first text, word hashes and sizes of texts in a row."""
     first, sizes, words = 0, [], []
@@ -195,6 +213,8 @@ def scanned(numbered: DataFrame, text: str, work, made: str, paragraph: int) ->
 def occurrences(numbered: DataFrame, text: str, paragraph: int = PARAGRAPH_WORDS) -> DataFrame:
     """``key, digest, row, first, many`` of stretches whose value may be found twice; ``inside``: paragraph hashes, or none.
 
+    A paragraph is told apart by its value and 32 bits more.
+
     Values found twice are told to the tasks by a bit field of a fixed size. Where it is full, more stretches are let
     through, and left later. Of equal stretches of a batch, one has the hashes.
     """
@@ -205,19 +225,19 @@ def occurrences(numbered: DataFrame, text: str, paragraph: int = PARAGRAPH_WORDS
 
     every = scanned(numbered, text, count, "key long, n long", paragraph).groupBy("key").agg(F.sum("n").alias("n"))
     shared = materialize(every.where("n > 1").select("key"), "shared-values")
-    sent = Sent(numbered.sparkSession.sparkContext.broadcast(Field(shared)))
+    sent = numbered.sparkSession.sparkContext.broadcast(Field(shared, "key"))
 
     def place(rows: np.ndarray, s: Stretches) -> list:
-        good = np.flatnonzero(sent.has(s.key))
+        good = np.flatnonzero(sent.value.has(s.key))
         _, one = np.unique(s.digest[good], return_index=True)
         sizes = np.zeros(len(good), np.int64)
         sizes[one] = s.many[good[one]]
         hashes = s.apart(good[np.sort(one)]) if len(good) else np.zeros(0, np.uint64)
-        inside = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), signed(hashes))
+        inside = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes.astype(np.uint32).view(np.int32)))
         numbers = [pa.array(x[good], pa.int64()) for x in (s.first, s.many)]
         return [signed(s.key[good]), signed(s.digest[good]), pa.array(rows[s.text[good]], pa.int64()), *numbers, inside]
 
-    made = "key long, digest long, row long, first long, many long, inside array<long>"
+    made = "key long, digest long, row long, first long, many long, inside array<int>"
     return materialize(scanned(numbered, text, place, made, paragraph), "stretches")
 
 
@@ -243,9 +263,9 @@ def repeated_paragraphs(found: DataFrame) -> DataFrame:
     apart = hashes.join(unlike, ["key", "digest"]).select("key", "digest", "low", "high", "holder", F.posexplode("inside").alias("nth", "paragraph"))
     apart = apart.select("key", "digest", "nth", "paragraph", "holder", (F.col("low") + F.col("nth")).alias("low"), (F.col("high") + F.col("nth")).alias("high"))
     apart = materialize(apart, "paragraphs")
-    held = apart.groupBy("paragraph").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("holder").alias("holder"))
+    held = apart.groupBy("key", "paragraph").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("holder").alias("holder"))
     held = held.where("low < high").drop("high")
-    parts = apart.select("key", "digest", "nth", "paragraph").join(held, "paragraph")
+    parts = apart.select("key", "digest", "nth", "paragraph").join(held, ["key", "paragraph"])
     # places with one begin are held in a row: a stretch has no more paragraphs than a paragraph has words
     parts = parts.groupBy("key", "digest", "holder", (F.col("low") - F.col("nth")).alias("begin")).agg(
         F.min("nth").cast("long").alias("from"), F.max("nth").cast("long").alias("to")
@@ -314,41 +334,40 @@ def chains(of_text: np.ndarray, paragraph: int) -> Iterator[tuple[int, int, int,
         yield tuple(chain)
 
 
-CHAIN = "row long, first long, last long, holder long, at long, to long, shared long, before binary, after binary"
-
-
-def linked_chains(numbered: DataFrame, every: DataFrame, text: str, paragraph: int, span_words: int) -> DataFrame:
-    """Chains with the words on both sides, and (``shared`` NULL) words of which every paragraph is repeated."""
+def linked_chains(every: DataFrame, paragraph: int, span_words: int) -> DataFrame:
+    """``row, first, last, holder, at, to, shared`` of chains, and (``shared`` NULL) words of which every paragraph is repeated."""
     per_text = every.groupBy("row").agg(F.collect_list(F.struct("first", "last", "holder", "at")).alias("runs"))  # of one text
-    texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-    placed = texts.join(per_text, F.col("_row") == F.col("row"))
-    known = WordHashes()
 
-    def work(rows: list, texts: list, found: list) -> tuple:
-        out: list[list] = [[] for _ in range(8)]
-        places = []
-        for i, (row, value, entries) in enumerate(zip(rows, texts, found, strict=True)):
+    def work(rows: list, found: list) -> tuple:
+        places, out = [], [[] for _ in range(6)]
+        for i, (row, entries) in enumerate(zip(rows, found, strict=True)):
             own = np.array([(r["first"], r["last"], r["holder"], r["at"]) for r in entries], np.int64)
-            told = [(a, z, h, None, None, None, b"", b"") for a, z, h in covered(own[:, :3], paragraph - 1) if z - a >= span_words]
+            told = [(a, z, h, None, None, None) for a, z, h in covered(own[:, :3], paragraph - 1) if z - a >= span_words]
             others = own[own[:, 2] != row]
-            if len(others):
-                words = hashed(value.split(), known).astype(np.uint32)
-                for a, z, h, b, to, shared in chains(others, paragraph):
-                    told.append((a, z, h, b, to, shared, words[max(a - REACH, 0) : a].tobytes(), words[z : z + REACH].tobytes()))
+            told += chains(others, paragraph) if len(others) else []
             places += [i] * len(told)
             for column, values in zip(out, zip(*told, strict=True), strict=False):
                 column += values
         return places, out
 
-    made = CHAIN.split(", ", 1)[1]
-    inputs = [F.col("row"), F.col("text"), F.col("runs")]
-    return materialize(map_columns(placed, ["row"], inputs, work, made), "chains")
+    made = "first long, last long, holder long, at long, to long, shared long"
+    return materialize(map_columns(per_text, ["row"], [F.col("row"), F.col("runs")], work, made), "chains")
 
 
 def words_beside(numbered: DataFrame, asked: DataFrame, text: str) -> DataFrame:
     """``number, left, words``: hashes of words before (``left``) and after places of texts."""
     per_text = asked.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "left")).alias("asked"))  # of one text
+    per_text = materialize(per_text, "asked-places")
+    python_workers(numbered.sparkSession)
+    sent = numbered.sparkSession.sparkContext.broadcast(Field(per_text, "row"))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy())))
+
     texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    # texts that nothing is asked of mostly stay where they are
+    texts = texts.mapInArrow(needed, "_row long, text binary")
     placed = texts.join(per_text, F.col("_row") == F.col("row"))
     known = WordHashes()
 
@@ -365,7 +384,9 @@ def words_beside(numbered: DataFrame, asked: DataFrame, text: str) -> DataFrame:
         return places, [numbers, lefts, out]
 
     inputs = [F.col(c) for c in ("text", "row", "asked")]
-    return materialize(map_columns(placed, [], inputs, work, "number long, left boolean, words binary"), "words-beside")
+    found = map_columns(placed, [], inputs, work, "number long, left boolean, words binary")
+    # where a text begins or ends there is nothing beside
+    return materialize(found.where(F.length("words") > 0), "words-beside")
 
 
 def carried_on(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
@@ -401,12 +422,13 @@ def carried_on(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
 def aligned(numbered: DataFrame, every: DataFrame, text: str, span_words: int) -> DataFrame:
     """``row, first, last, holder, at, to`` of chains carried on as far as both passages stay similar."""
     every = every.where("shared IS NOT NULL")
-    left = every.where(F.length("before") > 0).select(F.col("holder").alias("row"), "at", F.lit(True).alias("left"))
-    right = every.where(F.length("after") > 0).select(F.col("holder").alias("row"), F.col("to").alias("at"), F.lit(False).alias("left"))
-    beside = words_beside(numbered, left.union(right), text)
-    there = [beside.where(F.col("left") == side).select(F.col("number").alias(n), F.col("words").alias(w)) for side, n, w in ((True, "_n", "there_before"), (False, "_m", "there_after"))]
-    joined = every.join(there[0], F.col("holder") + F.col("at") == F.col("_n"), "left")
-    joined = joined.join(there[1], F.col("holder") + F.col("to") == F.col("_m"), "left")
+    sides = [("row", "first", True), ("row", "last", False), ("holder", "at", True), ("holder", "to", False)]
+    asked = [every.select(F.col(row).alias("row"), F.col(at).alias("at"), F.lit(left).alias("left")) for row, at, left in sides]
+    beside = words_beside(numbered, reduce(DataFrame.union, asked), text)
+    joined = every
+    for name, (row, at, left) in zip(("before", "after", "there_before", "there_after"), sides, strict=True):
+        found = beside.where(F.col("left") == left).select(F.col("number").alias(f"_{name}"), F.col("words").alias(name))
+        joined = joined.join(found, F.col(row) + F.col(at) == F.col(f"_{name}"), "left").drop(f"_{name}")
     names = ["first", "last", "at", "to", "shared", "before", "after", "there_before", "there_after"]
 
     def work(*columns: list) -> tuple:
@@ -455,7 +477,7 @@ def repeated_spans(numbered: DataFrame, text: str = "text", paragraph: int = PAR
     if not WORDS_PER_SHINGLE <= paragraph <= span_words:
         raise ValueError("a paragraph has five words at least, and no more than a span")
     found = occurrences(numbered, text, paragraph)
-    every = linked_chains(numbered, runs(found, repeated_paragraphs(found), paragraph), text, paragraph, span_words)
+    every = linked_chains(runs(found, repeated_paragraphs(found), paragraph), paragraph, span_words)
     exact = every.where("shared IS NULL").select("row", "first", "last", F.col("holder").alias("first_row"), F.lit(True).alias("removed"))
     told = clustered(aligned(numbered, every, text, span_words)).union(exact)
     # at most one span per word of a text
