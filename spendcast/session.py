@@ -53,10 +53,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/spendcast-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+# Remove the shuffle files of a query when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a scan of it: lineage ends here, columns and filters still prune."""
+    """Write ``df`` once and return a scan of it: lineage ends here, columns and filters still prune.
+
+    The shuffle files that made it are removed with the end of the write; until then they serve tasks that are repeated.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=partition_by)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     # with its schema given, reading back starts no job and a partition column keeps its type
     return spark.read.schema(df.schema).parquet(path)
