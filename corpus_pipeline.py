@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spendcast.llm import mixing, near_dedup, packing, passages, quality
 from spendcast.llm.text import ROW_TAG, steadily_tagged
-from spendcast.session import scratch_path
+from spendcast.session import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 # Near-duplicate stages on word shingles: five words, similarity 0.8 or more.
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; repeated passages are cut out of all but the first that holds them."""
+    """All documents; repeated passages are cut out of all but the one with the smallest doc_id that holds them."""
     return recounted(passages.without_repeats(docs))
 
 
@@ -75,7 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
