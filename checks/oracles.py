@@ -225,6 +225,42 @@ feats AS (SELECT plain.*, code AS country FROM plain JOIN homes USING (customer_
     return imputed(coded, BEFORE_LAST, LAST, [*SMALL_COLUMNS, "country"])
 
 
+def gaps_marked() -> str:
+    """Gaps filled below the least value in train; missing means, deviations and skews are the three sets of rows."""
+    lows = ", ".join(f"min({c}) AS low_{c}" for c in SMALL_COLUMNS)
+    filled = []
+    for c in SMALL_COLUMNS:
+        value = f"coalesce({c}, low_{c} - greatest(1.0::DOUBLE, abs(low_{c})))"
+        places = places_of(c)
+        filled.append(f"{value} AS {c}" if places is None else f"round({value}, {places}) AS {c}")
+    marks = [f"CAST({c} IS NULL AS DOUBLE) AS {c}__missing" for c in (feature_column(VALUES[0], s) for s in ("mean", "std", "skew"))]
+    return f"""WITH {matrix(SMALL, [PREVIOUS, MONTH], SMALL_COLUMNS)},
+lows AS (SELECT {lows} FROM matrix WHERE year_month = '{PREVIOUS}')
+SELECT customer_id, year_month, label, {', '.join(filled + marks)} FROM matrix, lows"""
+
+
+def modes(months, columns) -> str:
+    """CTEs with the commonest value of each column per customer and snapshot."""
+    each = [
+        f"""m_{c} AS (SELECT customer_id, year_month, {c} AS {feature_column(c, "mode")} FROM snap_rows WHERE {c} IS NOT NULL
+  GROUP BY customer_id, year_month, {c}
+  QUALIFY row_number() OVER (PARTITION BY customer_id, year_month ORDER BY count(*) DESC, {c}) = 1)"""
+        for c in columns
+    ]
+    joined = " FULL JOIN ".join([f"m_{columns[0]}"] + [f"m_{c} USING (customer_id, year_month)" for c in columns[1:]])
+    return f"{TX}, {snapshot_rows(months, 'tx')}, {', '.join(each)}, modes AS (SELECT * FROM {joined})"
+
+
+def nominal() -> str:
+    both = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(2))
+    return f"""WITH {modes([PREVIOUS, MONTH], ["country"])}, {labels("l0", PREVIOUS)}, {labels("l1", MONTH)},
+homes AS (SELECT customer_id, year_month, label, country__mode AS home FROM ({both}) LEFT JOIN modes USING (customer_id, year_month)),
+codes AS (SELECT home, row_number() OVER (ORDER BY home) - 1 AS code FROM (SELECT DISTINCT home FROM homes WHERE home IS NOT NULL)),
+size AS (SELECT count(*) AS n FROM codes)
+SELECT customer_id, year_month, label, CAST(coalesce(code, n) AS DOUBLE) AS country__mode, CAST(n + 1 AS INTEGER) AS n_categories
+FROM homes LEFT JOIN codes USING (home), size"""
+
+
 def base_only(months, stats) -> str:
     columns = ", ".join(names_of(VALUES, stats))
     return f"""WITH {TX}, {snapshot_rows(months, "tx")},
@@ -295,6 +331,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'baseline-{PREVIOUS}', metric, value FROM ({report("prev")})""",
         "dataset_profile": f"""WITH {TX} SELECT count(*) AS n_rows, CAST(8 AS INTEGER) AS n_columns,
             'country' AS categorical_columns FROM tx""",
+        "observed_profile": f"""WITH {TX} SELECT count(*) AS n_rows, CAST(8 AS INTEGER) AS n_columns,
+            'country' AS categorical_columns, CAST({' + '.join(f"count(*) FILTER (WHERE {c} IS NULL)"
+            for c in tx_columns.split(", "))} AS BIGINT) AS n_missing FROM tx""",
         "derive_time_keys": f"""WITH {TX} SELECT {ROWS}, order_date_year_month, order_date_year, order_date_hour FROM tx""",
         "month_offset": f"""WITH {TX} SELECT DISTINCT order_date_year_month AS ym,
             {', '.join(f"strftime(CAST(order_date_year_month || '-01' AS DATE) - INTERVAL {n} MONTH, '%Y-%m') AS minus_{n}"
@@ -345,6 +384,10 @@ def oracle_sql() -> dict[str, str]:
         "feat_mode": f"""WITH {TX}, c AS (SELECT customer_id, product_id, count(*) AS n FROM tx GROUP BY 1, 2)
             SELECT customer_id, product_id AS product_id__mode FROM c
             QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, product_id) = 1""",
+        "snapshot_modes": f"WITH {modes(HALF_YEARS, ['product_id', 'supplier_id', 'country'])} SELECT * FROM modes",
+        "approx_distinct_counts": f"""WITH {TX}, {snapshot_rows(HALF_YEARS, "tx")} SELECT customer_id, year_month,
+            {', '.join(f"count(DISTINCT {c}) AS {feature_column(c, 'nunique')}" for c in ("product_id", "country", "order_date_year"))}
+            FROM snap_rows GROUP BY 1, 2""",
         "customer_snapshot_features": f"""WITH {features(SNAPSHOTS)}
             SELECT customer_id, year_month, {', '.join(shown(c) for c in ALL_FEATURES)} FROM feats""",
         "snapshot_states": f"""WITH {TX}, {snapshot_rows(HALF_YEARS, "tx")}, {statistics("snap_rows", VALUES, STATS, "customer_id, year_month")}
@@ -373,6 +416,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_values FROM tx"
             for c in ("country", "order_date_year_month", "order_date_year", "order_date_hour"))}""",
         "preprocess": preprocessed(),
+        "mark_gaps": gaps_marked(),
+        "nominal_codes": nominal(),
         "snapshot_matrix": f"""WITH {matrix(features([BEFORE_LAST, LAST]), [BEFORE_LAST, LAST], ALL_FEATURES)}
             SELECT customer_id, year_month, label, {', '.join(shown(c) for c in ALL_FEATURES)} FROM matrix""",
         "feature_engineering": imputed(features([PREVIOUS, MONTH]), PREVIOUS, MONTH, ALL_FEATURES),

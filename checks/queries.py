@@ -16,7 +16,13 @@ from spendcast.functions.calendar import (
 )
 from spendcast.functions.scoring import binarize, clip_probability, fill_missing_zero, threshold_label
 from spendcast.functions.stats import name_aggregates
-from spendcast.operators.features import customer_snapshot_features, snapshot_distinct_counts, statistics_by_states
+from spendcast.operators.features import (
+    customer_snapshot_features,
+    snapshot_approx_distinct_counts,
+    snapshot_distinct_counts,
+    snapshot_modes,
+    statistics_by_states,
+)
 from spendcast.operators.folds import (
     blend_folds,
     fold_split,
@@ -44,7 +50,15 @@ from spendcast.operators.matrix import (
 )
 from spendcast.operators.metrics import classification_report, roc_auc, threshold_scores
 from spendcast.operators.mode import feat_mode
-from spendcast.operators.preprocess import detect_categoricals, label_encode, median_fit, median_impute, preprocess
+from spendcast.operators.preprocess import (
+    detect_categoricals,
+    label_encode,
+    mark_gaps,
+    median_fit,
+    median_impute,
+    nominal_codes,
+    preprocess,
+)
 from spendcast.operators.running_totals import CUSTOMER_ROW, order_log, running_totals
 from spendcast.operators.snapshots import snapshot_months, snapshot_range_join, tag_snapshot, union_snapshots
 from spendcast.plans.baseline import baseline_no_ml
@@ -67,6 +81,7 @@ from spendcast.session import configure, materialize, scratch_path
 from spendcast.sources.sinks import (
     dataset_profile,
     log_metrics,
+    materialize_with_profile,
     read_metrics,
     read_submission_template,
     write_submission,
@@ -143,6 +158,13 @@ def submission_template(spark, folder):
     return read_submission_template(spark, path)
 
 
+def observed_profile_query(spark, folder):
+    """The profile of the log, and its gaps by column, as counted by the write of it."""
+    profile = materialize_with_profile(tx(spark, folder), "log", TRANSACTION_SCHEMA.fieldNames())[1]
+    gaps = F.aggregate(F.map_values("n_missing"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return profile.withColumn("n_missing", gaps)
+
+
 def attach_predictions_query(spark, folder):
     return attach_predictions(submission_template(spark, folder), baseline_no_ml(tx(spark, folder), MONTH))
 
@@ -266,6 +288,14 @@ def distinct_counts_query(spark, folder):
     return snapshot_distinct_counts(tx(spark, folder), SNAPSHOTS)
 
 
+def approx_distinct_counts_query(spark, folder):
+    return snapshot_approx_distinct_counts(tx(spark, folder), HALF_YEARS, ["product_id", "country", "order_date_year"])
+
+
+def snapshot_modes_query(spark, folder):
+    return snapshot_modes(tx(spark, folder), HALF_YEARS, ["product_id", "supplier_id", "country"])
+
+
 # ---- running totals
 
 
@@ -350,6 +380,27 @@ def detect_categoricals_query(spark, folder):
     return long.distinct().groupBy("column_name").agg(F.count("value").alias("n_values"))
 
 
+def mark_gaps_query(spark, folder):
+    """Two early months, in which customers without a history, or with few rows, leave gaps."""
+    log = tx(spark, folder)
+    features = base_statistics(snapshot_range_join(log, [PREVIOUS, MONTH]))
+    matrix = train_matrix_join(generate_labels(log, [PREVIOUS, MONTH]).drop("total"), features)
+    stored = materialize(matrix, "matrix", partition_by="year_month")
+    parts = [stored.where(F.col("year_month") == m) for m in (PREVIOUS, MONTH)]
+    train, test, _ = mark_gaps(*parts, select_features(matrix))
+    return rounded(train.unionByName(test))
+
+
+def nominal_codes_query(spark, folder):
+    """The commonest country of each customer before two months, missing for customers without a history."""
+    log = tx(spark, folder)
+    homes = snapshot_modes(log, [PREVIOUS, MONTH], ["country"])
+    matrix = train_matrix_join(generate_labels(log, [PREVIOUS, MONTH]).drop("total"), homes)
+    parts = [matrix.where(F.col("year_month") == m) for m in (PREVIOUS, MONTH)]
+    train, test, sizes = nominal_codes(*parts, ["country__mode"])
+    return train.unionByName(test).withColumn("n_categories", F.lit(sizes["country__mode"]))
+
+
 def preprocess_query(spark, folder):
     """Encoding and filling together, on a matrix with one string feature."""
     log = tx(spark, folder)
@@ -473,6 +524,7 @@ def queries() -> dict[str, Query]:
         "write_submission": write_submission_query,
         "log_metrics": log_metrics_query,
         "dataset_profile": lambda s, d: dataset_profile(tx(s, d), TRANSACTION_SCHEMA.fieldNames()),
+        "observed_profile": observed_profile_query,
         # projections and filters
         "derive_time_keys": lambda s, d: derive_time_keys(tx(s, d).select(*ROW)),
         "month_offset": month_offset_query,
@@ -510,6 +562,8 @@ def queries() -> dict[str, Query]:
         "feat_skew": statistic("skew"),
         "feat_nunique": distinct_counts_query,
         "feat_mode": lambda s, d: feat_mode(tx(s, d), "customer_id", "product_id"),
+        "snapshot_modes": snapshot_modes_query,
+        "approx_distinct_counts": approx_distinct_counts_query,
         "customer_snapshot_features": customer_snapshot_features_query,
         "snapshot_states": snapshot_states_query,
         "mean_fold_auc": lambda s, d: mean_fold_auc(roc_auc(fold_predictions(s, d), by="fold")),
@@ -526,6 +580,8 @@ def queries() -> dict[str, Query]:
         "median_impute": median_impute_query,
         "detect_categoricals": detect_categoricals_query,
         "preprocess": preprocess_query,
+        "mark_gaps": mark_gaps_query,
+        "nominal_codes": nominal_codes_query,
         "snapshot_matrix": snapshot_matrix_query,
         "feature_engineering": feature_engineering_query(MONTH),
         "feature_engineering_whole_log": feature_engineering_query(LAST),

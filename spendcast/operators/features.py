@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendcast.functions.calendar import derive_time_keys, filter_before_snapshot, moment
 from spendcast.functions.scoring import FROM_PARTS_SQL
@@ -31,6 +33,19 @@ def brought_together(running: DataFrame) -> DataFrame:
     return running.where(F.col("customer_id").isNotNull()).withColumn("block", block)
 
 
+def interval_of(df: DataFrame, months: Sequence[str]) -> Column:
+    """The place of the first of the ordered ``months`` that a row lies before; the last one for all rows after them."""
+    place = F.lit(len(months) - 1)
+    for i in range(len(months) - 2, -1, -1):
+        place = F.when(F.col("order_date") < moment(df, months[i]), F.lit(i)).otherwise(place)
+    return place
+
+
+def snapshots_between(months: Sequence[str]) -> Column:
+    """The months from the place ``interval`` up to ``next``, which is left out."""
+    return F.slice(F.array(*[F.lit(m) for m in months]), F.col("interval") + 1, F.col("next") - F.col("interval"))
+
+
 def interval_states(running: DataFrame, months: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Mergeable states of every measure per customer and interval between cut-offs: each row is aggregated once.
 
@@ -38,9 +53,7 @@ def interval_states(running: DataFrame, months: Sequence[str], measures: Sequenc
     two parts, the extremes, and the second and third central moments.
     """
     months = sorted(set(months))
-    interval = F.lit(len(months) - 1)
-    for i in range(len(months) - 2, -1, -1):
-        interval = F.when(F.col("order_date") < moment(running, months[i]), F.lit(i)).otherwise(interval)
+    interval = interval_of(running, months)
     together = brought_together(filter_before_snapshot(running, months[-1]))
     together = together.select("customer_id", interval.alias("interval"), "block", *measures).repartition("customer_id", "block")
     states = [f"{sql.format(c=f'`{c}`')} AS `{c}{part}`" for c in measures for part, sql in STATE_SQL.items()]
@@ -104,8 +117,7 @@ def statistics_by_states(
     to_here = to_here.withColumns({f"{c}_m{i}_to": F.expr(merged_moment_sql(c, i)) for c in measures for i in (2, 3)})
     wanted = [f"{merged_statistic_sql(c, s)} AS `{feature_column(c, s, separator)}`" for c in measures for s in statistics]
     each = to_here.selectExpr("customer_id", "interval", "next", *wanted)
-    months_of = F.slice(F.array(*[F.lit(m) for m in months]), F.col("interval") + 1, F.col("next") - F.col("interval"))
-    return each.withColumn(SNAPSHOT, F.explode(months_of)).drop("interval", "next").select(*KEYS, *[feature_column(c, s, separator) for c in measures for s in statistics])
+    return each.withColumn(SNAPSHOT, F.explode(snapshots_between(months))).drop("interval", "next").select(*KEYS, *[feature_column(c, s, separator) for c in measures for s in statistics])
 
 
 def snapshot_distinct_counts(
@@ -125,12 +137,82 @@ def snapshot_distinct_counts(
     return snapshot_range_join(first_seen, months).groupBy(*KEYS).agg(*counts)
 
 
-def customer_snapshot_features(ordered: DataFrame, months: Sequence[str], separator: str = "__") -> DataFrame:
+def snapshot_approx_distinct_counts(
+    log: DataFrame,
+    months: Sequence[str],
+    columns: Sequence[str] = DISTINCT_COLUMNS,
+    error: float = 0.02,
+    separator: str = "__",
+) -> DataFrame:
+    """Distinct counts per customer and snapshot with a relative standard error of at most ``error``.
+
+    Each row enters one sketch per column, that of its customer and interval between two cut-offs. A snapshot's sketch is
+    the union of those up to it, so neither rows nor values are repeated per snapshot. Small counts come out exact.
+    """
+    if not 0 < error < 1:
+        raise ValueError(f"a relative error lies between 0 and 1, not at {error}")
+    registers = F.lit(min(21, max(4, math.ceil(2 * math.log2(1.04 / error)))))
+    months = sorted(set(months))
+    log = derive_time_keys(filter_before_snapshot(log, months[-1])).where(F.col("customer_id").isNotNull())
+    hashable = (T.IntegerType, T.LongType, T.StringType, T.BinaryType)
+    values = [F.col(c) if isinstance(log.schema[c].dataType, hashable) else F.col(c).cast("string").alias(c) for c in columns]
+    placed = log.select("customer_id", interval_of(log, months).alias("interval"), *values)
+    sketched = placed.groupBy("customer_id", "interval").agg(*[F.hll_sketch_agg(c, registers).alias(c) for c in columns])
+    in_order = Window.partitionBy("customer_id").orderBy("interval")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unions = [F.hll_union_agg(c).over(so_far).alias(c) for c in columns]
+    following = F.coalesce(F.lead("interval").over(in_order), F.lit(len(months))).alias("next")
+    merged = sketched.select("customer_id", "interval", following, *unions)
+    counts = [F.hll_sketch_estimate(c).alias(feature_column(c, "nunique", separator)) for c in columns]
+    each = merged.select("customer_id", "interval", "next", *counts)
+    return each.withColumn(SNAPSHOT, F.explode(snapshots_between(months))).select(
+        *KEYS, *[feature_column(c, "nunique", separator) for c in columns]
+    )
+
+
+def snapshot_modes(log: DataFrame, months: Sequence[str], columns: Sequence[str], separator: str = "__") -> DataFrame:
+    """The most frequent value of each column per customer and snapshot, the lowest on a tie; missing values don't count.
+
+    Rows are counted once per customer, value and interval between two cut-offs. The running counts of a value hold until
+    its next interval, so what is repeated per snapshot are values of a customer and never rows. A customer and snapshot
+    without a value in any of the columns has no row.
+    """
+    months = sorted(set(months))
+    log = derive_time_keys(filter_before_snapshot(log, months[-1])).where(F.col("customer_id").isNotNull())
+    counted = (
+        log.withColumn("interval", interval_of(log, months))
+        .groupingSets([["customer_id", "interval", c] for c in columns], "customer_id", "interval", *columns)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    )
+    # in each grouping set the other columns are NULL, so all of them together name one value of one column
+    in_order = Window.partitionBy("customer_id", *columns).orderBy("interval")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.coalesce(F.lead("interval").over(in_order), F.lit(len(months))).alias("next")
+    running = counted.select("customer_id", "interval", following, F.sum("n").over(so_far).alias("n"), *columns)
+    each = running.withColumn(SNAPSHOT, F.explode(snapshots_between(months)))
+    best = {c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("n")).alias("fewer"), F.col(c).alias("value")))) for c in columns}
+    return each.groupBy(*KEYS).agg(*[b["value"].alias(feature_column(c, "mode", separator)) for c, b in best.items()])
+
+
+def customer_snapshot_features(
+    ordered: DataFrame,
+    months: Sequence[str],
+    separator: str = "__",
+    modes: Sequence[str] = (),
+    distinct_error: float | None = None,
+) -> DataFrame:
     """174 features per customer and snapshot month, from the rows strictly before the month.
 
+    ``modes`` adds the most frequent value of each column it names, ``distinct_error`` takes distinct counts from sketches.
     Running totals only look back in the order, which starts with the date, so rows at or after the last
     snapshot are dropped before any of them is computed.
     """
     log = filter_before_snapshot(ordered, max(months))
     statistics = snapshot_statistics(running_totals(log, number_customers=True), months, separator=separator)
-    return statistics.join(snapshot_distinct_counts(log, months, separator=separator), list(KEYS))
+    if distinct_error is None:
+        distinct = snapshot_distinct_counts(log, months, separator=separator)
+    else:
+        distinct = snapshot_approx_distinct_counts(log, months, error=distinct_error, separator=separator)
+    features = statistics.join(distinct, list(KEYS))
+    return features.join(snapshot_modes(log, months, modes, separator), list(KEYS), "left") if modes else features

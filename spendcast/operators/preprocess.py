@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from spendcast.operators.matrix import union_vocabulary
 from spendcast.operators.ordered import order_rows, running_sums
+from spendcast.schema import feature_column
 
 # The sketch's rank error is one part in this number. A larger number narrows the bracket that is ranked
 # exactly, but makes the sketches that tasks exchange larger.
@@ -44,6 +45,58 @@ def label_encode(train: DataFrame, test: DataFrame, column: str) -> tuple[DataFr
     return encode(train), encode(test)
 
 
+def nominal_codes(
+    train: DataFrame, test: DataFrame, columns: Sequence[str]
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Replace string columns by categories from 0 on, and say how many each has. Missing values are the last category."""
+    sizes = {}
+    for column in columns:
+        known = union_vocabulary(train, test, column).count()
+        coded = label_encode(train, test, column)
+        train, test = (df.withColumn(column, F.coalesce(F.col(column), F.lit(known)).cast("double")) for df in coded)
+        sizes[column] = known + 1
+    return train, test, sizes
+
+
+def mark_gaps(
+    train: DataFrame, test: DataFrame, features: Sequence[str], keys: Sequence[str] = ("customer_id", "year_month")
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Fill missing features with a number below all others, and add columns that mark where train has gaps.
+
+    A tree can so split gaps off as the lowest bin, or by the mark where the bin is too small to get a bound of its own.
+    The number is the least value in train, less its size or one, whichever is more; 0 where train has none. Features
+    missing in the same rows share one mark, named after the first of them: a checksum of the rows' keys tells. All of it
+    is one aggregate over train.
+    """
+    row = F.xxhash64(*keys)
+    found = train.agg(
+        *[
+            F.struct(
+                F.min(f).cast("double").alias("low"),
+                F.count_if(F.col(f).isNull()).alias("n"),
+                F.bit_xor(F.when(F.col(f).isNull(), row)).alias("rows"),
+            ).alias(f)
+            for f in features
+        ]
+    ).first()
+    low = {f: 0.0 if found[f].low is None else found[f].low - max(1.0, abs(found[f].low)) for f in features}
+    first: dict[tuple[int, int], str] = {}
+    for f in features:
+        if found[f].n:
+            first.setdefault((found[f].n, found[f].rows), f)
+    marks = {feature_column(f, "missing"): f for f in first.values()}
+    clashes = sorted(set(marks) & (set(train.columns) | set(test.columns)))
+    if clashes:
+        raise ValueError(f"columns have the names of marks: {', '.join(clashes)}")
+
+    def marked(df: DataFrame) -> DataFrame:
+        flags = {mark: F.col(f).isNull().cast("double") for mark, f in marks.items()}
+        filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(low[f])) for f in features}
+        return df.withColumns(flags).withColumns(filled)
+
+    return marked(train), marked(test), [*features, *marks]
+
+
 def median_fit(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Exact median of every feature, the mid-point of the two middle values.
 

@@ -31,6 +31,8 @@ KEYS = ("customer_id", "year_month", "label")
 # Rows of a partition of training rows; rounds of the first fit where rounds are stopped by patience.
 ROWS_PER_PARTITION, FIRST_ROUNDS = 250_000, 8
 TREES_AT_ONCE = 32
+# Spark keeps statistics per category, feature and node, and as many bins for every feature as the largest has categories.
+MOST_CATEGORIES, DEFAULT_BINS = 1_000, 32
 
 
 class Fitted(NamedTuple):
@@ -51,8 +53,15 @@ class OutOfFold(NamedTuple):
     rounds: list[int]
 
 
-def assemble(df: DataFrame, features: Sequence[str], *extra: str) -> DataFrame:
-    """The model's edge: keys, a numeric label and one vector column."""
+def assemble(
+    df: DataFrame, features: Sequence[str], *extra: str, categories: Mapping[str, int] | None = None
+) -> DataFrame:
+    """The model's edge: keys, a numeric label and one vector column.
+
+    ``categories`` names features whose values 0 to n - 1 have no order, and their n; the vector's metadata carry it.
+    """
+    for name, size in (categories or {}).items():
+        df = df.withMetadata(name, {"ml_attr": {"type": "nominal", "name": name, "num_vals": size}})
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="error")
     return assembler.transform(df).select(*KEYS, *extra, VECTOR).withColumn("label", F.col("label").cast("double"))
 
@@ -66,9 +75,19 @@ def pinned(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions, *KEYS[:2]).sortWithinPartitions(*KEYS[:2])
 
 
+def enough_bins(train: DataFrame, params: Mapping[str, object]) -> dict[str, object]:
+    """``params`` with a bin for each category of the largest nominal feature, at most ``MOST_CATEGORIES``."""
+    attributes = train.schema[VECTOR].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    largest = max(attributes, key=lambda a: a.get("num_vals", 0), default={})
+    needed = largest.get("num_vals", 0)
+    if needed > MOST_CATEGORIES:
+        raise ValueError(f"{largest.get('name')} has {needed} categories, more than {MOST_CATEGORIES}: use it as a number")
+    return dict(params) | ({"maxBins": needed} if needed > int(params.get("maxBins", DEFAULT_BINS)) else {})
+
+
 def fit(train: DataFrame, params: Mapping[str, object]) -> GBTClassificationModel:
     """A model that is the same for the same rows, seed and parameters."""
-    return GBTClassifier(labelCol="label", featuresCol=VECTOR, **params).fit(pinned(train))
+    return GBTClassifier(labelCol="label", featuresCol=VECTOR, **enough_bins(train, params)).fit(pinned(train))
 
 
 def trees_between(model: GBTClassificationModel, first: int, last: int | None = None) -> GBTClassificationModel:
@@ -147,11 +166,16 @@ def feature_importance(
 
 
 def gbt_fit_predict(
-    train: DataFrame, test: DataFrame, features: Sequence[str], params: Mapping[str, object], importance: str = "split"
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    params: Mapping[str, object],
+    importance: str = "split",
+    categories: Mapping[str, int] | None = None,
 ) -> Fitted:
     """One model on all of train."""
-    model = fit(assemble(train, features), params)
-    return Fitted(score(model, assemble(test, features)), feature_importance(train.sparkSession, model, features, importance))
+    model = fit(assemble(train, features, categories=categories), params)
+    return Fitted(score(model, assemble(test, features, categories=categories)), feature_importance(train.sparkSession, model, features, importance))
 
 
 def stage_curve(staged: DataFrame, first: int = 0) -> DataFrame:
@@ -269,12 +293,20 @@ class Prepared(NamedTuple):
         return fold_split(self.folded, fold).where("NOT is_val")
 
 
-def prepare_folds(train: DataFrame, test: DataFrame, features: Sequence[str], folds: int = 10, seed: int = SEED) -> Prepared:
+def prepare_folds(
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    folds: int = 10,
+    seed: int = SEED,
+    categories: Mapping[str, int] | None = None,
+) -> Prepared:
     """What all fits over the same folds share."""
     assigned = stratified_folds(train.select(*KEYS), folds, seed).select(*[F.col(c).alias(f"_{c}") for c in KEYS[:2]], "fold")
     same_row = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEYS[:2]]
-    folded = materialize(assemble(train.join(assigned, same_row), features, "fold"), "folds", "fold")
-    return Prepared(folded, materialize(assemble(test, features), "test"), list(features), folds)
+    folded = assemble(train.join(assigned, same_row), features, "fold", categories=categories)
+    ready = materialize(assemble(test, features, categories=categories), "test")
+    return Prepared(materialize(folded, "folds", "fold"), ready, list(features), folds)
 
 
 def fit_folds(
@@ -303,13 +335,14 @@ def gbt_oof(
     patience: int | None = None,
     importance: str = "split",
     parallelism: int = 4,
+    categories: Mapping[str, int] | None = None,
 ) -> OutOfFold:
     """A model per fold; out-of-fold predictions for train, the folds' mean prediction for test.
 
     The assembled folds are written once, one directory per fold, so a fold's training and validation
     sets are directory choices. Fits share the executors through ``parallelism`` driver threads.
     """
-    prepared = prepare_folds(train, test, features, folds, seed)
+    prepared = prepare_folds(train, test, features, folds, seed, categories)
     fitted = fit_folds(prepared, params, patience, parallelism)
     spark = train.sparkSession
     with ThreadPoolExecutor(min(parallelism, folds)) as pool:

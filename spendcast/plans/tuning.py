@@ -57,7 +57,7 @@ def tune(
     """
     spark = matrices.train.sparkSession
     trials = search_space(spark, profile, n_trials, seed)
-    prepared = prepare_folds(matrices.train, matrices.test, matrices.features, folds, seed)
+    prepared = prepare_folds(matrices.train, matrices.test, matrices.features, folds, seed, matrices.categories)
 
     def predictions(row: Row) -> DataFrame:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{row.trial}")
