@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks.queries import BEFORE_LAST, FOLDS, HALF_YEARS, LAST, MONTH, PATIENCE, PREVIOUS, ROW, SNAPSHOTS, STAGES, places_of
-from spendcast.plans.profiles import SEARCH_SPACE
+from checks.queries import BEFORE_LAST, FOLDS, HALF_YEARS, LAST, MONTH, PATIENCE, PREVIOUS, ROUNDS, ROW, SNAPSHOTS, STAGES, places_of
+from spendcast.plans.profiles import PROFILES, SEARCH_SPACE
 from spendcast.schema import (
     DISTINCT_COLUMNS,
     LOG_ORDER,
@@ -317,6 +317,30 @@ def running_query(key: str) -> str:
     return f"WITH {TX}, {running([key])} SELECT {ROWS}, quantity, total, {columns} FROM run"
 
 
+def models() -> dict[str, str]:
+    """Keys, folds, labels and bounds of what is fitted; the fitted numbers themselves have no SQL."""
+    scored = f"""WITH {TX}, {labels("l", LAST)}
+        SELECT customer_id, year_month, CAST(label AS DOUBLE) AS label, true AS in_range FROM l"""
+    names = ", ".join(f"('{c}')" for c in SMALL_COLUMNS)
+    profiles = ", ".join(f"('{p}')" for p in PROFILES)
+    return {
+        "gbt_fit_predict": scored,
+        "gbt_oof_early_stop": scored,
+        "gbt_oof": f"""WITH {TX}, {labels("l", BEFORE_LAST)} SELECT customer_id, year_month, CAST(label AS DOUBLE) AS label,
+            CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}-' || CAST(customer_id AS VARCHAR)), customer_id) - 1)
+              % 3 AS INTEGER) AS fold, true AS in_range FROM l""",
+        "early_stop": f"""SELECT CAST(fold AS INTEGER) AS fold, CAST(rounds AS INTEGER) AS rounds, true AS in_range
+            FROM range(3) f(fold), range(1, {ROUNDS + 1}) r(rounds)""",
+        "feature_importance": f"""SELECT feature, 0 AS fold, true AS sums_to_one, true AS in_range FROM (VALUES {names}) v(feature)""",
+        "split_importance": f"""SELECT feature, true AS any_used, true AS fits_trees, true AS whole FROM (VALUES {names}) v(feature)""",
+        "param_profiles": f"SELECT profile, true AS in_range FROM (VALUES {profiles}) v(profile)",
+        "tune": "SELECT CAST(trial AS INTEGER) AS trial, true AS in_range FROM range(2) t(trial)",
+        "best_trial": "SELECT CAST(1 AS BIGINT) AS n_best, CAST(0 AS BIGINT) AS n_better",
+        "validate": "SELECT metric, true AS in_range FROM (VALUES ('precision'), ('recall'), ('f1'), ('roc_auc')) v(metric)",
+        "predict": f"WITH {TX} SELECT DISTINCT customer_id, true AS in_range FROM tx WHERE order_date < {after(MONTH)}",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     month_label = labels("l", MONTH)
     tx_columns = "order_id, product_id, customer_id, country, order_date, quantity, price, total"
@@ -448,4 +472,4 @@ def oracle_sql() -> dict[str, str]:
     names = {"customer_id": "cust", "product_id": "prod", "order_id": "order"}
     for key in RUNNING_KEYS:
         sql[f"cumsum_by_{names.get(key, key.removeprefix('order_date_'))}"] = running_query(key)
-    return sql
+    return sql | models()

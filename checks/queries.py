@@ -417,6 +417,11 @@ def preprocess_query(spark, folder):
 # ---- models
 
 
+def within_bounds(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``in_range`` in place of a fitted number, which no SQL can state: whether it lies between 0 and 1."""
+    return df.withColumn("in_range", F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))).drop(column)
+
+
 def quick_params() -> dict[str, object]:
     return gbt_params({}, ROUNDS) | QUICK
 
@@ -432,7 +437,7 @@ def fold_split_query(spark, folder):
 
 def gbt_fit_predict_query(spark, folder):
     m = imputed_small(spark, folder)
-    return gbt_fit_predict(m.train, m.test, m.features, quick_params()).predictions
+    return within_bounds(gbt_fit_predict(m.train, m.test, m.features, quick_params()).predictions, "probability")
 
 
 def oof_of(spark, folder, **options):
@@ -444,7 +449,7 @@ def early_stop_query(spark, folder):
     m = imputed_small(spark, folder)
     folded = materialize(assemble(stratified_folds(m.train, 3), m.features, "fold"), "folds", "fold")
     models = [fit(fold_split(folded, i).where("NOT is_val"), quick_params()) for i in range(3)]
-    return early_stop(models, folded, patience=2)[1]
+    return within_bounds(early_stop(models, folded, patience=2)[1], "auc")
 
 
 def staged_predictions(spark, folder) -> DataFrame:
@@ -467,7 +472,18 @@ def patience_stop_query(spark, folder):
 def feature_importance_query(spark, folder):
     m = imputed_small(spark, folder)
     model = fit(assemble(m.train, m.features), quick_params())
-    return feature_importance(spark, model, m.features, "gain")
+    gains = feature_importance(spark, model, m.features, "gain")
+    whole = gains.agg((F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one"))  # one row
+    return within_bounds(gains.join(whole), "importance")
+
+
+def split_importance_query(spark, folder):
+    """Mean splits of every feature: whole numbers over the folds, some of them above 0, at most all nodes of all trees."""
+    splits = oof_of(spark, folder, importance="split").importance
+    most = ROUNDS * (2 ** int(QUICK["maxDepth"]) - 1)
+    thirds = F.abs(3 * F.col("importance") - F.round(3 * F.col("importance"))) < 1e-9
+    used = splits.agg((F.sum("importance") > 0).alias("any_used"), (F.sum("importance") <= most).alias("fits_trees"))  # one row
+    return splits.join(used).withColumn("whole", thirds).drop("importance")
 
 
 def param_profiles_query(spark, folder):
@@ -478,7 +494,7 @@ def param_profiles_query(spark, folder):
         .predictions.withColumn("profile", F.lit(profile))
         for profile, variants in PROFILES.items()
     ]
-    return roc_auc(scored_by[0].unionByName(scored_by[1]).unionByName(scored_by[2]), by="profile")
+    return within_bounds(roc_auc(scored_by[0].unionByName(scored_by[1]).unionByName(scored_by[2]), by="profile"), "auc")
 
 
 def search_space_query(spark, folder):
@@ -494,25 +510,30 @@ def search_space_query(spark, folder):
 
 def tune_query(spark, folder):
     trials = tune(imputed_small(spark, folder), "cat", n_trials=2, folds=2, max_rounds=2, overrides={"maxDepth": 2})
-    return trials.select("trial", "val_auc")
+    return within_bounds(trials.select("trial", "val_auc"), "val_auc")
 
 
 def best_trial_query(spark, folder):
-    trials = tune(imputed_small(spark, folder), "xgb", n_trials=2, folds=2, max_rounds=2, overrides={"maxDepth": 2})
-    return best_trial(trials).select("trial", "val_auc")
+    """Whether the best trial is the first of those that no other trial beats."""
+    trials = materialize(tune(imputed_small(spark, folder), "xgb", n_trials=2, folds=2, max_rounds=2, overrides={"maxDepth": 2}), "trials")
+    ahead = trials.select(F.col("trial").alias("other"), F.col("val_auc").alias("other_auc"))
+    beaten_by = (F.col("other_auc") > F.col("val_auc")) | ((F.col("other_auc") == F.col("val_auc")) & (F.col("other") < F.col("trial")))
+    best = best_trial(trials)
+    return best.join(ahead, beaten_by, "left").agg(F.count("trial").alias("n_best"), F.count("other").alias("n_better"))  # a row per trial
 
 
 def validate_query(spark, folder):
+    """All folds and features with the profile's own parameters, but few rounds."""
     ordered = log_through(spark, folder, MONTH)
-    return validate(ordered, MONTH, "xgb", folds=2, max_rounds=2, overrides=QUICK).report
+    return within_bounds(validate(ordered, MONTH, "xgb", max_rounds=ROUNDS).report, "value")
 
 
 def predict_query(spark, folder):
     ordered = log_through(spark, folder, MONTH)
     template = customer_universe(ordered, MONTH)
     path = scratch_path(spark, "submission")
-    predict(ordered, MONTH, "xgb", template, path, folds=2, max_rounds=2, overrides=QUICK)
-    return read_submission_template(spark, path)
+    predict(ordered, MONTH, "xgb", template, path, max_rounds=ROUNDS)
+    return within_bounds(read_submission_template(spark, path), "probability")
 
 
 def queries() -> dict[str, Query]:
@@ -600,12 +621,12 @@ def queries() -> dict[str, Query]:
         "stratified_folds": stratified_folds_query,
         "fold_split": fold_split_query,
         "gbt_fit_predict": gbt_fit_predict_query,
-        "gbt_oof": lambda s, d: oof_of(s, d).oof,
-        "gbt_oof_early_stop": lambda s, d: oof_of(s, d, patience=2).test,
+        "gbt_oof": lambda s, d: within_bounds(oof_of(s, d).oof, "probability"),
+        "gbt_oof_early_stop": lambda s, d: within_bounds(oof_of(s, d, patience=2).test, "probability"),
         "early_stop": early_stop_query,
         "patience_stop": patience_stop_query,
         "feature_importance": feature_importance_query,
-        "split_importance": lambda s, d: oof_of(s, d, importance="split").importance,
+        "split_importance": split_importance_query,
         "param_profiles": param_profiles_query,
         # tuning and jobs
         "search_space": search_space_query,
