@@ -15,12 +15,15 @@ from spendcast.functions.stats import STATE_SQL, merged_mean_sql, merged_moment_
 from spendcast.operators.running_totals import CUSTOMER_ROW, running_totals
 from spendcast.operators.snapshots import SNAPSHOT, snapshot_range_join
 from spendcast.schema import DISTINCT_COLUMNS, MEASURES, STATISTICS, feature_column
+from spendcast.session import materialize
 
 KEYS = ("customer_id", SNAPSHOT)
 # A customer with more rows than this is summed up in several tasks first.
 ROWS_PER_BLOCK = 1_000_000
 # Snapshots from which states of intervals are used. With three, repeated rows are quicker; more were not timed.
 STATES_FROM = 6
+# Parts into which the values of a customer with more rows than a block are dealt.
+VALUE_BLOCKS = 64
 
 
 def brought_together(running: DataFrame) -> DataFrame:
@@ -173,26 +176,46 @@ def snapshot_approx_distinct_counts(
 def snapshot_modes(log: DataFrame, months: Sequence[str], columns: Sequence[str], separator: str = "__") -> DataFrame:
     """The most frequent value of each column per customer and snapshot, the lowest on a tie; missing values don't count.
 
-    Rows are counted once per customer, value and interval between two cut-offs. The running counts of a value hold until
-    its next interval, so what is repeated per snapshot are values of a customer and never rows. A customer and snapshot
-    without a value in any of the columns has no row.
+    Rows are counted once per customer, value and interval between two cut-offs. Counts only grow, so the mode at a snapshot
+    is the largest running count that any value has reached by then: the best of an interval is carried on to the intervals
+    after it, and what is repeated per snapshot is one row per customer and never a value. All of a customer meets in one
+    task, but for customers with more rows than a block has: their values are dealt by hash, and the best of each part are
+    compared. A customer and snapshot without a value in any of the columns has no row.
     """
     months = sorted(set(months))
     log = derive_time_keys(filter_before_snapshot(log, months[-1])).where(F.col("customer_id").isNotNull())
-    counted = (
-        log.withColumn("interval", interval_of(log, months))
-        .groupingSets([["customer_id", "interval", c] for c in columns], "customer_id", "interval", *columns)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    placed = materialize(log.select("customer_id", interval_of(log, months).alias("interval"), *columns), "values")
+    large = placed.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_PER_BLOCK)
+    # written, so that its size is known: at most one customer in a million rows
+    large = materialize(large.select(F.col("customer_id").alias("_large")), "large")
+
+    def only(c: str) -> list[Column]:
+        return [F.col(x) if x == c else F.lit(None).cast(placed.schema[x].dataType).alias(x) for x in columns]
+
+    together = F.array(F.struct(F.lit(0).alias("block"), *columns))
+    dealt = F.array(*[F.struct((F.pmod(F.xxhash64(c), F.lit(VALUE_BLOCKS)) + 1).cast("int").alias("block"), *only(c)) for c in columns])
+    met = (
+        placed.join(large, F.col("customer_id") == F.col("_large"), "left")
+        .select("customer_id", "interval", F.inline(F.when(F.col("_large").isNull(), together).otherwise(dealt)))
+        .repartition("customer_id", "block")
     )
-    # in each grouping set the other columns are NULL, so all of them together name one value of one column
-    in_order = Window.partitionBy("customer_id", *columns).orderBy("interval")
+    # each row names one value of one column, the other columns are NULL
+    each = met.select("customer_id", "block", "interval", F.inline(F.array(*[F.struct(*only(c)) for c in columns])))
+    each = each.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    counted = each.groupBy("customer_id", "block", "interval", *columns).agg(F.count(F.lit(1)).alias("n"))
+    of_value = Window.partitionBy("customer_id", "block", *columns).orderBy("interval")
+    up_to = F.sum("n").over(of_value.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = counted.select("customer_id", "block", "interval", up_to.alias("n"), *columns)
+    best = [F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("n")).alias("fewer"), F.col(c).alias("value")))).alias(c) for c in columns]
+    in_block = running.groupBy("customer_id", "block", "interval").agg(*best)
+    in_interval = in_block.repartition("customer_id").groupBy("customer_id", "interval").agg(*[F.min(c).alias(c) for c in columns])
+    in_order = Window.partitionBy("customer_id").orderBy("interval")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     following = F.coalesce(F.lead("interval").over(in_order), F.lit(len(months))).alias("next")
-    running = counted.select("customer_id", "interval", following, F.sum("n").over(so_far).alias("n"), *columns)
-    each = running.withColumn(SNAPSHOT, F.explode(snapshots_between(months)))
-    best = {c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("n")).alias("fewer"), F.col(c).alias("value")))) for c in columns}
-    return each.groupBy(*KEYS).agg(*[b["value"].alias(feature_column(c, "mode", separator)) for c, b in best.items()])
+    modes = in_interval.select("customer_id", "interval", following, *[F.min(c).over(so_far).alias(c) for c in columns])
+    return modes.withColumn(SNAPSHOT, F.explode(snapshots_between(months))).select(
+        *KEYS, *[F.col(c)["value"].alias(feature_column(c, "mode", separator)) for c in columns]
+    )
 
 
 def customer_snapshot_features(
