@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries as checks
 from spendcast.operators import features
 from spendcast.schema import TRANSACTION_SCHEMA
 
@@ -50,3 +51,15 @@ def test_modes_repeat_no_value_per_snapshot(spark, monkeypatch, block):
     assert len(exploded) == 1 and "product_id#" not in exploded[0].split("explode")[0]
     # counting and comparing values needs no shuffle after the one by customer: it, and one row per customer and interval
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_stages_are_summed_once_per_customer(spark, monkeypatch, tmp_path):
+    """Sums of all stages are sixty sums over a customer's months, and not a search of all months for each stage."""
+    day = dt.datetime(2001, 7, 9)
+    rows = [(1, 1, 1, "a", day, 1.0, 1.0, 1.0), (2, 1, 1, "a", dt.datetime(2001, 5, 3), 1.0, 1.0, 1.0), (3, 1, 2, "a", dt.datetime(1990, 1, 1), 1.0, 1.0, 1.0)]
+    monkeypatch.setattr(checks, "tx", lambda s, d: s.createDataFrame(rows, TRANSACTION_SCHEMA))
+    staged = checks.staged_predictions(spark, str(tmp_path))
+    assert "lambdafunction" not in plan_of(staged)
+    found = {r.fold: r._margins for r in staged.collect()}
+    assert found[1] == [1.0, 1.0] + [2.0] * (checks.STAGES - 2)
+    assert found[2] == [0.0] * checks.STAGES
