@@ -7,7 +7,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from checks import queries as checks
 from spendcast.operators import features
@@ -53,6 +52,15 @@ def test_modes_repeat_no_value_per_snapshot(spark, monkeypatch, block):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_statistics_meet_by_customer_before_they_are_taken(spark, monkeypatch):
+    _, log = log_of(spark)
+    monkeypatch.setattr(checks, "tx", lambda s, d: log)
+    for query in (checks.snapshot_range_join_query, checks.statistic("skew")):
+        plan = plan_of(query(spark, ""))
+        # rows meet below the partial states, and below the rows that are repeated per snapshot
+        assert "REBALANCE_PARTITIONS_BY_COL" in plan[max(plan.find("partial_"), plan.find("Generate explode")) :]
+
+
 def test_stages_are_summed_once_per_customer(spark, monkeypatch, tmp_path):
     """Sums of all stages are sixty sums over a customer's months, and not a search of all months for each stage."""
     day = dt.datetime(2001, 7, 9)
