@@ -5,11 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks import queries as checks
+from spendcast.functions.scoring import FROM_PARTS_SQL, FROM_UNITS_SQL, REST_SQL
 from spendcast.operators import features
+from spendcast.operators.ordered import order_rows
+from spendcast.operators.running_totals import order_log, running_totals
 from spendcast.schema import TRANSACTION_SCHEMA
 
 MONTHS = ["2001-01", "2001-02", "2001-03", "2001-04"]
@@ -71,3 +77,63 @@ def test_stages_are_summed_once_per_customer(spark, monkeypatch, tmp_path):
     found = {r.fold: r._margins for r in staged.collect()}
     assert found[1] == [1.0, 1.0] + [2.0] * (checks.STAGES - 2)
     assert found[2] == [0.0] * checks.STAGES
+
+
+def test_large_sums_are_the_nearest_double_without_decimals(spark):
+    """Sums around every limit, ties between two doubles, and both signs."""
+    draw = random.Random(3)
+    units = [s * (draw.randrange(10**k) + d) for k in range(1, 19) for s in (1, -1) for d in (0, 5_000_000)]
+    units += [s * ((2**29 + 2**k) * 10**7 + 10**7 // 2**j) for k in (3, 20, 29) for j in range(8) for s in (1, -1)] + [9 * 10**15, 2**63 - 1]
+    rows = [(u, u // 10**7 + d, u % 10**7 - d * 10**7) for u in units for d in (0, -3, 10**9)]
+    df = spark.createDataFrame(rows, "u long, w long, r long")
+    got = df.select("u", F.expr(FROM_UNITS_SQL.format(u="u")).alias("a"), F.expr(FROM_PARTS_SQL.format(w="w", r="r")).alias("b")).collect()
+    assert all(x.a == x.b == x.u / 10**7 for x in got)
+    assert "decimal" not in FROM_UNITS_SQL.lower()
+
+
+def test_rests_are_rounded_half_up(spark):
+    amounts = [0.1, 2.5, -1.25, 0.00000005, 0.00000015, 3.99999995, 1.99999999999, -7.123456789, 0.49999999999999994 / 1e7, 5.0]
+    got = spark.createDataFrame([(x,) for x in amounts], "x double").select(F.expr(REST_SQL.format(c="x"))).collect()
+    parts = [(x - np.floor(x)) * 1e7 for x in amounts]
+    assert [r[0] for r in got] == [int(Decimal(repr(float(p))).quantize(0, ROUND_HALF_UP)) for p in parts]
+
+
+def test_seven_totals_sort_a_chunk_once(spark):
+    """Before, each key had a sort and a window of its own over all rows, and rows were sorted again for their statistics."""
+    _, log = log_of(spark)
+    plan = plan_of(running_totals(order_log(log.withColumn("line_no", F.lit(1)).withColumn("supplier_id", F.lit(1))), number_customers=True))
+    # the windows that are left carry sums from chunk to chunk
+    assert plan.count("windowspecdefinition(chunk") == 0 and " MapInArrow" in plan
+    assert [line for line in plan.splitlines() if "Sort [" in line and "seq#" in line and "Range" not in line].__len__() == 1
+
+
+@pytest.mark.parametrize("block, batch", [(1_000_000, 10_000), (3, 4)])
+def test_statistics_of_customers_that_are_cut(spark, monkeypatch, block, batch):
+    """The same from whole customers as from customers cut by blocks and by batches; no row is repeated for a snapshot."""
+    monkeypatch.setattr(features, "ROWS_PER_BLOCK", block)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows, log = log_of(spark)
+        ordered = order_rows(log.withColumn("customer_row", F.lit(1).cast("long")), ["order_id"], 3)
+        numbered = ordered.withColumn("customer_row", F.col("order_id") + 1)
+        statistics = features.statistics_by_rows(numbered, MONTHS, ["total", "quantity"])
+        assert "explode" not in plan_of(statistics)
+        got = {(r.customer_id, r.year_month): r for r in statistics.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for month in MONTHS:
+        for customer in {r[2] for r in rows} - {None}:
+            own = [r for r in rows if r[2] == customer and f"{r[4]:%Y-%m}" < month]
+            assert ((customer, month) in got) == bool(own)
+            for c, at in (("total", 7), ("quantity", 5)):
+                x = np.array([r[at] for r in own if r[at] is not None])
+                r = got[customer, month] if own else None
+                if len(x):
+                    assert (r[f"{c}__count"], r[f"{c}__sum"], r[f"{c}__min"], r[f"{c}__max"]) == (len(x), x.sum(), x.min(), x.max())
+                    assert r[f"{c}__mean"] == x.sum() / len(x)
+                if len(x) > 2:
+                    assert r[f"{c}__std"] == pytest.approx(x.std(ddof=1), abs=1e-9)
+                    m2, m3 = ((x - x.mean()) ** 2).mean(), ((x - x.mean()) ** 3).mean()
+                    skew = m3 / m2**1.5 * np.sqrt(len(x) * (len(x) - 1)) / (len(x) - 2) if m2 > 1e-12 else 0.0
+                    assert r[f"{c}__skew"] == pytest.approx(skew, abs=1e-9)
