@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import ROW_TAG, WordHashes, map_columns, python_workers, steadily_tagged
+from spendcast.llm.text import ROW_TAG, asked_for, map_columns, python_workers, steadily_tagged, word_hashes
 from spendcast.operators.ordered import order_rows, running_sums
-from spendcast.session import materialize
+from spendcast.session import freed, materialize
 
 # Values retained of each set, and the smallest of them that make lists.
 RETAINED = 64
@@ -47,13 +47,13 @@ BLOCK = 1 << 18
 ERRORS = 4.0
 
 
-def shingle_hashes(text: str | None, words_per_shingle: int, known: WordHashes) -> np.ndarray:
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a text with fewer words is one shingle, one without is empty."""
     # bytes know the same white space and letters A-Z as the task does
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     width = min(words_per_shingle, len(words))
     mixed = np.full(len(h) - width + 1, np.uint64(width * 0x9E3779B97F4A7C15 % 2**64))
     with np.errstate(over="ignore"):
@@ -69,10 +69,8 @@ def shingle_sets(
     docs: DataFrame, columns: list[str], text: str, words_per_shingle: int, sketch: int | None, as_array: bool = False
 ) -> DataFrame:
     """``columns``, ``n_shingles``, and either ``same`` (a 128-bit digest of the set) with ``sketch``, or the ``hashes``."""
-    known = WordHashes()
-
     def sets(texts: list[str | None]) -> tuple:
-        found = [shingle_hashes(t, words_per_shingle, known) for t in texts]
+        found = [shingle_hashes(t, words_per_shingle) for t in texts]
         sizes = [len(x) for x in found]
         if sketch is None:
             return None, [sizes, [x.view(np.int64) if as_array else x.tobytes() for x in found]]
@@ -134,16 +132,25 @@ class NearCopies:
 
     def shared_enough(self, nodes: DataFrame) -> DataFrame:
         """Of classes to be compared among themselves, those that share enough shingles with any other to have a link."""
-        rows = self.numbered.join(nodes.withColumnRenamed("node", "row"), "row", "left_semi").withColumnRenamed("row", "node")
-        sets = shingle_sets(rows, ["node"], "text", self.width, None, as_array=True)
+        sets = shingle_sets(self.texts_of(nodes), ["node"], "text", self.width, None, as_array=True)
         self.crowded_sets = materialize(sets, "crowded-sets")
         each = self.crowded_sets.select("node", "n_shingles", F.explode("hashes").alias("h"))
         common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
         shared = each.join(common, "h").groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("n_shingles").alias("n"))
         return shared.where(F.col("shared") * 100 >= self.percent * F.col("n")).select("node")
 
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``text`` of classes. All other texts stay where they are: they are far larger than what is asked for."""
+        nodes = materialize(nodes, "asked-nodes")
+        texts = self.numbered.select(F.col("row").alias("node"), "text")
+        return asked_for(texts, "node", nodes, "node").join(nodes, "node", "left_semi")
+
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Of ``a, b``, those whose union sketch comes near the threshold and whose full sets reach it."""
+        with freed(pairs.sparkSession) as scratch:
+            return scratch.keep(self.compared(pairs))
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
         least = self.percent / 100
         percent = self.percent
 
@@ -169,9 +176,8 @@ class NearCopies:
         # sizes further apart than the threshold allows can't reach it
         fitting = sketched.where(100 * F.least("n_left", "n_right") >= percent * F.greatest("n_left", "n_right"))
         close = materialize(similar(fitting, ["a", "b"], near, "a long, b long"), "close")
-        needed = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
-        texts = self.numbered.join(needed, "row", "left_semi")
-        sets = materialize(shingle_sets(texts.withColumnRenamed("row", "node"), ["node"], "text", self.width, None), "sets")
+        needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+        sets = materialize(shingle_sets(self.texts_of(needed), ["node"], "text", self.width, None), "sets")
         full = close.join(side(sets, "a", "hashes", "left"), "a").join(side(sets, "b", "hashes", "right"), "b")
         return materialize(similar(full, ["a", "b"], reach, "a long, b long"), "links")
 
@@ -274,13 +280,17 @@ def near_duplicates(
     empty text has no shingles and no links. Repeated rows are all kept or all not kept, as they share their key. An
     empty table gives an empty one.
     """
-    found = NearCopies(docs, key, text, percent, words_per_shingle)
-    roots = components(found.links())
-    named = found.classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with freed(docs.sparkSession) as scratch:
+        found = NearCopies(docs, key, text, percent, words_per_shingle)
+        # sketches and texts are done with once the roots are known
+        rows = scratch.keep(materialize(found.rows.select("doc", "n_shingles", "same"), "sizes"))
+        classes = scratch.keep(found.classes)
+        roots = scratch.keep(materialize(components(found.links()), "roots"))
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_class = named.join(smallest, "root").select("same", "component_id")
-    filled = found.rows.where("n_shingles > 0").select("doc", "n_shingles", "same").join(of_class, "same")
-    empty = found.rows.where("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))
+    filled = rows.where("n_shingles > 0").join(of_class, "same")
+    empty = rows.where("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     return filled.select(*empty.columns).union(empty).select(
         F.col("doc").alias(key), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc")).alias("kept")
     )

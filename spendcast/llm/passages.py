@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendcast.llm.components import components
-from spendcast.llm.text import ROW_TAG, WordHashes, hashed, map_columns, python_workers, tagged, without
-from spendcast.session import materialize
+from spendcast.llm.text import ROW_TAG, Field, asked_for, map_columns, python_workers, tagged, without, word_hashes
+from spendcast.session import freed, materialize
 
 FIND_WORDS = re.compile("[^\x20\x09-\x0d]+")
 WORDS_PER_SHINGLE = 5
@@ -54,8 +54,6 @@ BLOCK_WORDS = 400_000
 # The base of hashes of word sequences, and its inverse modulo 2^64.
 BASE = 0x9FB21C651E98DF25
 INVERSE = pow(BASE, -1, 1 << 64)
-# Bits of a field that tells tasks which values or texts matter: 4 MB, whatever their number.
-FIELD_BITS = 25
 # Bits of a number that tell apart the bytes of one written partition.
 PARTITION_BITS = 40
 
@@ -112,7 +110,7 @@ def numbered_by_key(docs: DataFrame, key: str | None, text: str) -> DataFrame:
 
 
 class Stretches:
-    """Paragraphs in a row with one least shingle, of some texts: value, text, first word, how many, digest."""
+    """Paragraphs in a row with one least shingle, of some texts: value, text, first word, how many."""
 
     def __init__(self, words: np.ndarray, sizes: Sequence[int], paragraph: int):
         n, self.paragraph = len(words), paragraph
@@ -122,7 +120,7 @@ class Stretches:
         text = np.repeat(np.arange(len(sizes)), sizes)
         at = at[at + paragraph <= ends[text[: len(at)]]]
         if not len(at):
-            self.key = self.digest = np.zeros(0, np.uint64)
+            self.key = self.words = np.zeros(0, np.uint64)
             self.text = self.first = self.many = self.start = np.zeros(0, np.int64)
             return
         with np.errstate(over="ignore"):
@@ -141,16 +139,28 @@ class Stretches:
             self.key, self.start = least[run], at[run]
             self.text = text[self.start]
             self.first = self.start - (ends - sizes)[self.text]
-            doublings = max(int(n).bit_length(), BLOCK_WORDS.bit_length())
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(words * powers(BASE, doublings)[:n], out=self.sums[1:])
-            self.back = powers(INVERSE, doublings)
-            self.digest = stirred(self.sequences(self.start, self.start + self.many + paragraph - 1))
+            self.words = words
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        sums = np.zeros(len(self.words) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self.words * powers(BASE, self.doublings)[: len(self.words)], out=sums[1:])
+        return sums
+
+    @property
+    def doublings(self) -> int:
+        return max(len(self.words).bit_length(), BLOCK_WORDS.bit_length())
+
+    def digests(self, chosen: np.ndarray) -> np.ndarray:
+        """What tells apart the words of the chosen stretches."""
+        starts = self.start[chosen]
+        return stirred(self.sequences(starts, starts + self.many[chosen] + self.paragraph - 1))
 
     def sequences(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the words of each range: equal words in equal order give an equal one, wherever they stand."""
         with np.errstate(over="ignore"):
-            return stirred((self.sums[ends] - self.sums[starts]) * self.back[starts])
+            return stirred((self.sums[ends] - self.sums[starts]) * powers(INVERSE, self.doublings)[starts])
 
     def apart(self, chosen: np.ndarray) -> np.ndarray:
         """The hashes of all paragraphs of the chosen stretches, in a row."""
@@ -160,24 +170,7 @@ class Stretches:
         return self.sequences(starts, starts + self.paragraph)
 
 
-class Field:
-    """A set of numbers as a bit field of a fixed size. A member is never missing; the fuller it is, the more others pass."""
-
-    def __init__(self, numbers: DataFrame, column: str):
-        bits = numbers.select(F.col(column).bitwiseAND((1 << FIELD_BITS) - 1).alias("bit")).select(
-            F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
-        )
-        # at most one row per 64 bits of the field
-        rows = bits.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-        self.words = np.zeros(1 << (FIELD_BITS - 6), np.int64)
-        self.words[rows["at"].to_numpy()] = rows["mask"].to_numpy()
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        bit = numbers.view(np.int64) & ((1 << FIELD_BITS) - 1)
-        return (self.words[bit >> 6] >> (bit & 63) & 1).astype(bool)
-
-
-def blocks(texts: list, known: WordHashes) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+def blocks(texts: list) -> Iterator[tuple[int, np.ndarray, list[int]]]:
     """The first text, word hashes and sizes of texts in a row."""
     first, sizes, words = 0, [], []
     for i, value in enumerate(texts):
@@ -185,7 +178,7 @@ def blocks(texts: list, known: WordHashes) -> Iterator[tuple[int, np.ndarray, li
         words += own
         sizes.append(len(own))
         if len(words) >= BLOCK_WORDS or i + 1 == len(texts):
-            yield first, hashed(words, known), sizes
+            yield first, word_hashes(words), sizes
             first, sizes, words = i + 1, [], []
 
 
@@ -197,12 +190,11 @@ def scanned(numbered: DataFrame, text: str, work, made: str, paragraph: int) ->
     """``work(rows, stretches)`` of all texts, as record batches of the columns ``made``."""
     python_workers(numbered.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(made))
-    known = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for first, words, sizes in blocks(batch.column(1).to_pylist(), known):
+            for first, words, sizes in blocks(batch.column(1).to_pylist()):
                 found = work(rows[first : first + len(sizes)], Stretches(words, sizes, paragraph))
                 yield pa.RecordBatch.from_arrays(found, schema=schema)
 
@@ -229,13 +221,14 @@ def occurrences(numbered: DataFrame, text: str, paragraph: int = PARAGRAPH_WORDS
 
     def place(rows: np.ndarray, s: Stretches) -> list:
         good = np.flatnonzero(sent.value.has(s.key))
-        _, one = np.unique(s.digest[good], return_index=True)
+        digest = s.digests(good)
+        _, one = np.unique(digest, return_index=True)
         sizes = np.zeros(len(good), np.int64)
         sizes[one] = s.many[good[one]]
         hashes = s.apart(good[np.sort(one)]) if len(good) else np.zeros(0, np.uint64)
         inside = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes.astype(np.uint32).view(np.int32)))
         numbers = [pa.array(x[good], pa.int64()) for x in (s.first, s.many)]
-        return [signed(s.key[good]), signed(s.digest[good]), pa.array(rows[s.text[good]], pa.int64()), *numbers, inside]
+        return [signed(s.key[good]), signed(digest), pa.array(rows[s.text[good]], pa.int64()), *numbers, inside]
 
     made = "key long, digest long, row long, first long, many long, inside array<int>"
     return materialize(scanned(numbered, text, place, made, paragraph), "stretches")
@@ -358,23 +351,15 @@ def words_beside(numbered: DataFrame, asked: DataFrame, text: str) -> DataFrame:
     """``number, left, words``: hashes of words before (``left``) and after places of texts."""
     per_text = asked.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "left")).alias("asked"))  # of one text
     per_text = materialize(per_text, "asked-places")
-    python_workers(numbered.sparkSession)
-    sent = numbered.sparkSession.sparkContext.broadcast(Field(per_text, "row"))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy())))
-
     texts = numbered.select(F.col(ROW_TAG).alias("_row"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     # texts that nothing is asked of mostly stay where they are
-    texts = texts.mapInArrow(needed, "_row long, text binary")
+    texts = asked_for(texts, "_row", per_text, "row")
     placed = texts.join(per_text, F.col("_row") == F.col("row"))
-    known = WordHashes()
 
     def work(texts: list, rows: list, asked: list) -> tuple:
         places, numbers, lefts, out = [], [], [], []
         for i, (value, row, wanted) in enumerate(zip(texts, rows, asked, strict=True)):
-            words = hashed(value.split(), known).astype(np.uint32)
+            words = word_hashes(value.split()).astype(np.uint32)
             for w in wanted:
                 at, left = w["at"], w["left"]
                 places.append(i)
@@ -476,10 +461,16 @@ def repeated_spans(numbered: DataFrame, text: str = "text", paragraph: int = PAR
     """
     if not WORDS_PER_SHINGLE <= paragraph <= span_words:
         raise ValueError("a paragraph has five words at least, and no more than a span")
-    found = occurrences(numbered, text, paragraph)
-    every = linked_chains(runs(found, repeated_paragraphs(found), paragraph), paragraph, span_words)
+    spark = numbered.sparkSession
+    with freed(spark) as scratch:
+        found = occurrences(numbered, text, paragraph)
+        with freed(spark) as inner:
+            repeated = inner.keep(repeated_paragraphs(found))
+        every = scratch.keep(linked_chains(runs(found, repeated, paragraph), paragraph, span_words))
+    with freed(spark) as scratch:
+        passages = scratch.keep(aligned(numbered, every, text, span_words))
     exact = every.where("shared IS NULL").select("row", "first", "last", F.col("holder").alias("first_row"), F.lit(True).alias("removed"))
-    told = clustered(aligned(numbered, every, text, span_words)).union(exact)
+    told = clustered(passages).union(exact)
     # at most one span per word of a text
     told = told.groupBy("row", "removed", "first").agg(F.max("last").alias("last"), F.min("first_row").alias("least"))
     per_text = told.groupBy("row", "removed").agg(F.collect_list(F.struct("first", "last", "least")).alias("spans"))
@@ -502,7 +493,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     empty one.
     """
     numbered = numbered_by_key(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text")
-    spans = materialize(repeated_spans(numbered, "_text", **options), "spans")
+    with freed(docs.sparkSession) as scratch:
+        spans = scratch.keep(materialize(repeated_spans(numbered, "_text", **options), "spans"))
     names = numbered.select(F.col(ROW_TAG).alias("_row"), "_key")
     named = spans.join(names, F.col("row") == F.col("_row")).drop("_row").withColumnRenamed("_key", "own")
     named = named.join(names, F.col("first_row") == F.col("_row"))
@@ -528,9 +520,10 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str | None = "doc_
     at = own[names.index(text)]
     renamed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)])
     placed = numbered_by_key(renamed, own[names.index(key)] if key in names else None, at)
-    spans = repeated_spans(placed, at, **options).where("removed")
     listed = F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans_to_cut")
-    cuts = materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts")
+    with freed(docs.sparkSession) as scratch:
+        spans = repeated_spans(placed, at, **options).where("removed")
+        cuts = scratch.keep(materialize(spans.groupBy(F.col("row").alias("_at_row")).agg(listed), "cuts"))
     joined = placed.join(cuts, F.col(ROW_TAG) == F.col("_at_row"), "left")
 
     def cut(texts: list[str], spans: list) -> tuple:
