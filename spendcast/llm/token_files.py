@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendcast.llm.text import ROW_TAG, python_workers, tagged
 from spendcast.llm.tokens import token_ids
-from spendcast.session import scratch_path
+from spendcast.session import materialize, scratch_path
 
 TOKENS_PER_BLOCK = 1 << 18
 # Lengths of the four codes of every control byte, made from the rule: two bits each, lowest first.
@@ -34,7 +34,12 @@ def pack_codes(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = values.astype("<u4")
     lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    data = np.empty(int(lengths.sum()), np.uint8)
+    data[starts] = values.astype(np.uint8)
+    for i in range(1, int(lengths.max(initial=1))):
+        longer = np.flatnonzero(lengths > i)
+        data[starts[longer] + i] = (values[longer] >> np.uint32(8 * i)).astype(np.uint8)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = lengths - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
@@ -45,23 +50,28 @@ def unpack_codes(control: bytes, data: bytes, count: int) -> np.ndarray:
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
     starts = np.cumsum(lengths) - lengths
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-    inside = np.arange(4) < lengths[:, None]
-    return np.where(inside, raw[starts[:, None] + np.arange(4)], 0).astype(np.uint8).reshape(-1).view("<u4")
+    values = raw[starts].astype("<u4")
+    for i in range(1, int(lengths.max(initial=1))):
+        longer = np.flatnonzero(lengths > i)
+        values[longer] |= raw[starts[longer] + i].astype("<u4") << np.uint32(8 * i)
+    return values
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
     """``id`` and ``n``, how often it occurs in all rows; one row per id and task is shuffled."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, rows in batch.groupby("width")["ids"]:
+            widths = batch.column(1).to_numpy()
+            for width in np.unique(widths):
+                rows = batch.column(0).filter(pa.array(widths == width)).to_pylist()
                 found = np.bincount(np.frombuffer(b"".join(rows), f"<u{width}"), minlength=len(total))
                 total = np.pad(total, (0, len(found) - len(total))) + found
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen.astype(np.int64), "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(
@@ -75,7 +85,7 @@ def write_token_files(
     spark = docs.sparkSession
     scratch = scratch_path(spark, "token-ids")
     encoded = token_ids(docs, key, text, tokenizer, end_id)
-    encoded.write.option("compression", "zstd").parquet(scratch)
+    encoded.write.parquet(scratch)
     tokens = spark.read.schema(encoded.schema).parquet(scratch)
 
     ranked = id_counts(tokens).orderBy(F.col("n").desc(), "id")
@@ -122,35 +132,35 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     python_workers(spark)
     by_rank = np.array([row.id for row in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     files = spark.read.parquet(f"{path}/blocks")
-    schema = T.StructType.fromDDL("part int, seq int, at long, n_tokens long, ids binary")
+    schema = T.StructType.fromDDL("start long, n_tokens long, ids binary")
     schema = schema.add("key", files.schema["keys"].dataType.elementType)
     arrow = to_arrow_schema(schema)
-    totals = files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    parts = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+    sizes = files.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), size.alias("size"))
+    totals = sizes.groupBy("_p").agg(F.sum("size").alias("total"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    parts = totals.select(F.col("_p").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    in_part = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", "_s", F.coalesce(F.sum("size").over(in_part), F.lit(0)).alias("in_part"))
+    starts = starts.join(parts, F.col("_p") == F.col("_part")).select("_p", "_s", (F.col("before") + F.col("in_part")).alias("from"))
+    # written, so that its size is known: blocks find their starts before they are decoded, and ids are not moved
+    starts = materialize(starts, "block-starts")
+    placed = files.join(starts, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                part, seq, control, data = (of[name][i].as_py() for name in ("part", "seq", "control", "data"))
+                start, control, data = (of[name][i].as_py() for name in ("from", "control", "data"))
                 lengths = np.array(of["lengths"][i].values, np.int64)
                 ids = by_rank[unpack_codes(control, data, int(lengths.sum()))].astype("<u4")
                 ends = np.cumsum(lengths)
-                # the place in the block serves as an order, the sum up to it as the start; keys never leave Arrow
-                each = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
-                columns = (np.full(len(lengths), part), np.full(len(lengths), seq), ends - lengths, lengths, each, of["keys"][i].values)
+                # the documents of a block share one buffer; keys never leave Arrow
+                cuts = pa.array(np.append(0, 4 * ends).astype(np.int32))
+                each = pa.Array.from_buffers(pa.binary(), len(lengths), [None, cuts.buffers()[1], pa.py_buffer(ids.tobytes())])
+                columns = (start + ends - lengths, lengths, each, of["keys"][i].values)
                 columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    rows = files.mapInArrow(decode, schema)
-    sizes = files.select(
-        F.col("part").alias("_p"), F.col("seq").alias("_s"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("size")
-    )
-    in_part = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", "_s", F.coalesce(F.sum("size").over(in_part), F.lit(0)).alias("in_part"))
-    starts = starts.join(parts, F.col("_p") == F.col("_part"))
-    placed = rows.join(starts, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")))
-    return placed.select(
-        F.col("key").alias(key), (F.col("before") + F.col("in_part") + F.col("at")).alias("start"), "n_tokens", "ids"
-    )
+    rows = placed.select("from", "lengths", "control", "data", "keys").mapInArrow(decode, schema)
+    return rows.select(F.col("key").alias(key), "start", "n_tokens", "ids")

@@ -53,6 +53,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD, *added]), re.IGNORECASE)
+        # a text without any of these characters is not odd, which is found out faster; letters would come in two cases
+        self.signs = {*map(chr, range(0x1C, 0x20)), *(t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values())}
+        self.plain_signs = not any(c.lower() != c.upper() for c in self.signs)
         self.byte_level = self.tokenizer.normalizer is None
         self.end_id = end_id
         self.clear()
@@ -64,7 +67,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def stretches(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        if (not self.plain_signs or any(c in text for c in self.signs)) and self.odd.search(text):
             return [text]
         return (BYTE_LEVEL if self.byte_level else WORD_LEVEL).findall(text)
 
