@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendcast.operators.features import customer_snapshot_features
-from spendcast.operators.ordered import CHUNK, SEQ, order_rows, running_sums
+from spendcast.operators.ordered import CHUNK, PART, SEQ, order_rows, parted, running_sums
 from spendcast.operators.running_totals import order_log, running_totals, running_totals_by_window
 from spendcast.schema import LOG_ORDER, ROW_TAG, RUNNING_COLUMNS
 from tests.conftest import same_rows
@@ -117,3 +117,22 @@ def test_amounts_too_large_for_units(spark):
     df = spark.createDataFrame(rows, schema).withColumn("order_date", F.col("d").cast("timestamp_ntz")).drop("d")
     totals = running_totals(order_log(df), ["customer_id"]).orderBy("line_no").collect()
     assert [r.cumsum_total_by_cust_id for r in totals] == [3e11, 6e11, 3e11, 3e11 + 0.25, 4e11 + 0.25]
+
+
+def test_only_common_keys_enter_from_earlier_chunks(spark):
+    """Rare keys, spread over all chunks, made one row more for nearly every row of theirs."""
+    rng = random.Random(11)
+    keys = ["hot" if i % 2 else f"rare{rng.randrange(900)}" if i % 50 else None for i in range(6000)]
+    rows = [(i, k, rng.choice([None, 1, 5, -3])) for i, k in enumerate(keys)]
+    ordered = order_rows(spark.createDataFrame(rows, "t int, k string, v long").repartition(4), ["t"], 6)
+    cut, marked = parted(ordered, "k", 6, len(rows))
+    assert {r.k for r in cut.select("k").distinct().collect()} == {"hot"}
+    # rare keys lie in one part each, common ones and missing keys in as many as there are chunks
+    parts = {r.k: r.n for r in marked.groupBy("k").agg(F.countDistinct(PART).alias("n")).collect()}
+    assert parts.pop("hot") == parts.pop(None) == 6 and set(parts.values()) == {1}
+    assert max(r["count"] for r in marked.groupBy(PART).count().collect()) < 6000 / 3
+    got = {r.t: r.s for r in running_sums(ordered, {"k": {"s": "v"}}).collect()}
+    so_far = {}
+    for t, k, v in rows:
+        so_far[k] = so_far.get(k, 0) + (v or 0)
+        assert got[t] == (so_far[k] if k is not None and v is not None else None)
