@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import python_workers
+from spendcast.llm.text import let_go, python_workers
 from spendcast.session import materialize
 
 
@@ -46,17 +46,19 @@ class Forest:
 def merge_locally(links: DataFrame) -> DataFrame:
     """``child`` and a smaller ``parent``: the forest of each task's links."""
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         forest = Forest()
         for batch in batches:
-            for a, b in zip(batch["child"].tolist(), batch["parent"].tolist(), strict=True):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 forest.join(a, b)
+        # a node that joined another is never a root again
         children = list(forest.parent)
-        out = pd.DataFrame({"child": children, "parent": [forest.root(x) for x in children]}, dtype="int64")
-        yield out[out["child"] != out["parent"]]
+        parents = [forest.root(x) for x in children]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (children, parents)], names=["child", "parent"])
 
     python_workers(links.sparkSession)
-    return links.mapInPandas(merge, "child long, parent long")
+    return links.select("child", "parent").mapInArrow(merge, "child long, parent long")
 
 
 def point_down(links: DataFrame) -> DataFrame:

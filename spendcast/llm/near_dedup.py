@@ -15,13 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendcast.llm.components import Forest, components
-from spendcast.llm.text import ROW_TAG, asked_for, map_columns, python_workers, steadily_tagged, word_hashes
+from spendcast.llm.text import ROW_TAG, all_but, asked_for, let_go, map_columns, python_workers, steadily_tagged, word_hashes
 from spendcast.operators.ordered import order_rows, running_sums
 from spendcast.session import freed, materialize
 
@@ -70,6 +70,7 @@ def shingle_sets(
 ) -> DataFrame:
     """``columns``, ``n_shingles``, and either ``same`` (a 128-bit digest of the set) with ``sketch``, or the ``hashes``."""
     def sets(texts: list[str | None]) -> tuple:
+        let_go()
         found = [shingle_hashes(t, words_per_shingle) for t in texts]
         sizes = [len(x) for x in found]
         if sketch is None:
@@ -84,11 +85,17 @@ def similar(table: DataFrame, keys: list[str], decide, kind: str) -> DataFrame:
     """``keys`` of the rows whose columns ``left`` and ``right`` satisfy ``decide``, tested in Arrow batches."""
     python_workers(table.sparkSession)
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def values(column: pa.Array) -> Iterator:
+        return (x.values.to_numpy() if pa.types.is_list(column.type) else x.as_py() for x in column)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            yield batch.loc[[decide(a, b) for a, b in zip(batch["left"], batch["right"], strict=True)], keys]
+            pairs = zip(values(batch.column("left")), values(batch.column("right")), strict=True)
+            alike = pa.array([bool(decide(a, b)) for a, b in pairs], pa.bool_())
+            yield batch.select(keys).filter(alike)
 
-    return table.mapInPandas(test, kind)
+    return table.mapInArrow(test, kind)
 
 
 class NearCopies:
@@ -103,9 +110,13 @@ class NearCopies:
         self.rows = materialize(shingle_sets(numbered, ["row", "doc"], "text", words_per_shingle, RETAINED), "sketches")
         # the class of all rows with one set is named by its first row
         filled = self.rows.where("n_shingles > 0")
-        self.classes = materialize(filled.groupBy("same").agg(F.min("row").alias("node"), F.min("doc").alias("doc")), "classes")
-        first = filled.select(F.col("row").alias("node"), "n_shingles", "sketch")
-        self.sketches = materialize(first.join(self.classes.select("node"), "node"), "class-sketches")
+        grouped = filled.groupBy("same").agg(F.min("row").alias("node"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+        self.classes = materialize(grouped, "classes")
+        several = self.classes.where("n > 1").select("same", F.col("node").alias("first"))
+        others = filled.select("same", F.col("row").alias("node")).join(several, "same").where("node <> first")
+        # sketches of first rows, by far the most, stay where they are; only those of other rows are moved, to be left out
+        sketches = filled.select(F.col("row").alias("node"), "n_shingles", "sketch")
+        self.sketches = materialize(all_but(sketches, materialize(others.select("node"), "other-rows"), "node"), "class-sketches")
         self.numbered = numbered
 
     def listed(self) -> tuple[DataFrame, DataFrame]:
@@ -170,8 +181,9 @@ class NearCopies:
             return table.select(F.col("node").alias(key), F.col(value).alias(name), size)
 
         pairs = materialize(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sketches = materialize(self.sketches.join(asked, "node", "left_semi"), "asked-sketches")
+        asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked-for")
+        sketches = asked_for(self.sketches, "node", asked, "node").join(asked, "node", "left_semi")
+        sketches = materialize(sketches, "asked-sketches")
         sketched = pairs.join(side(sketches, "a", "sketch", "left"), "a").join(side(sketches, "b", "sketch", "right"), "b")
         # sizes further apart than the threshold allows can't reach it
         fitting = sketched.where(100 * F.least("n_left", "n_right") >= percent * F.greatest("n_left", "n_right"))
@@ -232,7 +244,9 @@ def tiled(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = left.union(right).join(members, ["value", "take"])
     filled = placed.join(sets.select("node", "hashes"), "node")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows):
+        import pandas as pd  # here alone, as it takes some 30 MB of every worker that loads it
+
         a = rows[rows["side"] == 0]
         b = rows[rows["side"] == 1] if (rows["side"] == 1).any() else a
         shared = shared_counts(a["hashes"].tolist(), b["hashes"].tolist())

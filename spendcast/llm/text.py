@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +21,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
 # Bits of a field that tells tasks which values or texts matter: 4 MB, whatever their number.
 FIELD_BITS = 25
+# Row numbers hold their task's number above 33 bits; this one spreads tasks over the field and the product fits 64 bits.
+SPREAD = 2_654_435_761
 # Private columns start with an underscore, so that a table's own columns don't clash with them.
 ROW_TAG = "_row_tag"
 
@@ -88,6 +90,24 @@ def python_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
 
 
+# What this Python worker keeps from one task to the next, such as a cache of tokens.
+_kept: dict = {}
+
+
+def kept(name: Hashable, make: Callable):
+    """What ``make`` returns, made once in a Python worker, until ``let_go``."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Spark gives idle workers other work, and what they keep would lie beside it in the executor's memory."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def map_texts(docs: DataFrame, carried: Sequence[str], text: str, work: Callable, made: str) -> DataFrame:
     """``carried`` columns as they are, beside the columns ``made`` (as DDL) that ``work`` makes of whole texts.
 
@@ -141,7 +161,8 @@ class Field:
     """A set of numbers as a bit field of a fixed size. A member is never missing; the fuller it is, the more others pass."""
 
     def __init__(self, numbers: DataFrame, column: str):
-        bits = numbers.select(F.col(column).bitwiseAND((1 << FIELD_BITS) - 1).alias("bit")).select(
+        spread = F.col(column).bitwiseXOR(F.shiftrightunsigned(F.col(column).cast("long"), 33) * F.lit(SPREAD))
+        bits = numbers.select(spread.bitwiseAND((1 << FIELD_BITS) - 1).alias("bit")).select(
             F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")
         )
         # at most one row per 64 bits of the field
@@ -150,7 +171,8 @@ class Field:
         self.words[rows["at"].to_numpy()] = rows["mask"].to_numpy()
 
     def has(self, numbers: np.ndarray) -> np.ndarray:
-        bit = numbers.view(np.int64) & ((1 << FIELD_BITS) - 1)
+        own = numbers.view(np.uint64)
+        bit = ((own ^ ((own >> np.uint64(33)) * np.uint64(SPREAD))) & np.uint64((1 << FIELD_BITS) - 1)).view(np.int64)
         return (self.words[bit >> 6] >> (bit & 63) & 1).astype(bool)
 
 
@@ -159,12 +181,25 @@ def asked_for(table: DataFrame, key: str, wanted: DataFrame, column: str) -> Dat
 
     Rows that nobody asks for are left where they lie, so a join with ``wanted`` after this moves only the rest.
     """
+    return passing(table, key, Field(wanted, column))
+
+
+def all_but(table: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose number ``key`` is not in ``unwanted``. Only unwanted rows and few others are moved."""
+    field = Field(unwanted, key)
+    doubtful = passing(table, key, field).join(unwanted.select(key), key, "left_anti").select(*table.columns)
+    return passing(table, key, field, others=True).unionAll(doubtful)
+
+
+def passing(table: DataFrame, key: str, field: Field, others: bool = False) -> DataFrame:
+    """The rows that the field has, or all ``others``."""
     python_workers(table.sparkSession)
-    sent = table.sparkSession.sparkContext.broadcast(Field(wanted, column))
+    sent = table.sparkSession.sparkContext.broadcast(field)
     place = table.columns.index(key)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.has(batch.column(place).to_numpy())))
+            yield batch.filter(pa.array(sent.value.has(batch.column(place).to_numpy()) != others))
 
     return table.mapInArrow(needed, table.schema)

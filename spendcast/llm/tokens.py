@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import map_columns
+from spendcast.llm.text import kept, map_columns
 
 # Stretches kept per worker; beyond that the cache starts anew.
 CACHED = 1_200_000
@@ -109,14 +109,9 @@ class Encoder:
             yield from self.encode(waiting)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, end_id: int) -> Encoder:
     """The worker's own encoder; Spark keeps Python workers, so the cache serves later tasks as well."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return kept((path, end_id), lambda: Encoder(path, end_id))
 
 
 def token_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> DataFrame:

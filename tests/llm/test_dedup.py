@@ -11,6 +11,7 @@ import pytest
 
 from spendcast.llm import near_dedup, passages, vectors
 from spendcast.llm.components import components
+from spendcast.llm.text import all_but, asked_for
 from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -135,3 +136,22 @@ def test_near_vectors(spark):
     assert len(found) == len(rows)
     assert all((r.n_links, r.component_id, r.kept) == (counts[i], roots[i], roots[i] == i) for i, r in found.items())
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def test_rows_of_other_tasks_are_not_asked_for(spark):
+    """Row numbers of all tasks end alike; rows of one task asked for those of every other task as well."""
+    rows = spark.range(2000).selectExpr("shiftleft(id % 20, 33) + id div 20 AS n", "id AS x")
+    wanted = rows.where("n < 100").select("n")
+    assert 100 <= asked_for(rows, "n", wanted, "n").count() < 300
+    assert asked_for(rows, "n", wanted, "n").join(wanted, "n").count() == 100
+    left = all_but(rows, wanted, "n").collect()
+    assert sorted(r.x for r in left) == [x for x in range(2000) if x % 20]
+    assert all_but(rows, rows.where("false").select("n"), "n").count() == 2000
+
+
+def test_sketches_of_first_rows_only(spark):
+    texts = [prose(s % 7, 60) for s in range(40)]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    found = near_dedup.NearCopies(docs, "doc_id", "text", 85, 3)
+    nodes = sorted(r.node for r in found.sketches.collect())
+    assert len(nodes) == 7 and nodes == sorted(r.node for r in found.classes.collect())

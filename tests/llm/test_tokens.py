@@ -12,7 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from spendcast.llm import packing, token_files
-from spendcast.llm.tokens import Encoder
+from spendcast.llm.text import let_go
+from spendcast.llm.tokens import Encoder, encoder
 from spendcast.session import scratch_path
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -92,3 +93,13 @@ def test_token_files(spark, odd, odd_rows, nothing):
     folder = scratch_path(spark, "test-empty-files")
     token_files.write_token_files(nothing, folder, path)
     assert token_files.read_token_files(spark, folder).count() == 0
+
+
+def test_other_work_lets_go_of_the_cache():
+    """The cache stayed with an idle worker, beside the work that Spark gave it next."""
+    path = public_tokenizers.path(FILES[0])
+    own = encoder(path, 0)
+    own.encode(["some words here"])
+    assert encoder(path, 0) is own and len(own.places)
+    let_go()
+    assert encoder(path, 0) is not own and not encoder(path, 0).places
