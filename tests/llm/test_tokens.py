@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from spendcast.llm import packing, token_files
 from spendcast.llm.text import let_go
-from spendcast.llm.tokens import Encoder, encoder
+from spendcast.llm.tokens import Encoder, encoder, word_stretches
 from spendcast.session import scratch_path
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -103,3 +103,15 @@ def test_other_work_lets_go_of_the_cache():
     assert encoder(path, 0) is own and len(own.places)
     let_go()
     assert encoder(path, 0) is not own and not encoder(path, 0).places
+
+
+def test_word_level_stretches():
+    """Every occurrence was an own Python string, and a word and its capital were learnt one by one."""
+    texts = ["Well, WELL, don't 9a,b", "", " \t", "Café, a\xa0b É,x", "end"]
+    different, row, sizes = word_stretches(texts)
+    assert [different[i] for i in row] == ["well", ",", "well", ",", "don", "'t", "9a,b", "Café,", "a\xa0b", "É,x", "end"]
+    assert sizes.tolist() == [7, 0, 0, 3, 1] and len(set(different)) == len(different)
+    assert [len(x) for x in word_stretches([])] == [0, 0, 0]
+    own, encode = Encoder(path := public_tokenizers.path(FILES[1]), 3), plain(FILES[1])
+    assert path and [x.tolist() for x in own.encode(texts)] == [[*encode(t), 3] for t in texts]
+    assert own.encode([]) == []
