@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import threading
+import time
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from pathlib import Path
 
@@ -92,13 +94,37 @@ def python_workers(spark: SparkSession) -> None:
 
 # What this Python worker keeps from one task to the next, such as a cache of tokens.
 _kept: dict = {}
+# When it was last asked for, and the thread that drops it later.
+_asked = 0.0
+_watch: threading.Thread | None = None
+_lock = threading.RLock()
+# Seconds after which it is dropped if nobody asks for it: an idle worker's memory is its executor's.
+IDLE_SECONDS = 5.0
 
 
 def kept(name: Hashable, make: Callable):
-    """What ``make`` returns, made once in a Python worker, until ``let_go``."""
-    if name not in _kept:
-        _kept[name] = make()
-    return _kept[name]
+    """What ``make`` returns, made once in a Python worker, until ``let_go`` or until nobody has asked for a while."""
+    global _asked, _watch
+    with _lock:
+        if name not in _kept:
+            _kept[name] = make()
+        _asked = time.monotonic()
+        if _watch is None:
+            _watch = threading.Thread(target=_drop_when_idle, daemon=True)
+            _watch.start()
+        return _kept[name]
+
+
+def _drop_when_idle() -> None:
+    global _watch
+    while True:
+        with _lock:
+            left = _asked + IDLE_SECONDS - time.monotonic()
+            if left <= 0:
+                let_go()
+                _watch = None
+                return
+        time.sleep(left)
 
 
 def let_go() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from spendcast.llm import packing, token_files
+from spendcast.llm import packing, text, token_files
 from spendcast.llm.text import let_go
 from spendcast.llm.tokens import Encoder, encoder, word_stretches
 from spendcast.session import scratch_path
@@ -105,6 +106,24 @@ def test_other_work_lets_go_of_the_cache():
     assert encoder(path, 0) is not own and not encoder(path, 0).places
 
 
+def test_a_cache_nobody_asks_for_is_dropped(monkeypatch):
+    """It stayed with a worker for as long as Spark kept that, beside stages that run in the JVM alone."""
+    monkeypatch.setattr(text, "IDLE_SECONDS", 0.2)
+    let_go()
+    own = encoder(path := public_tokenizers.path(FILES[1]), 0)
+    own.encode(["some words here"])
+    assert encoder(path, 0) is own
+    for _ in range(100):
+        if not text._kept:
+            break
+        time.sleep(0.1)
+    assert not text._kept
+    # what was dropped is made again, and dropped again
+    assert encoder(path, 0) is not own
+    assert text._watch is not None
+    let_go()
+
+
 def test_word_level_stretches():
     """Every occurrence was an own Python string, and a word and its capital were learnt one by one."""
     texts = ["Well, WELL, don't 9a,b", "", " \t", "Café, a\xa0b É,x", "end"]
