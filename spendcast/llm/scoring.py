@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import ROW_TAG, WordHashes, python_workers, steadily_tagged
+from spendcast.llm.text import ROW_TAG, map_texts, python_workers, steadily_tagged, word_hashes
 from spendcast.session import materialize
 
 # No word holds it: the end of a text, and what stands before its start.
@@ -30,8 +30,9 @@ ORDER = 5
 BYTE = np.uint64(8)
 # Entries of a table that are handed to tasks at a time: 48 MB of keys and values.
 BLOCK = 3 << 20
-# Characters counted or scored at a time.
-AT_ONCE = 2_000_000
+# Pairs counted, and bytes scored, at a time.
+COUNTED_AT_ONCE = 1_000_000
+SCORED_AT_ONCE = 400_000
 
 
 def held_out(key: str) -> Column:
@@ -55,10 +56,6 @@ def pairs(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def word_keys(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 class Counts:
     """Sorted keys and their counts; new keys wait until there are enough to be sorted and merged."""
 
@@ -70,7 +67,7 @@ class Counts:
     def add(self, keys: np.ndarray, weight: int) -> None:
         self.waiting[weight].append(keys)
         self.size += len(keys)
-        if self.size > AT_ONCE + 2 * len(self.keys):
+        if self.size > COUNTED_AT_ONCE + len(self.keys):
             self.merge()
 
     def merge(self) -> None:
@@ -88,21 +85,21 @@ class Counts:
 def gathered(docs: DataFrame) -> DataFrame:
     """``kind`` (word or pair), ``key``, ``n`` in training texts; pairs of other texts have 0. One row per key and task."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, known = {"word": Counts(), "pair": Counts()}, WordHashes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {"word": Counts(), "pair": Counts()}
         for batch in batches:
-            for text, held in zip(batch["text"], batch["held_out"], strict=True):
+            for text, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = tokens(text)
                 seen["pair"].add(pairs(words), 0 if held else 1)
                 if not held:
-                    seen["word"].add(word_keys([*words, END], known), 1)
+                    seen["word"].add(word_hashes([*words, END]), 1)
         for kind, counts in seen.items():
             counts.merge()
             for start in range(0, len(counts.keys), 100_000):
-                part = slice(start, start + 100_000)
-                yield pd.DataFrame({"kind": kind, "key": counts.keys[part].view(np.int64), "n": counts.counts[part]})
+                keys, n = (x[start : start + 100_000] for x in (counts.keys.view(np.int64), counts.counts))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
-    found = docs.select("text", "held_out").mapInPandas(count, "kind string, key long, n long")
+    found = docs.select("text", "held_out").mapInArrow(count, "kind string, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -184,19 +181,20 @@ def pair_scores(found: DataFrame) -> DataFrame:
     order = np.argsort(keys)
     low = levels(keys[order], counts[order], 1, 0, [])
 
-    def work_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(b["key"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.int64)) for b in batches]
+    def work_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
         if not parts:
             return
         keys, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
         trie = levels(keys[n > 0], n[n > 0], ORDER, 2, low)
-        for start in range(0, len(keys), 500_000):
-            part = keys[start : start + 500_000]
-            yield pd.DataFrame({"key": part.view(np.int64), "value": log_probabilities(part, trie)})
+        for start in range(0, len(keys), 200_000):
+            part = keys[start : start + 200_000]
+            found = (part.view(np.int64), log_probabilities(part, trie))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "value"])
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartition(parts, F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    return dealt.select("key", "n").mapInPandas(work_out, "key long, value double")
+    return dealt.select("key", "n").mapInArrow(work_out, "key long, value double")
 
 
 def columns(table: DataFrame, *names: str) -> list[np.ndarray]:
@@ -261,35 +259,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     passes, nothing = [], (np.zeros(0, np.uint64), np.zeros(0))
     word_blocks, pair_blocks = blocks(words, train.v, block), blocks(chances, n_pairs, block)
     for number in range(max(1, -(-train.v // block), -(-n_pairs // block))):
-        handed = spark.sparkContext.broadcast((next(word_blocks, nothing), next(pair_blocks, nothing)))
-
-        def look_up(batches: Iterator[pd.DataFrame], handed=handed) -> Iterator[pd.DataFrame]:
-            of_words, of_pairs = handed.value
-            logs = of_words[0], np.log10(of_words[1] + 0.1)
-            known = WordHashes()
-            for batch in batches:
-                start, texts = 0, [tokens(t) for t in batch["text"]]
-                sizes = np.cumsum([sum(map(len, t)) for t in texts])
-                while start < len(texts):
-                    done = sizes[start - 1] if start else 0
-                    stop = max(start + 1, int(np.searchsorted(sizes, done + AT_ONCE)))
-                    part = texts[start:stop]
-                    base, hits = summed([word_keys([*t, END], known) if len(logs[0]) else () for t in part], logs)
-                    exact, _ = summed([pairs(t) if len(of_pairs[0]) else () for t in part], of_pairs)
-                    yield pd.DataFrame(
-                        {
-                            "row": batch["row"].to_numpy()[start:stop],
-                            "n_tokens": [len(t) + 1 for t in part],
-                            "hits": hits.astype(np.int64),
-                            "base": base,
-                            "exact": exact,
-                        }
-                    )
-                    start = stop
-
-        scored = numbered.select("row", "text").mapInPandas(
-            look_up, "row long, n_tokens long, hits long, base double, exact double"
-        )
+        (names, counts), of_pairs = next(word_blocks, nothing), next(pair_blocks, nothing)
+        handed = spark.sparkContext.broadcast(((names, np.log10(counts + 0.1)), of_pairs))
+
+        def look_up(texts: list[bytes], handed=handed) -> tuple:
+            logs, of_pairs = handed.value
+            found: list[tuple] = []
+            until = np.cumsum([len(t) + 1 for t in texts]) // SCORED_AT_ONCE
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(until)) + 1) if texts else ():
+                part = [texts[i].lower().split() for i in some]
+                base, hits = summed([word_hashes([*t, END]) if len(logs[0]) else () for t in part], logs)
+                exact, _ = summed([pairs(t) if len(of_pairs[0]) else () for t in part], of_pairs)
+                found.append((np.array([len(t) + 1 for t in part], np.int64), hits.astype(np.int64), base, exact))
+            return None, [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[]] * 4
+
+        scored = map_texts(numbered, ["row"], "text", look_up, "n_tokens long, hits long, base double, exact double")
         passes.append(materialize(scored, f"scores-{number}"))
     parts = passes[0]
     for more in passes[1:]:

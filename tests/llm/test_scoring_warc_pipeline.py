@@ -69,6 +69,27 @@ def test_scores(odd, odd_rows, block):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(exact(texts[r.doc_id]))
 
 
+def test_scoring_workers_hold_little():
+    """Workers loaded pandas, kept half a million words beside the tables, and looked up two million pairs at a time."""
+    import subprocess
+    import sys
+
+    code = "import sys, spendcast.llm.scoring as s; print('pandas' in sys.modules, hasattr(s, 'WordHashes'), s.SCORED_AT_ONCE)"
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert told[:2] == ["False", "False"] and int(told[2]) <= 500_000
+
+
+def test_scores_in_parts(spark, odd, monkeypatch):
+    """The same scores however many bytes are looked up, and pairs counted, at a time."""
+    def rows():
+        return sorted(map(str, scoring.score(odd, block=1 << 22).collect()))
+
+    expected = rows()
+    monkeypatch.setattr(scoring, "SCORED_AT_ONCE", 50)
+    monkeypatch.setattr(scoring, "COUNTED_AT_ONCE", 10)
+    assert rows() == expected
+
+
 def test_scores_of_nothing(nothing):
     assert scoring.score(nothing).count() == 0
 
