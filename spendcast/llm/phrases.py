@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendcast.llm.text import CAPITALS, SMALL, WordHashes, hashed, map_columns, python_workers, whole
+from spendcast.llm.text import CAPITALS, SMALL, map_columns, python_workers, whole, word_hashes
 from spendcast.session import materialize
 
 LEAST, MOST_WORDS, FIRST = 100, 5, 2000
@@ -30,6 +30,8 @@ LEAST, MOST_WORDS, FIRST = 100, 5, 2000
 COVERED = 100
 # Suffixes in a group at most, 64 bytes each, and the fewest that are worth a group.
 GROUP_MOST, GROUP_LEAST = 1 << 20, 1 << 16
+# Bytes of text whose suffixes are cut at a time.
+AT_ONCE = 1 << 19
 # Bits of a field: 8 MB, whatever the vocabulary.
 FIELD_BITS = 26
 UNKNOWN = "und"
@@ -44,12 +46,15 @@ def flat_words(texts: Sequence[bytes]) -> list[bytes]:
     return b"!".join(texts).translate(PIECES).replace(BREAK, b" ! ").split()
 
 
-def by_language(texts: Sequence[bytes], langs: Sequence[str]) -> Iterator[tuple[str, list[bytes]]]:
+def by_language(texts: Sequence[bytes], langs: Sequence[str], at_once: int | None = None) -> Iterator[tuple[str, list[bytes]]]:
+    """The words of the texts of each language; of whole texts of about ``at_once`` bytes at a time, or of all."""
     sorted_out: dict[str, list[bytes]] = {}
     for text, lang in zip(texts, langs, strict=True):
         sorted_out.setdefault(lang, []).append(text)
     for lang, own in sorted_out.items():
-        yield lang, flat_words(own)
+        part = np.cumsum([len(t) for t in own]) // (at_once or sum(map(len, own)) + 1)
+        for some in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1):
+            yield lang, flat_words(own[some[0] : some[-1] + 1])
 
 
 def chained(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -101,14 +106,12 @@ class Phrases:
 
     def words(self) -> tuple[DataFrame, DataFrame]:
         """``lang_key, lang, n`` of every language, and ``lang_key, symbol, key, word, f`` of its frequent words."""
-        known = WordHashes()
-
         def count(texts: list[bytes], langs: list[str]) -> tuple:
             out = [[] for _ in range(6)]
             for lang, words in by_language(texts, langs):
                 counts = Counter(words)
                 counts.pop(BREAK, None)
-                symbols = hashed(counts, known)
+                symbols = word_hashes(counts)
                 own = language_key(lang)
                 out[0] += [lang] * len(counts)
                 out[1] += [own] * len(counts)
@@ -131,12 +134,10 @@ class Phrases:
 
     def count_prefixes(self, frequent: Sent, hot: np.ndarray | None) -> DataFrame:
         """``depth, key, f`` of prefixes of two frequent words, or of three and four words under ``hot`` ones of two."""
-        known = WordHashes()
-
         def count(texts: list[bytes], langs: list[str]) -> tuple:
             depths, found, counts = [], [], []
             for lang, words in by_language(texts, langs):
-                a, key, link = linked(words, lang, frequent, known)
+                a, key, link = linked(words, lang, frequent)
                 at = np.flatnonzero(link)
                 key = chained(key[at], a[at + 1])
                 for depth in (2,) if hot is None else (3, 4):
@@ -162,12 +163,10 @@ class Phrases:
         A leaf is its language's key, the symbols (0 after the end), the owner, and how often it occurs. The owner is the
         number of words of the prefix that the group is chosen by; a shorter prefix has leaves in more groups.
         """
-        known = WordHashes()
-
         def cut(texts: list[bytes], langs: list[str]) -> tuple:
             out = []
-            for lang, words in by_language(texts, langs):
-                a, key, link = linked(words, lang, frequent, known)
+            for lang, words in by_language(texts, langs, AT_ONCE):
+                a, key, link = linked(words, lang, frequent)
                 first = np.flatnonzero(link)
                 good = pairs.has(chained(key[first], a[first + 1]))
                 link = np.zeros(len(a) + MOST_WORDS, bool)
@@ -210,6 +209,7 @@ class Phrases:
         def collapsed(parts: list[np.ndarray]) -> np.ndarray:
             """Leaves from left to right, equal ones as one."""
             rows = np.concatenate(parts)
+            parts.clear()
             rows = rows[np.lexsort(rows[:, MOST_WORDS::-1].T)]
             first = np.flatnonzero(np.append(True, (rows[1:, : MOST_WORDS + 1] != rows[:-1, : MOST_WORDS + 1]).any(axis=1)))
             sums = np.add.reduceat(rows[:, -1], first)
@@ -291,11 +291,11 @@ def prefix_keys(lang_key: int, symbols: np.ndarray) -> np.ndarray:
     return chained(np.full(len(symbols), lang_key, np.int64).view(np.uint64), symbols)
 
 
-def linked(words: list[bytes], lang: str, frequent, known: WordHashes) -> tuple:
+def linked(words: list[bytes], lang: str, frequent) -> tuple:
     """Symbols of words in a row, the key of each as a prefix of one word, and whether it and the next are frequent."""
-    a = hashed(words, known)
+    a = word_hashes(words)
     key = prefix_keys(language_key(lang), a)
-    good = frequent.has(key) & (a != np.uint64(known[BREAK]))
+    good = frequent.has(key) & (a != word_hashes([BREAK])[0])
     link = np.append(good[:-1] & good[1:], np.zeros(min(len(a), 1), bool))
     return a, key, link
 

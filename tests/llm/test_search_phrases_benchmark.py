@@ -226,3 +226,12 @@ def test_decontamination_edges(spark, odd, odd_rows, nothing):
     assert decontaminate.decontaminated(clash, bench).collect()[0][:] == (2**60 + 1, "", 1, 2)
     with pytest.raises(ValueError):
         decontaminate.decontaminated(odd, bench, "words")
+
+
+def test_suffixes_are_cut_in_parts():
+    """A batch of a thousand texts was cut at once, with 64 bytes and a dozen numbers for each of its words."""
+    texts, langs = [b"a b", b"c d.", b"", b"e f", b"g"], ["x", "x", "y", "x", "x"]
+    assert list(phrases.by_language(texts, langs)) == [("x", b"a b ! c d ! ! e f ! g".split()), ("y", [])]
+    parts = list(phrases.by_language(texts, langs, 4))
+    assert len(parts) > 2 and [w for lang, words in parts if lang == "x" for w in words if w != b"!"] == b"a b c d e f g".split()
+    assert list(phrases.by_language([], [])) == []
