@@ -35,7 +35,7 @@ def options_of(monkeypatch, name, run):
     return seen
 
 
-@pytest.mark.parametrize("name", ["predict"])
+@pytest.mark.parametrize("name", ["predict", "validate"])
 def test_job_runs_the_profiles_own_rounds(monkeypatch, name):
     options = options_of(monkeypatch, name, getattr(q, f"{name}_query"))
     assert options["profile"] == "xgb"
