@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spendcast.operators import features, running_totals
 from spendcast.operators.ordered import CHUNK, SEQ, between_bounds
 from spendcast.operators.running_totals import bytes_behind, order_log
+from spendcast.plans import boosting
 from spendcast.plans.feature_matrix import feature_engineering, snapshot_matrix
 from spendcast.schema import LOG_ORDER
 from spendcast.session import discard, freed, materialize, scratch_root
@@ -105,3 +106,22 @@ def test_one_folder_of_a_table_is_discarded(spark):
         assert sorted(f for f in os.listdir(path) if f.startswith("p=")) == ["p=0", "p=2"]
         discard(df, "p=0")  # was not written here
         assert table.where("p = 0").count() == 3
+
+
+def test_fit_lets_go_of_the_shuffle_that_lays_out_rows(spark, monkeypatch):
+    called = []
+    rows = spark.createDataFrame([(i, "m", i % 2, float(i % 5)) for i in range(40)], "customer_id long, year_month string, label int, x double")
+
+    class Jvm:
+        class System:
+            gc = staticmethod(lambda: called.append(1))
+
+    class Session:
+        _jvm = Jvm
+
+    class Train:
+        sparkSession = Session
+
+    monkeypatch.setattr(boosting, "pinned", lambda _: boosting.assemble(rows, ["x"]))
+    monkeypatch.setattr(boosting, "enough_bins", lambda _, params: params)
+    assert boosting.fit(Train, {"maxIter": 1, "maxDepth": 1}).getNumTrees == 1 and called == [1]
