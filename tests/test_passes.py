@@ -62,6 +62,15 @@ def test_log_is_ordered_part_by_part(spark, purchases, monkeypatch):
     assert ordered.select(CHUNK).distinct().count() > 4
 
 
+def test_files_behind_a_table_are_what_counts(spark, purchases):
+    """Not what a cached join is guessed to hold, nor rows without files."""
+    files = bytes_behind(purchases)
+    joined = purchases.join(purchases.withColumnRenamed("order_id", "other"), "line_no")
+    assert 0 < files < 10**6 and bytes_behind(joined) == 2 * files
+    assert bytes_behind(joined.where("line_no = 0").cache()) == 2 * files
+    assert bytes_behind(spark.createDataFrame([(1,)], "x int")) == 0
+
+
 def test_bounds_cut_every_row_once(spark, purchases):
     for cut in (between_bounds(purchases, "order_date", 5), between_bounds(purchases.where("order_date IS NULL"), "order_date", 3)):
         named = purchases.select(sum(F.when(c, 1).otherwise(0) for c in cut).alias("n"))
